@@ -1,6 +1,6 @@
 """Derived columns, field lists, masking and the bag/column conversions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.functions.paths import path
@@ -39,14 +39,16 @@ def mask_denied(df: DataFrame, denied: dict[str, list[str]]) -> DataFrame:
         hidden = F.coalesce(F.col("data_source_id").isin(source_ids), F.lit(False))
         current = columns.get(head, F.col(head))
         if dot:
-            columns[head] = F.transform_values(
-                current, lambda k, v, key=key, hidden=hidden: F.when(~(hidden & (k == key)), v)
-            )
+            columns[head] = _blank_key(current, key, hidden)
         else:
             columns[head] = F.when(~hidden, current)
     return df.withColumns(columns)
 
 
+def _blank_key(bag: Column, key: str, hidden: Column) -> Column:
+    return F.transform_values(bag, lambda name, value: F.when(~(hidden & (name == key)), value))
+
+
 def visible_data_keys(sources: DataFrame) -> DataFrame:
     """Key list of each source without its denied `data.*` keys."""
     denied = F.transform(
@@ -58,18 +60,15 @@ def visible_data_keys(sources: DataFrame) -> DataFrame:
 
 def discover_keys(df: DataFrame, bags: list[str] = BAGS) -> DataFrame:
     """Distinct (data_source_id, bag, key); duplicates collapse before the shuffle."""
-    entries = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.map_keys(bag), F.array().cast("array<string>")),
-                lambda key, bag=bag: F.struct(F.lit(bag).alias("bag"), key.alias("key")),
-            )
-            for bag in bags
-        ]
-    )
+    entries = F.concat(*[_named_keys(bag) for bag in bags])
     return df.select("data_source_id", F.inline(entries)).distinct()
 
 
+def _named_keys(bag: str) -> Column:
+    keys = F.coalesce(F.map_keys(bag), F.array().cast("array<string>"))
+    return F.transform(keys, lambda key: F.struct(F.lit(bag).alias("bag"), key.alias("key")))
+
+
 def key_lists(df: DataFrame, bags: list[str] = BAGS) -> DataFrame:
     """One row per source with a sorted key array per bag."""
     keys = discover_keys(df, bags)

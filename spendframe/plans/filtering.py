@@ -126,8 +126,8 @@ def flt_user_projects(spark, sf_dir):
 
 @query(
     "flt_project_group",
-    """RECURSIVE
-WITH closure(project_group_id) AS (
+    """
+WITH RECURSIVE closure(project_group_id) AS (
   SELECT project_group_id FROM project_group WHERE project_group_id IN ('pg-region-0', 'pg-region-1')
   UNION
   SELECT g.project_group_id FROM project_group g JOIN closure c ON g.parent_group_id = c.project_group_id

@@ -273,11 +273,8 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     if not ordered:
         return sql.strip()
     body = ",\n".join(f"{name} AS ({VIEWS[name][1].strip()})" for name in ordered)
-    recursive = "RECURSIVE " if sql.lstrip().upper().startswith("RECURSIVE ") else ""
     sql = sql.strip()
-    if recursive:
-        sql = sql[len("RECURSIVE ") :].lstrip()
-    separator = ",\n" if sql.upper().startswith("WITH ") else "\n"
-    if separator == ",\n":
-        sql = sql[len("WITH ") :]
-    return f"WITH {recursive}{body}{separator}{sql}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(opening):
+            return f"{opening}{body},\n{sql[len(opening):]}"
+    return f"WITH {body}\n{sql}"
