@@ -203,14 +203,9 @@ def join_fx_default(spark, sf_dir):
 @query(
     "join_budget_cost",
     """
-SELECT b.budget_id, u.billed_month,
-       CAST(CAST(sum(CASE WHEN b.currency = 'USD' THEN u."cost_USD" ELSE u."cost_JPY" END) AS decimal(38,2)) AS double) AS cost
-FROM budget b JOIN unified u
-  ON u.workspace_id = b.workspace_id AND u.billed_month BETWEEN b."start" AND b."end"
- AND CASE WHEN b.service_account_id IS NOT NULL THEN u.service_account_id = b.service_account_id ELSE u.project_id = b.project_id END
-GROUP BY ALL
+SELECT budget_id, billed_month, CAST(CAST(cost AS decimal(38,2)) AS double) AS cost FROM budget_cost
 """,
-    ("budget", "unified"),
+    ("budget_cost",),
 )
 def join_budget_cost(spark, sf_dir):
     matched = budgets.budget_cost(sample.budgets(spark, sf_dir), sample.unified(spark, sf_dir))

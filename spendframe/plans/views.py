@@ -253,6 +253,17 @@ LEFT JOIN workspace w ON w.workspace_id = g.workspace_id
 LEFT JOIN project p ON p.workspace_id = g.workspace_id AND p.project_id = g.project_id
 LEFT JOIN service_account sa ON sa.workspace_id = g.workspace_id AND sa.service_account_id = g.service_account_id
 WHERE g.workspace_id IS NULL OR w.state = 'ENABLED'
+""",
+    ),
+    "budget_cost": (
+        ("budget", "unified"),
+        """
+SELECT b.budget_id, u.billed_month, sum(CASE WHEN b.currency = 'USD' THEN u."cost_USD" ELSE u."cost_JPY" END) AS cost
+FROM budget b JOIN unified u
+  ON u.workspace_id = b.workspace_id AND u.billed_month BETWEEN b."start" AND b."end"
+ AND CASE WHEN b.service_account_id IS NOT NULL THEN u.service_account_id = b.service_account_id
+          ELSE u.project_id = b.project_id END
+GROUP BY ALL
 """,
     ),
 }
