@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spendframe.operators import fx, reports
+from spendframe.session import durable
 from spendframe.sources import sample
 
 # Sample policies: later ones build on earlier ones, one is for two workspaces only.
@@ -49,7 +50,8 @@ def planned_reports(unified):
 
 def reports_and_lines(spark, sf_dir, scope):
     """Report heads and detail lines of every month for one scope."""
-    unified = sample.unified(spark, sf_dir)
+    # The unified table is a stored result of its own run; reports read it several times.
+    unified = durable(sample.unified(spark, sf_dir), "unified")
     base = reports.report_base(unified, scope)
     heads = reports.build_reports(reports.collapse(base, scope), planned_reports(unified), scope)
     return heads, reports.report_lines(unified, heads, scope)
