@@ -48,12 +48,27 @@ def planned_reports(unified):
     return reports.calendar_regenerate(sample.report_configs_for(months), F.col("report_month"))
 
 
+def stored_unified(spark, sf_dir):
+    """The unified table as the stored result of its own run; reports read it several times."""
+    return durable(sample.unified(spark, sf_dir), "unified")
+
+
+def _heads(unified, planned, scope):
+    collapsed = reports.collapse(reports.report_base(unified, scope), scope)
+    return reports.build_reports(collapsed, planned, scope)
+
+
+def report_heads(spark, sf_dir):
+    """Report rows of every month, per scope."""
+    unified = stored_unified(spark, sf_dir)
+    planned = planned_reports(unified)
+    return {scope: _heads(unified, planned, scope) for scope in reports.SCOPE_IDS}
+
+
 def reports_and_lines(spark, sf_dir, scope):
     """Report heads and detail lines of every month for one scope."""
-    # The unified table is a stored result of its own run; reports read it several times.
-    unified = durable(sample.unified(spark, sf_dir), "unified")
-    base = reports.report_base(unified, scope)
-    heads = reports.build_reports(reports.collapse(base, scope), planned_reports(unified), scope)
+    unified = stored_unified(spark, sf_dir)
+    heads = durable(_heads(unified, planned_reports(unified), scope), "reports")
     return heads, reports.report_lines(unified, heads, scope)
 
 
