@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.functions.predicates import condition, member, where
-from spendframe.session import durable
+from spendframe.operators.lookups import keep_matching
+from spendframe.session import durable, literal_rows
 
 MAX_GROUP_DEPTH = 64
 
@@ -53,7 +54,7 @@ def in_project_groups(df: DataFrame, spec: dict, groups: DataFrame, projects: Da
     """`project_group_id` condition: keep rows whose project is in a matching group or below it."""
     closure = group_closure(groups, groups.where(condition(spec)))
     ids = projects.join(closure, "project_group_id", "left_semi").select("project_id").distinct()
-    return df.join(ids, "project_id", "left_semi")
+    return keep_matching(df, ids, "project_id")
 
 
 def in_workspaces(df: DataFrame, workspace_ids: list[str], accounts: DataFrame, negate: bool = False) -> DataFrame:
@@ -62,14 +63,14 @@ def in_workspaces(df: DataFrame, workspace_ids: list[str], accounts: DataFrame,
     Rows carry the virtual id of their account. A listed workspace with accounts is replaced by
     the virtual ids of those accounts; one without accounts is kept as it is.
     """
-    listed = df.sparkSession.createDataFrame([(value,) for value in workspace_ids], "workspace_id string")
+    listed = literal_rows(df.sparkSession, [(value,) for value in workspace_ids], "workspace_id string")
     linked = accounts.join(listed, "workspace_id", "left_semi")
     ids = (
         linked.select(F.col("v_workspace_id").alias("workspace_id"))
         .union(listed.join(linked, "workspace_id", "left_anti"))
         .distinct()
     )
-    return df.join(ids, "workspace_id", "left_anti" if negate else "left_semi")
+    return keep_matching(df, ids, "workspace_id", negate)
 
 
 def listed_reports(reports: DataFrame, status: str | None, conditions=()) -> DataFrame:

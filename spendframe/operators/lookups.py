@@ -54,6 +54,14 @@ def lookup(
     return joined.drop("_salt", "_dim_salt", *scratch)
 
 
+def keep_matching(
+    fact: DataFrame, ids: DataFrame, key: str, negate: bool = False, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows whose key is (not) among `ids`; the id set is broadcast only when its size allows."""
+    side = F.broadcast(ids) if fits_broadcast(ids, max_rows) else ids
+    return fact.join(side, key, "left_anti" if negate else "left_semi")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equality join on same-named keys where null matches null; keys of the right side are dropped."""
     renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})

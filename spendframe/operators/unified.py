@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.money import total
 from spendframe.functions.periods import day_in_month
 from spendframe.operators.accounts import virtual_to_real
+from spendframe.operators.lookups import lookup
 from spendframe.operators.fx import asof_rates_for, convert, rate_matrix, with_defaults
 from spendframe.schema import (
     DEFAULT_AGGREGATION_DAY,
@@ -54,13 +55,13 @@ def unify(monthly: DataFrame, accounts: DataFrame, workspaces: DataFrame, source
     grouped = folded.groupBy(*UNIFIED_KEYS).agg(
         total(F.col("cost")).alias("cost"), total(F.col("usage_quantity")).alias("usage_quantity")
     )
-    return (
+    kept = (
         grouped.join(enabled, "workspace_id", "left")
         .where(F.col("workspace_id").isNull() | F.col("_enabled"))
-        .join(visible, "data_source_id")
-        .where((F.col("_owner") == "*") | (F.col("_owner") == F.col("workspace_id")))
-        .drop("_enabled", "_owner")
+        .drop("_enabled")
     )
+    owned = lookup(kept, visible, ["data_source_id"])
+    return owned.where((F.col("_owner") == "*") | (F.col("_owner") == F.col("workspace_id"))).drop("_owner")
 
 
 def _linked(accounts: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def with_source_currency(df: DataFrame, sources: DataFrame) -> DataFrame:
         "data_source_id", F.col("currency").alias("_currency"), F.col("name").alias("_name")
     )
     return (
-        df.join(known, "data_source_id", "left")
+        lookup(df, known, ["data_source_id"])
         .withColumns(
             {
                 "currency": F.coalesce("_currency", F.lit(DEFAULT_CURRENCY)),
@@ -106,6 +107,7 @@ def with_names(
 
 def build_unified(
     monthly: DataFrame,
+    months: DataFrame,
     accounts: DataFrame,
     workspaces: DataFrame,
     projects: DataFrame,
@@ -116,9 +118,12 @@ def build_unified(
     config: dict | None = None,
     exchange_source: str = DEFAULT_EXCHANGE_SOURCE,
 ) -> DataFrame:
-    """Unified cost of every month in `monthly`; pass one month's rows to rebuild that month."""
+    """Unified cost of every month in `monthly`; pass one month's rows to rebuild that month.
+
+    `months` lists the `billed_month` values of the input, which a run knows beforehand.
+    """
     grouped = with_source_currency(unify(monthly, accounts, workspaces, sources), sources)
-    calendar = month_calendar(monthly.select("billed_month").distinct(), as_of, config)
+    calendar = month_calendar(months, as_of, config)
     dates = calendar.select(F.col("exchange_date").alias("as_of")).distinct()
     rates = with_defaults(asof_rates_for(dates, quotes), dates)
     # One row per month and currency: bounded by the calendar.

@@ -7,6 +7,7 @@ from spendframe.functions.paths import path
 from spendframe.operators import fx, projection
 from spendframe.plans.registry import query
 from spendframe.schema import COST_MINIMAL_FIELDS
+from spendframe.session import literal_rows
 from spendframe.sources import sample
 
 
@@ -133,7 +134,7 @@ def _amounts_by_source(spark, sf_dir):
     rows = sample.cost(spark, sf_dir, "workspace_id", "data_source_id", "cost")
     grouped = rows.groupBy("workspace_id", "data_source_id").agg(total(F.col("cost")).alias("cost"))
     currency = sample.sources(spark).select("data_source_id", "currency")
-    day = spark.createDataFrame([(sample.AS_OF,)], "as_of string").select(F.to_date("as_of").alias("as_of"))
+    day = literal_rows(spark, [(sample.AS_OF,)], "as_of string").select(F.to_date("as_of").alias("as_of"))
     rates = fx.with_defaults(fx.asof_rates_for(day, sample.fx_quotes(spark, sf_dir)), day)
     return fx.convert(grouped.join(currency, "data_source_id"), fx.rate_matrix(rates))
 

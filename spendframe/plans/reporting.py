@@ -7,6 +7,7 @@ from spendframe.operators import adjustments, reports
 from spendframe.operators.unified import month_calendar
 from spendframe.plans import pipeline
 from spendframe.plans.registry import query
+from spendframe.session import literal_rows
 from spendframe.sources import sample
 
 _SUMS = ", ".join(
@@ -103,7 +104,7 @@ FROM issued
 """,
 )
 def rep_calendar(spark, sf_dir):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.col("o_orderdate").cast("date").cast("string")
     days = sample.table(spark, sf_dir, "orders").select(day.alias("as_of")).distinct()
     planned = reports.calendar(sample.report_configs_for(days), F.col("as_of"))
     return planned.select(
@@ -344,10 +345,8 @@ def rep_sync_currency(spark, sf_dir):
         F.concat(F.lit("rap-"), (F.col("p_size") % 3).cast("string")).alias("report_adjustment_policy_id"),
         F.lit("USD").alias("currency"),
     )
-    policies = spark.createDataFrame(
-        [("rap-0", "crc-workspace"), ("rap-1", "crc-account")], "report_adjustment_policy_id string, cost_report_config_id string"
-    )
-    configs = spark.createDataFrame(
-        [("crc-workspace", "KRW"), ("crc-account", "JPY")], "cost_report_config_id string, currency string"
-    )
+    owners = [("rap-0", "crc-workspace"), ("rap-1", "crc-account")]
+    policies = literal_rows(spark, owners, "report_adjustment_policy_id string, cost_report_config_id string")
+    currencies = [("crc-workspace", "KRW"), ("crc-account", "JPY")]
+    configs = literal_rows(spark, currencies, "cost_report_config_id string, currency string")
     return adjustments.sync_currency(parts, policies, configs)

@@ -12,7 +12,8 @@ from spendframe.operators.accounts import route_accounts
 from spendframe.operators.fx import pair_structs
 from spendframe.operators.rollup import monthly_rollup
 from spendframe.operators.unified import build_unified
-from spendframe.schema import MONEY, RATE
+from spendframe.schema import MONEY, RATE, UNIFIED_KEYS
+from spendframe.session import durable, literal_rows
 
 AS_OF = "1998-08-20"
 AS_OF_MONTH = "1998-08"
@@ -28,8 +29,24 @@ _FROM_PART = {"product", "usage_type", "additional_info"}
 _FROM_SUPPLIER = {"provider", "region_code", "region_key"}
 
 
+# Columns of the star schema; a given schema saves a look into the files for every read.
+STAR_SCHEMA = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(STAR_SCHEMA[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(value: Column) -> Column:
@@ -37,7 +54,8 @@ def _text(value: Column) -> Column:
 
 
 def _day(value: Column) -> Column:
-    return F.date_format(value, "yyyy-MM-dd")
+    # Casts are compiled; a pattern formatter would run per row.
+    return value.cast("date").cast("string")
 
 
 def _amount(part: Column) -> Column:
@@ -156,7 +174,8 @@ def sources(spark: SparkSession) -> DataFrame:
         ("ds-2", "Source 2", "JPY", "*", "DOMAIN", True, "ENABLED", [], ["discount"]),
         ("ds-3", "Source 3", "USD", "building", "WORKSPACE", False, "DISABLED", ["data.tax"], ["discount", "tax"]),
     ]
-    return spark.createDataFrame(
+    return literal_rows(
+        spark,
         rows,
         "data_source_id string, name string, currency string, workspace_id string, resource_group string, "
         "use_account_routing boolean, schedule_state string, deny array<string>, cost_data_keys array<string>",
@@ -300,8 +319,9 @@ def monthly(spark: SparkSession, sf_dir: str, tag_keys=(), info_keys=(), data_ke
     return monthly_rollup(cost(spark, sf_dir), list(tag_keys), list(info_keys), list(data_keys), nested=False)
 
 
-def routed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return route_accounts(cost(spark, sf_dir, *columns), accounts(spark, sf_dir), ROUTED)
+def routed(spark: SparkSession, sf_dir: str, *columns: str, known: DataFrame | None = None) -> DataFrame:
+    known = accounts(spark, sf_dir) if known is None else known
+    return route_accounts(cost(spark, sf_dir, *columns), known, ROUTED)
 
 
 def routed_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +329,16 @@ def routed_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified cost of every month. It sums whatever rows it is given per month, so the sample feeds it
+    the routed lines and saves the rollup's shuffle; a deployment feeds it the stored monthly table.
+
+    Accounts and months are read several times, so each is derived once into a small table.
+    """
+    known = durable(accounts(spark, sf_dir), "accounts")
     return build_unified(
-        routed_monthly(spark, sf_dir),
-        accounts(spark, sf_dir),
+        routed(spark, sf_dir, *UNIFIED_KEYS, "account_id", "cost", "usage_quantity", known=known),
+        durable(cost(spark, sf_dir, "billed_month").distinct(), "months"),
+        known,
         workspaces(spark, sf_dir),
         projects(spark, sf_dir),
         service_accounts(spark, sf_dir),
