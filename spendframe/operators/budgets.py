@@ -68,11 +68,14 @@ def budget_cost(budgets: DataFrame, unified: DataFrame) -> DataFrame:
     conditional match into one equality join.
     """
     amounts = currency_columns()
+    # No budget looks outside this span, so other months are not even read.
+    first, last = (budgets.agg(bound).scalar() for bound in (F.min("start"), F.max("end")))
+    unified = unified.where((F.col("billed_month") >= first) & (F.col("billed_month") <= last))
     sums = [total(F.col(name)).alias(name) for name in amounts]
     reduced = unified.groupBy("workspace_id", "project_id", "service_account_id", "billed_month").agg(*sums)
     scoped = _with_scope(budgets).select("budget_id", "currency", "start", "end", *SCOPE)
     spread = reduced.select("billed_month", *amounts, F.inline(_scopes_of_cost()))
-    wanted = join_null_safe(spread, scoped.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    wanted = join_null_safe(spread, scoped.select(*SCOPE).distinct(), SCOPE, "left_semi", check_size=True)
     per_scope = wanted.groupBy(*SCOPE, "billed_month").agg(*sums)
     matched = join_null_safe(scoped, per_scope, SCOPE, "inner").where(
         F.col("billed_month").between(F.col("start"), F.col("end"))

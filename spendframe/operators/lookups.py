@@ -62,9 +62,17 @@ def keep_matching(
     return fact.join(side, key, "left_anti" if negate else "left_semi")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equality join on same-named keys where null matches null; keys of the right side are dropped."""
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, check_size: bool = False
+) -> DataFrame:
+    """Equality join on same-named keys where null matches null; keys of the right side are dropped.
+
+    With `check_size` the right side is broadcast if it is small enough. Otherwise, and beyond that
+    size, the join strategy and the splitting of skewed partitions are left to adaptive execution.
+    """
     renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    if check_size and fits_broadcast(right):
+        renamed = F.broadcast(renamed)
     matches = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
     joined = left.join(renamed, reduce(lambda a, b: a & b, matches), how)
     return joined.drop(*[f"_right_{key}" for key in keys])

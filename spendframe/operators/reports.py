@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.money import currency_columns, total
 from spendframe.functions.periods import day_in_month, first_day, month_of
 from spendframe.functions.predicates import all_of
-from spendframe.operators.lookups import join_null_safe
+from spendframe.operators.lookups import join_null_safe, keep_matching, lookup
 from spendframe.operators.paging import number_rows
 from spendframe.schema import DEFAULT_EXCHANGE_SOURCE, REPORT_RETRY_DAYS, REPORT_RETRY_DAYS_MAX
 
@@ -146,7 +146,7 @@ def number_reports(reports: DataFrame, existing: DataFrame | None = None) -> Dat
         numbered = reports.withColumn("_taken", F.lit(0).cast("long"))
     else:
         taken = existing.groupBy("issue_date").agg(F.count("*").alias("_taken"))
-        numbered = reports.join(taken, "issue_date", "left").na.fill(0, ["_taken"])
+        numbered = lookup(reports, taken, ["issue_date"]).na.fill(0, ["_taken"])
     numbered = number_rows(numbered, ["cost_report_id"], "_index", ("issue_date",))
     index = (F.col("_index") + F.col("_taken")).cast("string")
     # Wider indexes keep all their digits.
@@ -180,7 +180,8 @@ def report_lines(unified: DataFrame, reports: DataFrame, scope: str = "WORKSPACE
         "region_key",
         "region_code",
     )
-    joined = join_null_safe(lines.withColumnRenamed("billed_month", "report_month"), heads, own, "inner")
+    lines = lines.withColumnRenamed("billed_month", "report_month")
+    joined = join_null_safe(lines, heads, own, "inner", check_size=True)
     return joined.withColumns(
         {
             "report_adjustment_policy_id": F.lit(None).cast("string"),
@@ -197,12 +198,10 @@ def with_line_names(
     ws = workspaces.select("workspace_id", F.col("name").alias("workspace_name"))
     pj = projects.select("workspace_id", "project_id", F.col("name").alias("project_name"))
     sa = service_accounts.select("workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
-    return (
-        lines.join(ws, "workspace_id", "left")
-        .join(pj, ["workspace_id", "project_id"], "left")
-        .join(sa, ["workspace_id", "service_account_id"], "left")
-        .na.fill("", ["project_name", "service_account_name"])
-    )
+    named = lookup(lines, ws, ["workspace_id"])
+    named = lookup(named, pj, ["workspace_id", "project_id"])
+    named = lookup(named, sa, ["workspace_id", "service_account_id"])
+    return named.na.fill("", ["project_name", "service_account_name"])
 
 
 def adjusted_totals(reports: DataFrame, lines: DataFrame) -> DataFrame:
@@ -231,7 +230,7 @@ def finish(reports: DataFrame) -> DataFrame:
 def confirm_lines(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """Lines of finished reports are confirmed."""
     done = reports.where(F.col("status") == "DONE").select("cost_report_id", F.lit(True).alias("_done"))
-    joined = lines.join(done, "cost_report_id", "left")
+    joined = lookup(lines, done, ["cost_report_id"])
     confirmed = F.col("is_confirmed") | F.coalesce("_done", F.lit(False))
     return joined.withColumn("is_confirmed", confirmed).drop("_done")
 
@@ -243,7 +242,7 @@ def expire_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:
     finished report of that month exists, so an older DONE row always does.
     """
     keys = ["cost_report_config_id", "report_month"]
-    joined = join_null_safe(reports, runs.select(*keys, "run_at"), keys, "left")
+    joined = lookup(reports, runs.select(*keys, "run_at"), keys)
     older = F.coalesce(F.col("created_at") < F.col("run_at"), F.lit(False))
     kept = joined.where(~older | F.col("status").isin("DONE", "EXPIRED"))
     return kept.withColumn(
@@ -253,4 +252,4 @@ def expire_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:
 
 def drop_orphan_lines(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """Lines whose report was removed go with it."""
-    return lines.join(reports.select("cost_report_id"), "cost_report_id", "left_semi")
+    return keep_matching(lines, reports.select("cost_report_id"), "cost_report_id")

@@ -55,11 +55,8 @@ def unify(monthly: DataFrame, accounts: DataFrame, workspaces: DataFrame, source
     grouped = folded.groupBy(*UNIFIED_KEYS).agg(
         total(F.col("cost")).alias("cost"), total(F.col("usage_quantity")).alias("usage_quantity")
     )
-    kept = (
-        grouped.join(enabled, "workspace_id", "left")
-        .where(F.col("workspace_id").isNull() | F.col("_enabled"))
-        .drop("_enabled")
-    )
+    marked = lookup(grouped, enabled, ["workspace_id"])
+    kept = marked.where(F.col("workspace_id").isNull() | F.col("_enabled")).drop("_enabled")
     owned = lookup(kept, visible, ["data_source_id"])
     return owned.where((F.col("_owner") == "*") | (F.col("_owner") == F.col("workspace_id"))).drop("_owner")
 
@@ -96,11 +93,9 @@ def with_names(
     ws = workspaces.select("workspace_id", F.col("name").alias("workspace_name"))
     pj = projects.select("workspace_id", "project_id", F.col("name").alias("_project"))
     sa = service_accounts.select("workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
-    named = (
-        df.join(ws, "workspace_id", "left")
-        .join(pj, ["workspace_id", "project_id"], "left")
-        .join(sa, ["workspace_id", "service_account_id"], "left")
-    )
+    named = lookup(df, ws, ["workspace_id"])
+    named = lookup(named, pj, ["workspace_id", "project_id"])
+    named = lookup(named, sa, ["workspace_id", "service_account_id"])
     project_name = F.when(F.col("workspace_id").isNotNull(), F.coalesce("_project", "project_id"))
     return named.withColumn("project_name", project_name).drop("_project")
 

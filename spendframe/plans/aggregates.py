@@ -30,9 +30,8 @@ GROUP BY ALL
     ("cost",),
 )
 def agg_analyze_daily(spark, sf_dir):
-    rows = sample.cost(
-        spark, sf_dir, "product", "provider", "tags", "data", "data_source_id", "billed_date", "cost", "usage_quantity"
-    )
+    names = ["product", "provider", "tags", "data", "data_source_id", "billed_date", "cost", "usage_quantity"]
+    rows = sample.cost(spark, sf_dir, *names, days=("1998-01-01", "1998-02-01"))
     grouped = analyze.analyze(
         rows,
         fields={**_SUMS, "discount": {"key": "data.discount", "operator": "sum"}},
@@ -68,7 +67,8 @@ FROM monthly WHERE billed_year >= '1997' AND billed_year < '2000' GROUP BY ALL
     ("monthly",),
 )
 def agg_analyze_yearly(spark, sf_dir):
-    rows = sample.cost(spark, sf_dir, "provider", "region_code", "billed_year", "cost", "usage_quantity")
+    names = ["provider", "region_code", "billed_year", "cost", "usage_quantity"]
+    rows = sample.cost(spark, sf_dir, *names, days=("1997-01-01", "2000-01-01"))
     grouped = analyze.analyze(
         rows, fields=_SUMS, group_by=["provider", "region_code"], granularity="YEARLY", start="1997", end="1999"
     )
@@ -260,7 +260,7 @@ def agg_distinct_batches(spark, sf_dir):
         {"k": "billed_month", "v": "2000-06", "o": "lte"},
     ]
     keys = ["job_id", "job_task_id", "billed_month"]
-    rows = sample.cost(spark, sf_dir, "data_source_id", *keys)
+    rows = sample.cost(spark, sf_dir, "data_source_id", *keys, days=("1997-03-01", "2000-07-01"))
     return rows.where(where(conditions)).select(*keys).distinct()
 
 

@@ -59,7 +59,10 @@ def flt_range(spark, sf_dir):
         {"k": "billed_month", "v": "1998-10", "o": "lte"},
         {"k": "billed_date", "v": "1998-10-15", "o": "lt"},
     ]
-    return _kept(spark, sf_dir, "billed_month", "billed_date").where(where(conditions)).drop("billed_date")
+    rows = sample.cost(
+        spark, sf_dir, "cost_id", "billed_month", "billed_date", days=("1997-05-01", "1998-10-15")
+    )
+    return rows.where(where(conditions)).drop("billed_date")
 
 
 @query("flt_contain", "SELECT cost_id, product FROM cost WHERE contains(lower(product), 'brand#1')", ("cost",))
@@ -170,7 +173,8 @@ UNION ALL SELECT 'YEARLY', cost_id FROM cost WHERE billed_year >= '1999' AND bil
     ("cost",),
 )
 def flt_date_window(spark, sf_dir):
-    rows = _kept(spark, sf_dir, "billed_date", "billed_month", "billed_year")
+    names = ["cost_id", "billed_date", "billed_month", "billed_year"]
+    rows = sample.cost(spark, sf_dir, *names, days=("1997-11-01", "2001-01-01"))
     windows = {"DAILY": ("1998-01", "1998-01-15"), "MONTHLY": ("1997-11", "1998-01"), "YEARLY": ("1999", "2000")}
     # One scan: each row is listed under the windows that contain it.
     hits = [

@@ -102,11 +102,18 @@ def _project_id() -> Column:
     return F.concat(F.lit("project-"), F.lower("c_mktsegment"), F.lit("-"), _text(F.col("c_nationkey") % 5))
 
 
-def cost(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Daily cost lines with the wanted columns (all when none is named)."""
+def cost(spark: SparkSession, sf_dir: str, *columns: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """Daily cost lines with the wanted columns (all when none is named).
+
+    `days` is a half-open range that the caller's own period filter implies. On the stored cost table
+    that filter prunes partitions; here the range is handed to the line scan.
+    """
     available = _cost_columns()
     wanted = list(columns) or list(available)
     lines = table(spark, sf_dir, "lineitem")
+    if days:
+        start, end = (F.lit(day).cast("timestamp_ntz") for day in days)
+        lines = lines.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end))
     asked = set(wanted)
     if asked & (_FROM_ORDERS | _FROM_CUSTOMER):
         orders = table(spark, sf_dir, "orders")
@@ -118,12 +125,13 @@ def cost(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if asked & _FROM_PART:
         lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if asked & _FROM_SUPPLIER:
-        suppliers = (
-            table(spark, sf_dir, "supplier")
-            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        )
-        lines = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        # One small table at a time: each join is then sized on its own.
+        for name, left, right in (
+            ("supplier", "l_suppkey", "s_suppkey"),
+            ("nation", "s_nationkey", "n_nationkey"),
+            ("region", "n_regionkey", "r_regionkey"),
+        ):
+            lines = lines.join(table(spark, sf_dir, name), F.col(left) == F.col(right), "left")
     return lines.select(*[available[name].alias(name) for name in wanted])
 
 
