@@ -7,7 +7,7 @@ from spendframe.operators import adjustments, reports
 from spendframe.operators.unified import month_calendar
 from spendframe.plans import pipeline
 from spendframe.plans.registry import query
-from spendframe.session import literal_rows
+from spendframe.session import durable, literal_rows
 from spendframe.sources import sample
 
 _SUMS = ", ".join(
@@ -194,7 +194,9 @@ LEFT JOIN taken USING (issue_date)
     ("unified",),
 )
 def rep_number(spark, sf_dir):
+    # Range partitioning samples its input first, so the reports are stored before they are numbered.
     built = _all_scopes(spark, sf_dir).select("cost_report_id", "cost_report_config_id", "issue_date")
+    built = durable(built, "reports")
     is_old = F.col("cost_report_config_id") == "crc-project"
     numbered = reports.number_reports(built.where(~is_old), built.where(is_old))
     return numbered.select("cost_report_id", "issue_date", "report_number")

@@ -17,6 +17,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Small local files are one row group, so shuffle output sits in one block. Reading it by
+        # block, which suits a cluster, would leave most local cores idle.
+        .config("spark.sql.adaptive.localShuffleReader.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
