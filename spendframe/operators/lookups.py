@@ -22,9 +22,12 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def _row_salt(df: DataFrame):
-    """Salt from the row's own values: the same on every attempt of a task."""
-    plain = [field.name for field in df.schema.fields if not isinstance(field.dataType, _UNHASHABLE)]
-    return F.pmod(F.xxhash64(*[F.col(name) for name in plain]), F.lit(SALTS)).cast("int")
+    """Salt from the row's own values and its input partition: the same on every attempt of a task.
+
+    The partition spreads exact copies of one row, the values spread the rows of one partition.
+    """
+    plain = [F.col(field.name) for field in df.schema.fields if not isinstance(field.dataType, _UNHASHABLE)]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int")
 
 
 def lookup(

@@ -12,7 +12,7 @@ def page_stream(spark: SparkSession, folder: str, file_format: str = "parquet",
 
 
 def load_pages(rows: DataFrame, batch: dict, table_path: str, checkpoint: str, prepare=None):
-    """Append all pages that are there now and stop; a rerun continues after the last page.
+    """Append all valid rows of the pages that are there now and stop; a rerun continues after the last page.
 
     `prepare` may add routing and rules; it takes and returns a DataFrame. The file sink and the
     checkpoint give each page exactly once, also when a run is repeated after a failure.
@@ -32,15 +32,18 @@ def load_pages(rows: DataFrame, batch: dict, table_path: str, checkpoint: str, p
     )
 
 
-def load_pages_in_batches(rows: DataFrame, batch: dict, write_batch, checkpoint: str):
+def load_pages_in_batches(rows: DataFrame, batch: dict, write_batch, checkpoint: str, write_rejects=None):
     """Like `load_pages`, but hands each micro-batch to `write_batch(df, batch_id)`.
 
-    For sinks that replace rows. `write_batch` may be called again with the same id.
+    For sinks that replace rows, and for keeping the rejected rows with their reasons:
+    `write_rejects` gets them. Both may be called again with the same id.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
-        valid, _ = split_valid(df)
+        valid, rejected = split_valid(df)
         write_batch(normalise(valid, batch), batch_id)
+        if write_rejects:
+            write_rejects(rejected, batch_id)
 
     return (
         rows.writeStream.foreachBatch(write)

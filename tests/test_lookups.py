@@ -21,6 +21,16 @@ def test_salted_and_broadcast_lookup_agree(spark):
     assert small.columns == salted.columns and small.count() == 3000
 
 
+def test_copies_of_one_row_get_many_salts(spark):
+    from spendframe.operators.lookups import _row_salt
+
+    copies = spark.range(0, 6400, 1, 64).select(F.lit("same").alias("key"))
+    salts = copies.select(_row_salt(copies).alias("salt")).groupBy("salt").count().collect()
+    assert len(salts) > 16 and max(row["count"] for row in salts) < 6400 / 4
+    again = copies.select(_row_salt(copies).alias("salt")).groupBy("salt").count().collect()
+    assert sorted(salts) == sorted(again)
+
+
 def test_null_safe_lookup(spark):
     fact = spark.createDataFrame([(1, "a", None), (2, "a", "w")], "id int, key string, scope string")
     dim = spark.createDataFrame([("a", None, "any"), ("a", "w", "own")], "key string, scope string, found string")

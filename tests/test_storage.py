@@ -50,11 +50,15 @@ def test_stream_loads_every_page_once(spark, tmp_path):
     load_pages(page_stream(spark, str(pages), "json"), BATCH, table, checkpoint).awaitTermination()
     load_pages(page_stream(spark, str(pages), "json"), BATCH, table, checkpoint).awaitTermination()
     assert rows(spark.read.parquet(table).selectExpr("billed_month", "cast(cost as double)")) == [("2024-01", 1.0), ("2024-02", 2.0)]
-    seen = []
+    seen, refused = [], []
     load_pages_in_batches(
-        page_stream(spark, str(pages), "json"), BATCH, lambda df, _: seen.append(df.count()), str(tmp_path / "check2")
+        page_stream(spark, str(pages), "json"),
+        BATCH,
+        lambda df, _: seen.append(df.count()),
+        str(tmp_path / "check2"),
+        lambda df, _: refused.append(df.count()),
     ).awaitTermination()
-    assert sum(seen) == 2
+    assert (sum(seen), sum(refused)) == (2, 1)
 
 
 FACT = "id int, data_source_id string, billed_month string, job_id string, job_task_id string, provider string"
