@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import bpe, simhash
+from spendframe.llm import bpe, host_rules, licenses, simhash
 from spendframe.llm.common import table
+from spendframe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = F.transform("licenses.spans", lambda span: span["label"])
+    return found.select(
+        "doc_id",
+        "licenses.n_words",
+        F.col("licenses.n_phrases").alias("n_base"),
+        "licenses.first_word",
+        "licenses.last_word",
+        F.array_join("licenses.phrase_labels", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("licenses.phrase_labels", own)), ",").alias("labels"),
+        "licenses.score",
+    )
+
+
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +53,51 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    measured = durable(host_rules.measure(docs).drop("text"), "measures")
+    return host_rules.judge(measured).select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
+ORACLES["op9_host_rules"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+grams AS (
+  SELECT rid, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM words WHERE len(w) > 2)),
+repeated AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM grams) WHERE n > 1),
+inside AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS p FROM repeated) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+measures AS (
+  SELECT rid, doc_id, source, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM texts JOIN words USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN inside USING (rid)),
+checked AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 30 * word_chars
+    OR 1000 * n_dup_lines > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS failed
+  FROM measures),
+hosts AS (SELECT source, count(*) AS docs, sum(failed::INT) AS failures FROM checked GROUP BY source),
+moments AS (
+  SELECT sum(failures) / sum(docs) AS mean,
+    sum(failures * failures / docs) / sum(docs) - (sum(failures) / sum(docs)) ** 2 AS variance FROM hosts),
+prior AS (
+  SELECT mean, CASE WHEN variance > mean * (1 - mean) / 1001
+    THEN greatest(1, mean * (1 - mean) / variance - 1) ELSE 1000 END AS weight FROM moments),
+verdicts AS (SELECT source, (failures + mean * weight) / (docs + weight) > 0.8 AS bad FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM checked c JOIN verdicts v ON c.source IS NOT DISTINCT FROM v.source
+"""
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
