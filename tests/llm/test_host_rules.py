@@ -49,7 +49,7 @@ def test_hosts_are_shrunk_and_rejected(spark):
 
 def test_join_beyond_the_broadcast_size(spark, monkeypatch):
     monkeypatch.setattr(host_rules, "BROADCAST_BYTES", 0)
-    docs = spark.createDataFrame([(i, "bad" if i % 2 else f"h{i}", "x" if i % 2 else "w " * 60) for i in range(400)], "doc_id long, source string, text string")
+    docs = spark.createDataFrame([(i, "bad" if i % 2 else f"h{i}", "x" if i % 2 else " ".join(f"word{k}" for k in range(60))) for i in range(400)], "doc_id long, source string, text string")
     judged = host_rules.judge(host_rules.measure(docs.where("doc_id >= 0")))
     assert judged.where("host_rejected and source <> 'bad'").count() == 0
     assert judged.where("source = 'bad' and not host_rejected").count() == 0
