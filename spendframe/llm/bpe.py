@@ -9,6 +9,7 @@ skipped when they come up. Results are kept per chunk in a cache of bounded size
 import heapq
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64
 
 
@@ -42,10 +43,11 @@ class Codec:
         to_byte = {character: byte for byte, character in characters.items()}
         vocabulary = spec["model"]["vocab"]
         self.byte_ids = [vocabulary[characters[byte]] for byte in range(256)]
-        self.merges = {}
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocabulary[left], vocabulary[right]] = (rank, vocabulary[left + right])
+            self.ranks[vocabulary[left] << 32 | vocabulary[right]] = rank
+            self.merged.append(vocabulary[left + right])
         self.pieces = [b""] * (1 + max([*vocabulary.values(), *(token["id"] for token in spec["added_tokens"])]))
         for token, number in vocabulary.items():
             self.pieces[number] = bytes(to_byte[character] for character in token)
@@ -54,40 +56,50 @@ class Codec:
             self.pieces[number] = content.encode()
         longest = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.chunks = _Cache(self._chunk)
-        self.pretokens = _Cache(lambda token: self.merge(token.encode()))
+        self.packed = _Cache(self._packed)
 
     def merge(self, token: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. Queue entries hold a pair's rank above its place; the rank tells stale ones."""
         symbols = [self.byte_ids[byte] for byte in token]
         size = len(symbols)
         before, after = list(range(-1, size - 1)), [*range(1, size), -1]
-        merges = self.merges
+        rank_of, merged = self.ranks.get, self.merged
+        push, pop = heapq.heappush, heapq.heappop
         queue = []
         for at in range(size - 1):
-            pair = symbols[at], symbols[at + 1]
-            if pair in merges:
-                queue.append((merges[pair][0], at, pair))
+            rank = rank_of(symbols[at] << 32 | symbols[at + 1])
+            if rank is not None:
+                queue.append(rank << 32 | at)
         heapq.heapify(queue)
         while queue:
-            _, at, pair = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, at = entry >> 32, entry & 0xFFFFFFFF
             right = after[at]
-            if right < 0 or (symbols[at], symbols[right]) != pair:
+            if right < 0 or symbols[at] < 0 or rank_of(symbols[at] << 32 | symbols[right]) != rank:
                 continue
-            symbols[at], symbols[right] = merges[pair][1], -1
-            after[at] = after[right]
-            if after[at] >= 0:
-                before[after[at]] = at
-            for left in (before[at], at):
-                if left >= 0 and after[left] >= 0:
-                    pair = symbols[left], symbols[after[left]]
-                    if pair in merges:
-                        heapq.heappush(queue, (merges[pair][0], left, pair))
+            symbol = symbols[at] = merged[rank]
+            symbols[right] = -1
+            right = after[at] = after[right]
+            if right >= 0:
+                before[right] = at
+                rank = rank_of(symbol << 32 | symbols[right])
+                if rank is not None:
+                    push(queue, rank << 32 | at)
+            left = before[at]
+            if left >= 0:
+                rank = rank_of(symbols[left] << 32 | symbol)
+                if rank is not None:
+                    push(queue, rank << 32 | left)
         return [symbol for symbol in symbols if symbol >= 0]
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [number for token in PRETOKEN.findall(chunk) for number in self.pretokens[token]]
-        return np.array(ids, "<u4").tobytes()
+    def _packed(self, chunk: str) -> bytes:
+        """Packed ids of a chunk; letters with at most one space before them are one pre-token."""
+        if not (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            tokens = PRETOKEN.findall(chunk)
+            if len(tokens) > 1:
+                return b"".join(map(self.packed.__getitem__, tokens))
+        ids = self.merge(chunk.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -99,7 +111,7 @@ class Codec:
         return b"".join(np.array([self.special[part]], "<u4").tobytes() if i % 2 else self._plain(part) for i, part in enumerate(parts))
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, (match.group() for match in CHUNK.finditer(text)) if len(text) > 1 << 22 else CHUNK.findall(text)))
+        return b"".join(map(self.packed.__getitem__, (match.group() for match in CHUNK.finditer(text)) if len(text) > 1 << 22 else CHUNK.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids; bytes that aren't UTF-8 become replacement characters."""
@@ -107,16 +119,19 @@ class Codec:
 
 
 class _Cache(dict):
-    """Remembers results of `make` for short keys and starts anew when it is full."""
+    """Remembers results of `make` for short keys. A full cache becomes the older half, which is looked up before it goes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
