@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import bpe, decontaminate, host_rules, licenses, simhash
-from spendframe.llm.common import table
+from spendframe.llm import bpe, bytenet, decontaminate, host_rules, langid, licenses, samples, simhash
+from spendframe.llm.common import held_out, remainder, table
 from spendframe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Labelled documents that the classifiers learn from, at most, per label (quality, toxicity) or in all (languages).
+QUALITY_SAMPLE = 1500
+LANGUAGE_SAMPLE = 1000
+QUALITY_THRESHOLD = 0.7
+
+
+def quality_network(docs: DataFrame, labels: DataFrame) -> bytenet.Network:
+    """The network learned from labelled rows of `docs` outside the held-out quarter."""
+    allowed = (remainder("doc_id", 4) != 2) & F.col("quality").isin(0, 1)
+    chosen = samples.pick(labels, "doc_id", "quality", allowed, QUALITY_SAMPLE)
+    return bytenet.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "quality", 2 * QUALITY_SAMPLE))
+
+
 @query
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +53,37 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_bytenet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality_network(docs, table(spark, sf_dir, "labels"))
+    scored = bytenet.predict(docs, network)
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    languages = known.select("lang").distinct().limit(LANGUAGE_SAMPLE + 1).count()
+    chosen = samples.pick(known, "doc_id", "lang", F.lit(True), max(1, LANGUAGE_SAMPLE // max(1, languages)))
+    model = langid.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "lang", 2 * LANGUAGE_SAMPLE))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        F.col("identified.language").alias("lang_pred"),
+        "identified.score",
+        "identified.cross_entropy",
+        "identified.rejected",
+    )
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
