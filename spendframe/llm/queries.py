@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import bpe, bytenet, decontaminate, host_rules, langid, licenses, samples, simhash
+from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, samples, simhash, toxicity
 from spendframe.llm.common import held_out, remainder, table
 from spendframe.session import durable
 
@@ -27,6 +27,7 @@ def tokenizer_path() -> str:
 #: Labelled documents that the classifiers learn from, at most, per label (quality, toxicity) or in all (languages).
 QUALITY_SAMPLE = 1500
 LANGUAGE_SAMPLE = 1000
+TOXICITY_SAMPLE = 2000
 QUALITY_THRESHOLD = 0.7
 
 
@@ -84,6 +85,26 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    allowed = (remainder("doc_id", 4) != 2) & F.col("toxic").isin(0, 1)
+    chosen = samples.pick(labels, "doc_id", "toxic", allowed, TOXICITY_SAMPLE)
+    sample = samples.collect_texts(docs, chosen, "doc_id", "text", "toxic", 2 * TOXICITY_SAMPLE)
+    share = labels.where(allowed).agg(F.avg("toxic")).first()[0]
+    chain = toxicity.fit([(text.decode("utf-8", "replace"), label) for text, label in sample], share)
+    found = toxicity.classify(docs, chain)
+    return found.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        F.col("toxicity.toxic").alias("score"),
+        (F.col("toxicity.toxic") >= chain.threshold).cast("int").alias("predicted"),
+        F.col("toxicity.insult").alias("insult_score"),
+        F.col("toxicity.contempt").alias("contempt_score"),
+    )
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +112,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query
+def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+    return archive.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
