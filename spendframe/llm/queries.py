@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, samples, simhash, toxicity
+from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, maxent, samples, simhash, toxicity
 from spendframe.llm.common import held_out, remainder, table
 from spendframe.session import durable
 
@@ -67,6 +67,13 @@ def op2_bytenet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = maxent.score(docs, remainder("doc_id", 5) != 1)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
