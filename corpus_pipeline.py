@@ -3,16 +3,37 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import bpe, simhash
-from spendframe.llm.queries import tokenizer_path
+from spendframe.llm import bpe, bytenet, decontaminate, host_rules, simhash
+from spendframe.llm.common import fresh_name, table
+from spendframe.llm.queries import QUALITY_THRESHOLD, quality_network, tokenizer_path
 from spendframe.session import new_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or whose host fails as a whole."""
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    measured = host_rules.measure(docs.select(whole.alias("row"), F.col("source"), F.col("text")))
+    return host_rules.judge(measured).where("kept").select("row.*")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the network, learned from labelled rows of this stage's input, scores below the threshold."""
+    network = quality_network(docs, table(spark, sf_dir, "labels"))
+    score = fresh_name(docs, "quality_score")
+    return bytenet.predict(docs, network, "text", score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each SimHash group."""
     return simhash.keep_first(docs, "doc_id", "text", size=3, max_bits=2)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    leaks = fresh_name(docs, "leaks")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"), "text", leaks).where(F.size(leaks) == 0).drop(leaks)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with their number and the digest of the text they decode to."""
     path = tokenizer_path()
@@ -26,7 +47,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("tokens", tokens),
 ]
 
