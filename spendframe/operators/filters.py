@@ -7,8 +7,6 @@ from spendframe.functions.predicates import condition, member, where
 from spendframe.operators.lookups import keep_matching
 from spendframe.session import durable, literal_rows
 
-MAX_GROUP_DEPTH = 64
-
 
 def scoped(df: DataFrame, **scope) -> DataFrame:
     """Tenancy columns: each given value narrows the rows, None leaves the column alone."""
@@ -26,28 +24,28 @@ def visible_to_projects(df: DataFrame, project_ids: list[str]) -> DataFrame:
 
 
 def group_closure(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Ids of the root groups and of all their descendants.
+    """Ids of the root groups and of all their descendants, at any depth.
 
-    Walks down one level per step. Each level is a written table, so the plan stays short and
-    a lost executor costs one level at most.
+    Every group points at an ancestor and knows whether a root stands between; each round doubles the
+    distance, so a tree of n levels takes about log2(n) rounds. A round is a written table. Pointers inside a cycle
+    never end; after as many doublings as there are groups nothing new can be found.
     """
-    frontier = roots.select("project_group_id").distinct()
-    closure = durable(frontier, "groups")
-    frontier = closure
-    for _ in range(MAX_GROUP_DEPTH):
-        children = (
-            groups.join(
-                frontier.withColumnRenamed("project_group_id", "parent_group_id"), "parent_group_id", "left_semi"
-            )
-            .select("project_group_id")
-            .distinct()
-            .join(closure, "project_group_id", "left_anti")
+    roots = roots.select("project_group_id").distinct()
+    known = groups.select("project_group_id", F.col("parent_group_id").alias("above"))
+    loose = roots.join(known, "project_group_id", "left_anti").withColumn("above", F.lit(None).cast("string"))
+    marked = known.unionByName(loose).join(roots.withColumn("hit", F.lit(True)), "project_group_id", "left")
+    state = durable(marked.withColumn("hit", F.coalesce("hit", F.lit(False))), "groups")
+    count, reach = state.count(), 1
+    while reach <= count and not state.where("above is not null and not hit").isEmpty():
+        upper = state.select(
+            F.col("project_group_id").alias("above"), F.col("above").alias("further"), F.col("hit").alias("also")
+        )
+        joined = state.join(upper, "above", "left")
+        moved = joined.groupBy("project_group_id", F.col("further").alias("above")).agg(
+            F.max(F.col("hit") | F.coalesce("also", F.lit(False))).alias("hit")
         )
-        frontier = durable(children, "groups")
-        if frontier.isEmpty():
-            return closure
-        closure = closure.unionByName(frontier)
-    raise ValueError("project groups are nested too deeply")
+        state, reach = durable(moved, "groups"), 2 * reach
+    return state.where("hit").select("project_group_id").distinct()
 
 
 def in_project_groups(df: DataFrame, spec: dict, groups: DataFrame, projects: DataFrame) -> DataFrame:

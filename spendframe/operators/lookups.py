@@ -1,42 +1,17 @@
 """Row-level lookups of a fact in a dimension with unique keys.
 
-A dimension is broadcast only after its row count has been checked. A larger one is joined by
-shuffle with salted keys: the dimension is repeated once per salt, so that a key (or the null
-key) holding a large share of the fact is spread over many tasks.
+These are plain equality joins. Adaptive execution broadcasts a side once its measured bytes allow it and
+splits partitions that a hot key, or the null key of a left join, has made large; both sides keep their own
+column pruning, and planning a lookup starts no job.
 """
 
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
-_UNHASHABLE = (T.MapType, T.StructType, T.ArrayType, T.VariantType)
-
-
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
-
-
-def _row_salt(df: DataFrame):
-    """Salt from the row's own values and its input partition: the same on every attempt of a task.
-
-    The partition spreads exact copies of one row, the values spread the rows of one partition.
-    """
-    plain = [F.col(field.name) for field in df.schema.fields if not isinstance(field.dataType, _UNHASHABLE)]
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int")
-
-
-def lookup(
-    fact: DataFrame,
-    dim: DataFrame,
-    keys: list[str],
-    null_safe: tuple[str, ...] = (),
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], null_safe: tuple[str, ...] = ()) -> DataFrame:
     """Left join on same-named keys; keys in `null_safe` treat null as a value."""
     renamed = dim.select(
         *[F.col(key).alias(f"_dim_{key}") for key in keys],
@@ -46,36 +21,18 @@ def lookup(
         F.col(key).eqNullSafe(F.col(f"_dim_{key}")) if key in null_safe else F.col(key) == F.col(f"_dim_{key}")
         for key in keys
     ]
-    scratch = [f"_dim_{key}" for key in keys]
-    if fits_broadcast(dim, max_rows):
-        joined = fact.join(F.broadcast(renamed), reduce(lambda a, b: a & b, matches), "left")
-        return joined.drop(*scratch)
-    fact = fact.withColumn("_salt", _row_salt(fact))
-    repeated = renamed.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    matches.append(F.col("_salt") == F.col("_dim_salt"))
-    joined = fact.join(repeated, reduce(lambda a, b: a & b, matches), "left")
-    return joined.drop("_salt", "_dim_salt", *scratch)
-
+    joined = fact.join(renamed, reduce(lambda a, b: a & b, matches), "left")
+    return joined.drop(*[f"_dim_{key}" for key in keys])
 
-def keep_matching(
-    fact: DataFrame, ids: DataFrame, key: str, negate: bool = False, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Rows whose key is (not) among `ids`; the id set is broadcast only when its size allows."""
-    side = F.broadcast(ids) if fits_broadcast(ids, max_rows) else ids
-    return fact.join(side, key, "left_anti" if negate else "left_semi")
 
+def keep_matching(fact: DataFrame, ids: DataFrame, key: str, negate: bool = False) -> DataFrame:
+    """Rows whose key is (not) among `ids`."""
+    return fact.join(ids, key, "left_anti" if negate else "left_semi")
 
-def join_null_safe(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, check_size: bool = False
-) -> DataFrame:
-    """Equality join on same-named keys where null matches null; keys of the right side are dropped.
 
-    With `check_size` the right side is broadcast if it is small enough. Otherwise, and beyond that
-    size, the join strategy and the splitting of skewed partitions are left to adaptive execution.
-    """
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equality join on same-named keys where null matches null; keys of the right side are dropped."""
     renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
-    if check_size and fits_broadcast(right):
-        renamed = F.broadcast(renamed)
     matches = [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
     joined = left.join(renamed, reduce(lambda a, b: a & b, matches), how)
     return joined.drop(*[f"_right_{key}" for key in keys])

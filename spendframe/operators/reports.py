@@ -181,7 +181,7 @@ def report_lines(unified: DataFrame, reports: DataFrame, scope: str = "WORKSPACE
         "region_code",
     )
     lines = lines.withColumnRenamed("billed_month", "report_month")
-    joined = join_null_safe(lines, heads, own, "inner", check_size=True)
+    joined = join_null_safe(lines, heads, own, "inner")
     return joined.withColumns(
         {
             "report_adjustment_policy_id": F.lit(None).cast("string"),

@@ -170,6 +170,14 @@ def test_virtual_workspace_filter(spark):
     assert ids(in_workspaces(cost, ["w1", "w3"], known, negate=True)) == [2, 4, 5]
 
 
+def test_group_closure_of_a_deep_tree(spark):
+    groups = spark.createDataFrame([(f"g{i}", f"g{i - 1}") for i in range(1, 101)], "project_group_id string, parent_group_id string")
+    found = group_closure(groups, groups.where("project_group_id = 'g7'"))
+    assert rows(found) == sorted((f"g{i}",) for i in range(7, 101))
+    root = spark.createDataFrame([("g0",)], "project_group_id string")
+    assert group_closure(groups, root).count() == 101
+
+
 def test_group_closure_stops_on_cycles(spark):
     groups = spark.createDataFrame(
         [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x")], "project_group_id string, parent_group_id string"
