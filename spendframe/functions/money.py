@@ -11,7 +11,7 @@ def total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def as_double(df: DataFrame, *names: str, scale: int = 4) -> DataFrame:
+def as_double(df: DataFrame, *names: str, scale: int = 6) -> DataFrame:
     """Round decimal money columns and hand them out as doubles."""
     return df.withColumns({name: F.round(F.col(name), scale).cast("double") for name in names})
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.schema import CURRENCIES, DEFAULT_RATES, FX_WINDOW_DAYS, RATE
+from spendframe.schema import CURRENCIES, DEFAULT_RATES, FX_WINDOW_DAYS, MONEY, RATE
 
 
 def asof_rates(quotes: DataFrame, as_of: str, window_days: int = FX_WINDOW_DAYS) -> DataFrame:
@@ -54,7 +54,7 @@ def fallback_rates(defaults: dict[str, float] = DEFAULT_RATES) -> list[tuple[str
                 rate = Decimal(str(defaults[f"{source}/{target}"]))
             else:
                 raise ValueError(f"no fallback rate for {source}/{target}")
-            rows.append((source, target, rate.quantize(Decimal("0.00000001"))))
+            rows.append((source, target, rate.quantize(Decimal(1).scaleb(-RATE.scale))))
     return rows
 
 
@@ -95,6 +95,6 @@ def convert(df: DataFrame, matrix: DataFrame, *keys: str, amount: str = "cost")
     not by the data.
     """
     joined = df.join(F.broadcast(matrix), [*keys, "currency"], "left")
-    value = F.col(amount).cast("decimal(20,4)")
+    value = F.col(amount).cast(MONEY)
     columns = {f"{amount}_{currency}": value * F.col(f"to_{currency}") for currency in CURRENCIES}
     return joined.withColumns(columns).drop(amount, *[f"to_{currency}" for currency in CURRENCIES])

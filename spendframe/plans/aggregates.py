@@ -22,7 +22,7 @@ _TWO = "CAST(CAST({0} AS decimal(38,2)) AS double)"
 @query(
     "agg_analyze_daily",
     """
-SELECT product, provider, tag_status AS status, billed_date AS date, CAST(sum(cost) AS double) AS cost,
+SELECT product, provider, tag_status AS status, billed_date AS date, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost,
        sum(usage_quantity) AS usage_quantity, CAST(sum(data_discount) AS double) AS discount
 FROM cost WHERE billed_date >= '1998-01-01' AND billed_date < '1998-02-01' AND data_source_id <> 'ds-1'
 GROUP BY ALL
@@ -41,13 +41,13 @@ def agg_analyze_daily(spark, sf_dir):
         end="1998-01-31",
         conditions=[{"k": "data_source_id", "v": "ds-1", "o": "not"}],
     )
-    return as_double(grouped, "cost", "discount")
+    return as_double(grouped, "cost", "discount", "usage_quantity")
 
 
 @query(
     "agg_analyze_monthly",
     """
-SELECT workspace_id, product, billed_month AS date, CAST(sum(cost) AS double) AS cost, sum(usage_quantity) AS usage_quantity
+SELECT workspace_id, product, billed_month AS date, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost, sum(usage_quantity) AS usage_quantity
 FROM monthly GROUP BY ALL
 """,
     ("monthly",),
@@ -55,13 +55,13 @@ FROM monthly GROUP BY ALL
 def agg_analyze_monthly(spark, sf_dir):
     rows = sample.cost(spark, sf_dir, "workspace_id", "product", "billed_month", "cost", "usage_quantity")
     grouped = analyze.analyze(rows, fields=_SUMS, group_by=["workspace_id", "product"], granularity="MONTHLY")
-    return as_double(grouped, "cost")
+    return as_double(grouped, "cost", "usage_quantity")
 
 
 @query(
     "agg_analyze_yearly",
     """
-SELECT provider, region_code, billed_year AS date, CAST(sum(cost) AS double) AS cost, sum(usage_quantity) AS usage_quantity
+SELECT provider, region_code, billed_year AS date, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost, sum(usage_quantity) AS usage_quantity
 FROM monthly WHERE billed_year >= '1997' AND billed_year < '2000' GROUP BY ALL
 """,
     ("monthly",),
@@ -72,13 +72,13 @@ def agg_analyze_yearly(spark, sf_dir):
     grouped = analyze.analyze(
         rows, fields=_SUMS, group_by=["provider", "region_code"], granularity="YEARLY", start="1997", end="1999"
     )
-    return as_double(grouped, "cost")
+    return as_double(grouped, "cost", "usage_quantity")
 
 
 @query(
     "agg_analyze_nogran",
     """
-SELECT data_source_id, usage_type, CAST(sum(cost) AS double) AS cost, sum(usage_quantity) AS usage_quantity
+SELECT data_source_id, usage_type, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost, sum(usage_quantity) AS usage_quantity
 FROM monthly GROUP BY ALL
 """,
     ("monthly",),
@@ -86,7 +86,7 @@ FROM monthly GROUP BY ALL
 def agg_analyze_nogran(spark, sf_dir):
     rows = sample.cost(spark, sf_dir, "data_source_id", "usage_type", "cost", "usage_quantity")
     grouped = analyze.analyze(rows, fields=_SUMS, group_by=["data_source_id", "usage_type"])
-    return as_double(grouped, "cost")
+    return as_double(grouped, "cost", "usage_quantity")
 
 
 def _unified_fields():
@@ -128,7 +128,7 @@ def agg_unified_yearly(spark, sf_dir):
 SELECT data_source_id, job_id, job_task_id, billed_month, usage_unit, provider, region_code, region_key, product,
        usage_type, resource, service_account_id, project_id, workspace_id, billed_year,
        tag_priority AS tags_priority, tag_status AS tags_status, info_size AS additional_info_size,
-       CAST(sum(cost) AS double) AS cost, sum(usage_quantity) AS usage_quantity, CAST(sum(data_discount) AS double) AS data_discount
+       CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost, sum(usage_quantity) AS usage_quantity, CAST(sum(data_discount) AS double) AS data_discount
 FROM cost GROUP BY ALL
 """,
     ("cost",),
@@ -137,14 +137,14 @@ def agg_monthly_rollup(spark, sf_dir):
     rolled = monthly_rollup(
         sample.cost(spark, sf_dir), sample.TAG_KEYS, sample.INFO_KEYS, sample.DATA_KEYS, nested=False
     )
-    return as_double(rolled, "cost", "data_discount")
+    return as_double(rolled, "cost", "usage_quantity", "data_discount")
 
 
 @query(
     "agg_unified_rollup",
     """
 SELECT workspace_id, project_id, service_account_id, data_source_id, product, provider, region_code, region_key,
-       usage_type, usage_unit, billed_year, billed_month, CAST(amount AS double) AS cost, usage_quantity
+       usage_type, usage_unit, billed_year, billed_month, CAST(CAST(amount AS decimal(38,6)) AS double) AS cost, usage_quantity
 FROM unified
 """,
     ("unified",),
@@ -156,7 +156,7 @@ def agg_unified_rollup(spark, sf_dir):
         sample.workspaces(spark, sf_dir),
         sample.sources(spark),
     )
-    return as_double(grouped, "cost")
+    return as_double(grouped, "cost", "usage_quantity")
 
 
 @query(

@@ -60,7 +60,7 @@ def join_account_upsert(spark, sf_dir):
 @query(
     "join_virtual_to_real",
     """
-SELECT workspace_id, billed_month, sum(cost)::double AS cost, count(*) AS group_count FROM (
+SELECT workspace_id, billed_month, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost, count(*) AS group_count FROM (
   SELECT CASE WHEN a.v_workspace_id IS NOT NULL THEN a.workspace_id ELSE r.workspace_id END AS workspace_id,
          r.billed_month, r.cost
   FROM (SELECT workspace_id, billed_month, sum(cost) AS cost FROM routed GROUP BY ALL) r
@@ -88,7 +88,7 @@ _NAME_KEYS = ["workspace_id", "project_id", "service_account_id", "data_source_i
 SELECT g.workspace_id, g.project_id, g.service_account_id, g.data_source_id, g.cost,
        w.name AS workspace_name, sa.name AS service_account_name, s.name AS data_source_name, s.currency,
        CASE WHEN g.workspace_id IS NOT NULL THEN coalesce(p.name, g.project_id) END AS project_name
-FROM (SELECT workspace_id, project_id, service_account_id, data_source_id, CAST(sum(cost) AS double) AS cost FROM cost GROUP BY ALL) g
+FROM (SELECT workspace_id, project_id, service_account_id, data_source_id, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost FROM cost GROUP BY ALL) g
 LEFT JOIN workspace w USING (workspace_id)
 LEFT JOIN project p ON p.workspace_id = g.workspace_id AND p.project_id = g.project_id
 LEFT JOIN service_account sa ON sa.workspace_id = g.workspace_id AND sa.service_account_id = g.service_account_id
@@ -114,7 +114,7 @@ def join_names(spark, sf_dir):
     """
 SELECT g.workspace_id, g.project_id, g.service_account_id, g.cost, w.name AS workspace_name,
        coalesce(p.name, '') AS project_name, coalesce(sa.name, '') AS service_account_name
-FROM (SELECT workspace_id, project_id, service_account_id, CAST(sum(cost) AS double) AS cost FROM cost
+FROM (SELECT workspace_id, project_id, service_account_id, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost FROM cost
       WHERE workspace_id IS NOT NULL GROUP BY ALL) g
 LEFT JOIN workspace w USING (workspace_id)
 LEFT JOIN project p ON p.workspace_id = g.workspace_id AND p.project_id = g.project_id
@@ -136,7 +136,7 @@ def join_report_names(spark, sf_dir):
     "join_source_currency",
     """
 SELECT c.billed_month, c.data_source_id, coalesce(s.currency, 'USD') AS currency,
-       coalesce(s.name, c.data_source_id) AS data_source_name, CAST(sum(c.cost) AS double) AS cost
+       coalesce(s.name, c.data_source_id) AS data_source_name, CAST(CAST(sum(c.cost) AS decimal(38,6)) AS double) AS cost
 FROM cost c LEFT JOIN (SELECT * FROM source WHERE data_source_id <> 'ds-2') s USING (data_source_id) GROUP BY ALL
 """,
     ("cost", "source"),
@@ -158,7 +158,7 @@ def _order_days(spark, sf_dir):
     "join_fx_asof",
     """
 SELECT CAST(d.as_of AS varchar) AS as_of, q.from_currency, q.to_currency, CAST(max(q.date) AS varchar) AS rate_date,
-       CAST(CASE WHEN q.from_currency = q.to_currency THEN 1 ELSE max_by(q.close, q.date) END AS double) AS rate
+       CAST(CAST(CASE WHEN q.from_currency = q.to_currency THEN 1 ELSE max_by(q.close, q.date) END AS decimal(38,10)) AS double) AS rate
 FROM (SELECT DISTINCT CAST(o_orderdate AS date) AS as_of FROM orders) d
 JOIN fx_quote q ON q.date BETWEEN d.as_of - INTERVAL 15 DAY AND d.as_of
 GROUP BY d.as_of, q.from_currency, q.to_currency
@@ -172,7 +172,7 @@ def join_fx_asof(spark, sf_dir):
         "from_currency",
         "to_currency",
         F.col("rate_date").cast("string").alias("rate_date"),
-        F.col("rate").cast("double").alias("rate"),
+        F.round("rate", 10).cast("double").alias("rate"),
     )
 
 
@@ -180,7 +180,7 @@ def join_fx_asof(spark, sf_dir):
     "join_fx_default",
     """
 SELECT CAST(d.as_of AS varchar) AS as_of, p.from_currency, p.to_currency,
-       CAST(CASE WHEN p.from_currency = p.to_currency THEN 1 ELSE coalesce(max_by(q.close, q.date), p.base) END AS double) AS rate
+       CAST(CAST(CASE WHEN p.from_currency = p.to_currency THEN 1 ELSE coalesce(max_by(q.close, q.date), p.base) END AS decimal(38,10)) AS double) AS rate
 FROM (SELECT DISTINCT CAST(o_orderdate AS date) AS as_of FROM orders) d CROSS JOIN pair p
 LEFT JOIN fx_quote q ON q.from_currency = p.from_currency AND q.to_currency = p.to_currency
   AND q.date BETWEEN d.as_of - INTERVAL 15 DAY AND d.as_of AND q.date < DATE '1997-01-01'
@@ -196,7 +196,7 @@ def join_fx_default(spark, sf_dir):
         F.col("as_of").cast("string").alias("as_of"),
         "from_currency",
         "to_currency",
-        F.col("rate").cast("double").alias("rate"),
+        F.round("rate", 10).cast("double").alias("rate"),
     )
 
 
@@ -263,7 +263,7 @@ def join_connected_sources(spark, sf_dir):
 @query(
     "join_report_sources",
     """
-SELECT data_source_id, count(*) AS row_count, CAST(sum(cost) AS double) AS cost FROM cost
+SELECT data_source_id, count(*) AS row_count, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost FROM cost
 WHERE data_source_id IN (SELECT data_source_id FROM source WHERE workspace_id IN ('building', '*')
   AND data_source_id IN ('ds-1', 'ds-2', 'ds-3') AND schedule_state = 'ENABLED') GROUP BY ALL
 """,

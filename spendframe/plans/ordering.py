@@ -14,7 +14,7 @@ from spendframe.sources import sample
     """
 SELECT billed_month, workspace_id, cost,
        row_number() OVER (ORDER BY billed_month DESC, workspace_id ASC NULLS FIRST) AS place
-FROM (SELECT billed_month, workspace_id, CAST(sum(cost) AS double) AS cost FROM cost GROUP BY ALL)
+FROM (SELECT billed_month, workspace_id, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost FROM cost GROUP BY ALL)
 """,
     ("cost",),
 )
@@ -29,7 +29,7 @@ def srt_order(spark, sf_dir):
     "lim_page",
     """
 SELECT product, usage_type, cost, (SELECT count(*) FROM (SELECT DISTINCT product, usage_type FROM cost)) AS total_count
-FROM (SELECT product, usage_type, CAST(sum(cost) AS double) AS cost FROM cost GROUP BY ALL)
+FROM (SELECT product, usage_type, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost FROM cost GROUP BY ALL)
 ORDER BY cost DESC, product, usage_type LIMIT 20 OFFSET 10
 """,
     ("cost",),

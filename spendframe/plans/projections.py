@@ -6,6 +6,7 @@ from spendframe.functions.money import as_double, total
 from spendframe.functions.paths import path
 from spendframe.operators import fx, projection
 from spendframe.plans.registry import query
+from spendframe.plans.views import exact_product
 from spendframe.schema import COST_MINIMAL_FIELDS
 from spendframe.session import literal_rows
 from spendframe.sources import sample
@@ -52,7 +53,7 @@ def prj_nested_path(spark, sf_dir):
 @query(
     "prj_only_fields",
     """
-SELECT cost_id, CAST(cost AS double) AS cost, provider, region_code, product, usage_type, resource, data_source_id,
+SELECT cost_id, CAST(CAST(cost AS decimal(38,6)) AS double) AS cost, provider, region_code, product, usage_type, resource, data_source_id,
        billed_date, tag_status AS tags_status FROM cost
 """,
     ("cost",),
@@ -148,7 +149,7 @@ WITH day_rate AS (
                   AND q.date BETWEEN DATE '1998-08-05' AND DATE '1998-08-20' ORDER BY q.date DESC LIMIT 1), p.base) END AS rate
   FROM pair p),
 amount AS (
-  SELECT c.workspace_id, c.data_source_id, s.currency, CAST(sum(c.cost) AS decimal(20,4)) AS cost
+  SELECT c.workspace_id, c.data_source_id, s.currency, CAST(sum(c.cost) AS decimal(28,12)) AS cost
   FROM cost c JOIN source s USING (data_source_id) GROUP BY ALL)
 """
 
@@ -156,9 +157,9 @@ amount AS (
 @query(
     "prj_currency_pivot",
     _CONVERTED_SQL
-    + """
+    + f"""
 SELECT workspace_id, data_source_id, to_currency AS currency,
-       CAST(CAST(cost * rate AS decimal(38,2)) AS double) AS cost
+       CAST(CAST({exact_product("cost", "rate")} AS decimal(38,2)) AS double) AS cost
 FROM amount JOIN day_rate ON from_currency = currency
 """,
     ("cost", "source", "fx_quote", "pair"),
@@ -172,11 +173,11 @@ def prj_currency_pivot(spark, sf_dir):
 @query(
     "prj_fx_convert",
     _CONVERTED_SQL
-    + """
+    + f"""
 SELECT workspace_id, data_source_id, currency,
-       CAST(CAST(max(CASE WHEN to_currency = 'KRW' THEN cost * rate END) AS decimal(38,2)) AS double) AS "cost_KRW",
-       CAST(CAST(max(CASE WHEN to_currency = 'USD' THEN cost * rate END) AS decimal(38,2)) AS double) AS "cost_USD",
-       CAST(CAST(max(CASE WHEN to_currency = 'JPY' THEN cost * rate END) AS decimal(38,2)) AS double) AS "cost_JPY"
+       CAST(CAST(max(CASE WHEN to_currency = 'KRW' THEN {exact_product("cost", "rate")} END) AS decimal(38,2)) AS double) AS "cost_KRW",
+       CAST(CAST(max(CASE WHEN to_currency = 'USD' THEN {exact_product("cost", "rate")} END) AS decimal(38,2)) AS double) AS "cost_USD",
+       CAST(CAST(max(CASE WHEN to_currency = 'JPY' THEN {exact_product("cost", "rate")} END) AS decimal(38,2)) AS double) AS "cost_JPY"
 FROM amount JOIN day_rate ON from_currency = currency GROUP BY ALL
 """,
     ("cost", "source", "fx_quote", "pair"),

@@ -77,7 +77,7 @@ FROM unified
 )
 def uni_build(spark, sf_dir):
     built = sample.unified(spark, sf_dir).select(*_UNIFIED_NAMES, "exchange_source", *currency_columns())
-    return as_double(built, *currency_columns(), scale=2)
+    return as_double(as_double(built, "usage_quantity"), *currency_columns(), scale=2)
 
 
 _CONFIG_SQL = """

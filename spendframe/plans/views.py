@@ -2,7 +2,8 @@
 
 _LINES = """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, substr(CAST(l_shipdate AS varchar), 1, 10)) AS cost_id,
-       CAST(CAST(l_extendedprice AS decimal(12,2)) * (CAST(1 AS decimal(3,2)) - CAST(l_discount AS decimal(3,2))) AS decimal(20,4)) AS cost,
+       CAST(CAST(l_extendedprice AS decimal(12,2)) * (CAST(1 AS decimal(3,2)) - CAST(l_discount AS decimal(3,2)))
+         * CASE WHEN l_quantity = 1 THEN CAST('0.00000001' AS decimal(9,8)) ELSE CAST(1 AS decimal(9,8)) END AS decimal(28,12)) AS cost,
        l_quantity AS usage_quantity,
        CASE l_returnflag WHEN 'A' THEN 'Hrs' WHEN 'N' THEN 'GB' END AS usage_unit,
        lower(r_name) AS provider,
@@ -34,6 +35,14 @@ LEFT JOIN nation ON s_nationkey = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey
 """
 
+
+
+def exact_product(amount: str, rate: str) -> str:
+    """Amount (12 decimals) times rate (18 decimals). In one product the digits would not fit, so the rate goes in two parts."""
+    high = f"CAST({rate} AS decimal(20,9))"
+    return f"(CAST({amount} * {high} AS decimal(38,15)) + CAST({amount} * ({rate} - {high}) AS decimal(38,15)))"
+
+
 _WORKSPACE_BY = "CASE {0} % 5 WHEN 0 THEN 'automobile' WHEN 1 THEN 'building' WHEN 2 THEN 'furniture' WHEN 3 THEN 'household' ELSE 'machinery' END"
 
 _UNIFIED_KEYS = """workspace_id, project_id, service_account_id, data_source_id, product, provider,
@@ -168,10 +177,10 @@ FROM budget CROSS JOIN (VALUES (CAST(80 AS double)), (50), (100)) t(threshold)
     "pair": (
         (),
         """
-SELECT a AS from_currency, b AS to_currency, CAST(rate AS decimal(14,8)) AS base FROM (VALUES
-  ('KRW', 'KRW', '1'), ('KRW', 'USD', '0.00071567'), ('KRW', 'JPY', '0.10699170'),
-  ('USD', 'KRW', '1398.69842034'), ('USD', 'USD', '1'), ('USD', 'JPY', '149.73205030'),
-  ('JPY', 'KRW', '9.34880863'), ('JPY', 'USD', '0.00668685'), ('JPY', 'JPY', '1')
+SELECT a AS from_currency, b AS to_currency, CAST(rate AS decimal(24,18)) AS base FROM (VALUES
+  ('KRW', 'KRW', '1'), ('KRW', 'USD', '0.0007156681922951203'), ('KRW', 'JPY', '0.10699169521856493'),
+  ('USD', 'KRW', '1398.6984203441723'), ('USD', 'USD', '1'), ('USD', 'JPY', '149.73205030286636'),
+  ('JPY', 'KRW', '9.34880863101326'), ('JPY', 'USD', '0.006686848624246231'), ('JPY', 'JPY', '1')
 ) t(a, b, rate)
 """,
     ),
@@ -179,7 +188,7 @@ SELECT a AS from_currency, b AS to_currency, CAST(rate AS decimal(14,8)) AS base
         ("pair",),
         """
 SELECT date, from_currency, to_currency,
-       CAST(base * (CAST(1000 + day(date) % 20 AS decimal(6,0)) * CAST('0.001' AS decimal(4,3))) AS decimal(14,8)) AS close
+       CAST(base * (CAST(1000 + day(date) % 20 AS decimal(6,0)) * CAST('0.001' AS decimal(4,3))) AS decimal(24,18)) AS close
 FROM (SELECT DISTINCT CAST(o_orderdate AS date) AS date FROM orders) CROSS JOIN pair
 WHERE day(date) % 7 <> 0
 """,
@@ -238,12 +247,14 @@ LEFT JOIN account a ON a.v_workspace_id = r.workspace_id AND a.workspace_id IS N
     "unified": (
         ("folded", "workspace", "project", "service_account", "source", "calendar", "rate"),
         f"""
-SELECT g.*, g.amount * k.rate AS "cost_KRW", g.amount * u.rate AS "cost_USD", g.amount * j.rate AS "cost_JPY",
+SELECT g.*, {exact_product("g.amount", "k.rate")} AS "cost_KRW",
+       {exact_product("g.amount", "u.rate")} AS "cost_USD",
+       {exact_product("g.amount", "j.rate")} AS "cost_JPY",
        s.currency, s.name AS data_source_name, w.name AS workspace_name,
        CASE WHEN g.workspace_id IS NOT NULL THEN coalesce(p.name, g.project_id) END AS project_name,
        sa.name AS service_account_name, c.is_confirmed,
        CAST(c.exchange_date AS varchar) AS exchange_date, CAST(c.aggregation_date AS varchar) AS aggregation_date
-FROM (SELECT {_UNIFIED_KEYS}, sum(cost)::decimal(20,4) AS amount, sum(usage_quantity) AS usage_quantity FROM folded GROUP BY ALL) g
+FROM (SELECT {_UNIFIED_KEYS}, sum(cost)::decimal(28,12) AS amount, sum(usage_quantity) AS usage_quantity FROM folded GROUP BY ALL) g
 JOIN source s ON s.data_source_id = g.data_source_id AND (s.workspace_id = '*' OR s.workspace_id = g.workspace_id)
 JOIN calendar c ON c.billed_month = g.billed_month
 JOIN rate k ON k.exchange_date = c.exchange_date AND k.from_currency = s.currency AND k.to_currency = 'KRW'

@@ -2,8 +2,9 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(20, 4)
-RATE = T.DecimalType(14, 8)
+# Amounts and quantities of a line, and exchange rates. Nothing is rounded before the output.
+MONEY = T.DecimalType(28, 12)
+RATE = T.DecimalType(24, 18)
 
 # Supported currencies and the exchange rates used when no quote is found.
 CURRENCIES = ["KRW", "USD", "JPY"]
@@ -43,7 +44,7 @@ RULE_CONDITION_KEYS = [
 RULE_CONDITION_BAGS = ["tags", "additional_info"]
 RULE_CONDITION_OPERATORS = ["eq", "contain", "not", "not_contain"]
 
-# Row contract of a billing source. Only billed_date must be present.
+# Row contract of a billing source. Only billed_date must be present.
 BILLING_ROW = T.StructType(
     [
         T.StructField("cost", T.DoubleType()),
@@ -61,7 +62,7 @@ BILLING_ROW = T.StructType(
     ]
 )
 
-# Grouping keys of the monthly table, besides tag and additional-info keys.
+# Grouping keys of the monthly table, besides tag and additional-info keys.
 ROLLUP_BATCH_KEYS = ["data_source_id", "job_id", "job_task_id", "billed_month"]
 ROLLUP_KEYS = [
     "usage_unit",
@@ -77,6 +78,7 @@ ROLLUP_KEYS = [
     "billed_year",
 ]
 
+# Grouping keys of unified cost.
 UNIFIED_KEYS = [
     "workspace_id",
     "project_id",

@@ -62,6 +62,11 @@ def _amount(part: Column) -> Column:
     return F.col("l_extendedprice").cast("decimal(12,2)") * part
 
 
+def _tiny() -> Column:
+    """A fiftieth of the lines cost far less than a hundredth of a cent, as metered services do."""
+    return F.when(F.col("l_quantity") == 1, F.lit("0.00000001")).otherwise(F.lit("1")).cast("decimal(9,8)")
+
+
 def _cost_columns() -> dict[str, Column]:
     discount = F.col("l_discount").cast("decimal(3,2)")
     customer = F.col("o_custkey")
@@ -70,8 +75,8 @@ def _cost_columns() -> dict[str, Column]:
         "cost_id": F.concat_ws(
             "-", *[_text(F.col(f"l_{name}")) for name in ("orderkey", "linenumber", "partkey", "suppkey")], day
         ),
-        "cost": _amount(F.lit(1).cast("decimal(3,2)") - discount).cast(MONEY),
-        "usage_quantity": F.col("l_quantity"),
+        "cost": (_amount(F.lit(1).cast("decimal(3,2)") - discount) * _tiny()).cast(MONEY),
+        "usage_quantity": F.col("l_quantity").cast(MONEY),
         "usage_unit": F.when(F.col("l_returnflag") == "A", "Hrs").when(F.col("l_returnflag") == "N", "GB"),
         "provider": F.lower("r_name"),
         "region_code": F.col("n_name"),
