@@ -108,16 +108,19 @@ def account_counts(sources: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def connected_sources(sources: DataFrame, accounts: DataFrame, workspace_id: str) -> DataFrame:
-    """Sources a workspace can see: workspace sources, unrouted domain sources, and routed domain
-    sources with an account linked to the workspace."""
-    linked = accounts.where(F.col("workspace_id") == workspace_id).select("data_source_id").distinct()
-    open_sources = (F.col("resource_group") != "DOMAIN") | ~F.coalesce("use_account_routing", F.lit(False))
-    return (
-        sources.join(linked.withColumn("_linked", F.lit(True)), "data_source_id", "left")
-        .where(open_sources | F.coalesce("_linked", F.lit(False)))
-        .drop("_linked")
-    )
+def connected_sources(sources: DataFrame, accounts: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """(workspace_id, source columns): the sources that each workspace of a table can see.
+
+    Routed domain sources are seen by workspaces with a linked account. Workspace sources and unrouted domain sources
+    are seen by all: they are listed once, with a null workspace, rather than once for every workspace.
+    """
+    asking = workspaces.select("workspace_id").distinct()
+    named = sources.withColumnRenamed("workspace_id", "owner_workspace_id")
+    is_open = (F.col("resource_group") != "DOMAIN") | ~F.coalesce("use_account_routing", F.lit(False))
+    linked = accounts.join(asking, "workspace_id", "left_semi").select("workspace_id", "data_source_id").distinct()
+    by_link = linked.join(named.where(~is_open), "data_source_id")
+    by_all = named.where(is_open).withColumn("workspace_id", F.lit(None).cast("string"))
+    return by_all.unionByName(by_link)
 
 
 def report_sources(

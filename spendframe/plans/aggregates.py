@@ -1,8 +1,4 @@
-"""Aggregations.
-
-Monthly and yearly questions give the same answer on daily rows as on the monthly table, so these
-queries group the sample lines directly and skip the rollup's shuffle.
-"""
+"""Aggregations. Daily questions read the daily lines, all others the stored monthly table."""
 
 from pyspark.sql import functions as F
 
@@ -19,6 +15,13 @@ _SUMS = {"cost": {"key": "cost", "operator": "sum"}, "usage_quantity": {"key": "
 _TWO = "CAST(CAST({0} AS decimal(38,2)) AS double)"
 
 
+def _analyze(spark, sf_dir, granularity, fields=None, **question):
+    names = ["product", "provider", "tags", "data", "data_source_id", "billed_date", "cost", "usage_quantity"]
+    daily = sample.cost(spark, sf_dir, *names) if granularity == "DAILY" else None
+    monthly = None if granularity == "DAILY" else sample.monthly(spark, sf_dir)
+    return analyze.analyze_by_granularity(daily, monthly, granularity, fields=fields or _SUMS, **question)
+
+
 @query(
     "agg_analyze_daily",
     """
@@ -30,13 +33,12 @@ GROUP BY ALL
     ("cost",),
 )
 def agg_analyze_daily(spark, sf_dir):
-    names = ["product", "provider", "tags", "data", "data_source_id", "billed_date", "cost", "usage_quantity"]
-    rows = sample.cost(spark, sf_dir, *names, days=("1998-01-01", "1998-02-01"))
-    grouped = analyze.analyze(
-        rows,
+    grouped = _analyze(
+        spark,
+        sf_dir,
+        "DAILY",
         fields={**_SUMS, "discount": {"key": "data.discount", "operator": "sum"}},
         group_by=["product", "provider", {"key": "tags.status", "name": "status"}],
-        granularity="DAILY",
         start="1998-01-01",
         end="1998-01-31",
         conditions=[{"k": "data_source_id", "v": "ds-1", "o": "not"}],
@@ -53,8 +55,7 @@ FROM monthly GROUP BY ALL
     ("monthly",),
 )
 def agg_analyze_monthly(spark, sf_dir):
-    rows = sample.cost(spark, sf_dir, "workspace_id", "product", "billed_month", "cost", "usage_quantity")
-    grouped = analyze.analyze(rows, fields=_SUMS, group_by=["workspace_id", "product"], granularity="MONTHLY")
+    grouped = _analyze(spark, sf_dir, "MONTHLY", group_by=["workspace_id", "product"])
     return as_double(grouped, "cost", "usage_quantity")
 
 
@@ -67,11 +68,7 @@ FROM monthly WHERE billed_year >= '1997' AND billed_year < '2000' GROUP BY ALL
     ("monthly",),
 )
 def agg_analyze_yearly(spark, sf_dir):
-    names = ["provider", "region_code", "billed_year", "cost", "usage_quantity"]
-    rows = sample.cost(spark, sf_dir, *names, days=("1997-01-01", "2000-01-01"))
-    grouped = analyze.analyze(
-        rows, fields=_SUMS, group_by=["provider", "region_code"], granularity="YEARLY", start="1997", end="1999"
-    )
+    grouped = _analyze(spark, sf_dir, "YEARLY", group_by=["provider", "region_code"], start="1997", end="1999")
     return as_double(grouped, "cost", "usage_quantity")
 
 
@@ -84,8 +81,7 @@ FROM monthly GROUP BY ALL
     ("monthly",),
 )
 def agg_analyze_nogran(spark, sf_dir):
-    rows = sample.cost(spark, sf_dir, "data_source_id", "usage_type", "cost", "usage_quantity")
-    grouped = analyze.analyze(rows, fields=_SUMS, group_by=["data_source_id", "usage_type"])
+    grouped = _analyze(spark, sf_dir, None, group_by=["data_source_id", "usage_type"])
     return as_double(grouped, "cost", "usage_quantity")
 
 
@@ -240,8 +236,7 @@ def agg_report_total(spark, sf_dir):
     ("monthly",),
 )
 def agg_distinct(spark, sf_dir):
-    rows = sample.cost(spark, sf_dir, "product", "provider")
-    return analyze.distinct_values(rows, "product", [{"k": "provider", "v": "asia", "o": "eq"}])
+    return analyze.distinct_values(sample.monthly(spark, sf_dir), "product", [{"k": "provider", "v": "asia", "o": "eq"}])
 
 
 @query(
@@ -260,7 +255,7 @@ def agg_distinct_batches(spark, sf_dir):
         {"k": "billed_month", "v": "2000-06", "o": "lte"},
     ]
     keys = ["job_id", "job_task_id", "billed_month"]
-    rows = sample.cost(spark, sf_dir, "data_source_id", *keys, days=("1997-03-01", "2000-07-01"))
+    rows = sample.cost(spark, sf_dir, "data_source_id", *keys)
     return rows.where(where(conditions)).select(*keys).distinct()
 
 

@@ -59,9 +59,7 @@ def flt_range(spark, sf_dir):
         {"k": "billed_month", "v": "1998-10", "o": "lte"},
         {"k": "billed_date", "v": "1998-10-15", "o": "lt"},
     ]
-    rows = sample.cost(
-        spark, sf_dir, "cost_id", "billed_month", "billed_date", days=("1997-05-01", "1998-10-15")
-    )
+    rows = sample.cost(spark, sf_dir, "cost_id", "billed_month", "billed_date")
     return rows.where(where(conditions)).drop("billed_date")
 
 
@@ -151,16 +149,13 @@ def flt_project_group(spark, sf_dir):
     "flt_virtual_workspace",
     """
 SELECT cost_id, workspace_id FROM routed
-WHERE data_source_id = 'ds-0' AND workspace_id IN (
-  SELECT v_workspace_id FROM account WHERE data_source_id = 'ds-0' AND workspace_id IN ('building', 'household'))
+WHERE workspace_id IN (SELECT v_workspace_id FROM account WHERE workspace_id IN ('building', 'household'))
 """,
     ("routed", "account"),
 )
 def flt_virtual_workspace(spark, sf_dir):
     rows = sample.routed(spark, sf_dir, "cost_id", "workspace_id", "data_source_id", "account_id")
-    accounts = sample.accounts(spark, sf_dir).where(F.col("data_source_id") == "ds-0")
-    kept = rows.where(F.col("data_source_id") == "ds-0")
-    return filters.in_workspaces(kept, ["building", "household"], accounts).select("cost_id", "workspace_id")
+    return filters.in_workspaces(rows, ["building", "household"], sample.accounts(spark, sf_dir)).select("cost_id", "workspace_id")
 
 
 @query(
@@ -174,7 +169,7 @@ UNION ALL SELECT 'YEARLY', cost_id FROM cost WHERE billed_year >= '1999' AND bil
 )
 def flt_date_window(spark, sf_dir):
     names = ["cost_id", "billed_date", "billed_month", "billed_year"]
-    rows = sample.cost(spark, sf_dir, *names, days=("1997-11-01", "2001-01-01"))
+    rows = sample.cost(spark, sf_dir, *names)
     windows = {"DAILY": ("1998-01", "1998-01-15"), "MONTHLY": ("1997-11", "1998-01"), "YEARLY": ("1999", "2000")}
     # One scan: each row is listed under the windows that contain it.
     hits = [

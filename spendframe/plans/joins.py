@@ -42,12 +42,12 @@ def join_account_connect(spark, sf_dir):
 SELECT data_source_id, account_id,
        CASE WHEN k % 6 = 0 THEN 'Renamed ' || k WHEN k % 3 = 0 THEN 'New ' || k ELSE name END AS name,
        CASE WHEN k % 6 = 0 THEN 'renamed' WHEN k % 3 = 0 THEN 'inserted' ELSE 'kept' END AS change
-FROM (SELECT *, CAST(substr(account_id, 6) AS integer) AS k FROM account WHERE data_source_id = 'ds-0')
+FROM (SELECT *, CAST(substr(account_id, 6) AS integer) AS k FROM account)
 """,
     ("account",),
 )
 def join_account_upsert(spark, sf_dir):
-    known = sample.accounts(spark, sf_dir).where(F.col("data_source_id") == "ds-0")
+    known = sample.accounts(spark, sf_dir)
     k = F.substring("account_id", 6, 10).cast("int")
     existing = known.where((k % 3 != 0) | (k % 6 == 0)).select("data_source_id", "account_id", "name")
     label = F.when(k % 6 == 0, F.concat(F.lit("Renamed "), k.cast("string"))).when(
@@ -246,18 +246,19 @@ def join_policy_report(spark, sf_dir):
 @query(
     "join_connected_sources",
     """
-SELECT w.workspace_id, s.data_source_id, s.name FROM (VALUES ('building'), ('automobile')) w(workspace_id) CROSS JOIN source s
-WHERE s.resource_group <> 'DOMAIN' OR NOT s.use_account_routing
-   OR EXISTS (SELECT 1 FROM account a WHERE a.data_source_id = s.data_source_id AND a.workspace_id = w.workspace_id)
+SELECT CAST(NULL AS varchar) AS workspace_id, data_source_id, name FROM source
+WHERE resource_group <> 'DOMAIN' OR NOT use_account_routing
+UNION ALL
+SELECT DISTINCT a.workspace_id, s.data_source_id, s.name FROM source s JOIN account a USING (data_source_id)
+JOIN workspace w ON w.workspace_id = a.workspace_id
+WHERE s.resource_group = 'DOMAIN' AND s.use_account_routing
 """,
-    ("account", "source"),
+    ("account", "source", "workspace"),
 )
 def join_connected_sources(spark, sf_dir):
-    def seen_by(workspace_id):
-        visible = accounts.connected_sources(sample.sources(spark), sample.accounts(spark, sf_dir), workspace_id)
-        return visible.select(F.lit(workspace_id).alias("workspace_id"), "data_source_id", "name")
-
-    return seen_by("building").unionByName(seen_by("automobile"))
+    asking = sample.workspaces(spark, sf_dir).select("workspace_id")
+    visible = accounts.connected_sources(sample.sources(spark), sample.accounts(spark, sf_dir), asking)
+    return visible.select("workspace_id", "data_source_id", "name")
 
 
 @query(

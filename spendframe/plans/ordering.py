@@ -75,15 +75,15 @@ def lim_first_match(spark, sf_dir):
 @query(
     "set_distinct_search_page",
     """
-SELECT value, (SELECT count(DISTINCT region_key) FROM cost WHERE contains(region_key, 'nation_1')
+SELECT value, (SELECT count(DISTINCT region_key) FROM monthly WHERE contains(region_key, 'nation_1')
                OR contains(lower(region_key), 'nation_1')) AS total_count
-FROM (SELECT DISTINCT region_key AS value FROM cost WHERE contains(lower(region_key), 'nation_1'))
+FROM (SELECT DISTINCT region_key AS value FROM monthly WHERE contains(lower(region_key), 'nation_1'))
 ORDER BY value LIMIT 4 OFFSET 2
 """,
-    ("cost",),
+    ("monthly",),
 )
 def set_distinct_search_page(spark, sf_dir):
-    found = analyze.distinct_values(sample.cost(spark, sf_dir, "region_key"), "region_key", search="Nation_1")
+    found = analyze.distinct_values(sample.monthly(spark, sf_dir), "region_key", search="Nation_1")
     return paging.page(found, ["value"], limit=4, start=3)
 
 

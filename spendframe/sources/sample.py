@@ -12,8 +12,8 @@ from spendframe.operators.accounts import route_accounts
 from spendframe.operators.fx import pair_structs
 from spendframe.operators.rollup import monthly_rollup
 from spendframe.operators.unified import build_unified
-from spendframe.schema import MONEY, RATE, UNIFIED_KEYS
-from spendframe.session import durable, literal_rows
+from spendframe.schema import MONEY, RATE
+from spendframe.session import durable, literal_rows, new_path
 
 AS_OF = "1998-08-20"
 AS_OF_MONTH = "1998-08"
@@ -107,18 +107,11 @@ def _project_id() -> Column:
     return F.concat(F.lit("project-"), F.lower("c_mktsegment"), F.lit("-"), _text(F.col("c_nationkey") % 5))
 
 
-def cost(spark: SparkSession, sf_dir: str, *columns: str, days: tuple[str, str] | None = None) -> DataFrame:
-    """Daily cost lines with the wanted columns (all when none is named).
-
-    `days` is a half-open range that the caller's own period filter implies. On the stored cost table
-    that filter prunes partitions; here the range is handed to the line scan.
-    """
+def cost(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Daily cost lines with the wanted columns (all when none is named)."""
     available = _cost_columns()
     wanted = list(columns) or list(available)
     lines = table(spark, sf_dir, "lineitem")
-    if days:
-        start, end = (F.lit(day).cast("timestamp_ntz") for day in days)
-        lines = lines.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end))
     asked = set(wanted)
     if asked & (_FROM_ORDERS | _FROM_CUSTOMER):
         orders = table(spark, sf_dir, "orders")
@@ -328,8 +321,23 @@ def fx_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def monthly(spark: SparkSession, sf_dir: str, tag_keys=(), info_keys=(), data_keys=()) -> DataFrame:
-    return monthly_rollup(cost(spark, sf_dir), list(tag_keys), list(info_keys), list(data_keys), nested=False)
+_stored: dict[tuple, tuple] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that one run builds once, partitioned by month, and then reads as often as it needs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        frame, path = build(), new_path(spark, name)
+        frame.write.partitionBy("billed_month").parquet(path)
+        _stored[key] = path, frame.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored monthly table: the rollup of all daily lines."""
+    return stored(spark, sf_dir, "monthly", lambda: monthly_rollup(cost(spark, sf_dir), nested=False))
 
 
 def routed(spark: SparkSession, sf_dir: str, *columns: str, known: DataFrame | None = None) -> DataFrame:
@@ -338,26 +346,27 @@ def routed(spark: SparkSession, sf_dir: str, *columns: str, known: DataFrame | N
 
 
 def routed_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monthly_rollup(routed(spark, sf_dir), nested=False)
+    """The stored monthly table of lines whose workspace is that of their account."""
+    return stored(spark, sf_dir, "routed-monthly", lambda: monthly_rollup(routed(spark, sf_dir), nested=False))
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified cost of every month. It sums whatever rows it is given per month, so the sample feeds it
-    the routed lines and saves the rollup's shuffle; a deployment feeds it the stored monthly table.
+    """The stored unified cost of every month, built from the monthly table."""
+    return stored(spark, sf_dir, "unified", lambda: unified_of(spark, sf_dir, routed_monthly(spark, sf_dir)))
+
 
-    Accounts and months are read several times, so each is derived once into a small table.
-    """
-    known = durable(accounts(spark, sf_dir), "accounts")
+def unified_of(spark: SparkSession, sf_dir: str, rows: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Unified cost of monthly rows. Accounts and months are read several times, so each is derived once."""
     return build_unified(
-        routed(spark, sf_dir, *UNIFIED_KEYS, "account_id", "cost", "usage_quantity", known=known),
-        durable(cost(spark, sf_dir, "billed_month").distinct(), "months"),
-        known,
+        rows,
+        durable(rows.select("billed_month").distinct(), "months"),
+        durable(accounts(spark, sf_dir), "accounts"),
         workspaces(spark, sf_dir),
         projects(spark, sf_dir),
         service_accounts(spark, sf_dir),
         sources(spark),
         fx_quotes(spark, sf_dir),
-        F.lit(AS_OF),
+        F.lit(as_of),
     )
 
 

@@ -11,39 +11,44 @@ def page_stream(spark: SparkSession, folder: str, file_format: str = "parquet",
     return spark.readStream.schema(schema).options(**options).format(file_format).load(folder)
 
 
-def load_pages(rows: DataFrame, batch: dict, table_path: str, checkpoint: str, prepare=None):
-    """Append all valid rows of the pages that are there now and stop; a rerun continues after the last page.
+def load_pages(rows: DataFrame, batch: dict, table_path: str, rejects_path: str, checkpoint: str, prepare=None) -> None:
+    """Append the pages that are there now and stop; a rerun continues after the last page.
 
-    `prepare` may add routing and rules; it takes and returns a DataFrame. The file sink and the
-    checkpoint give each page exactly once, also when a run is repeated after a failure.
+    Valid rows go into the table, rejected ones with their reasons into a table of their own, by two streams over the
+    same pages. `prepare` may add routing and rules; it takes and returns a DataFrame. The file sink and the
+    checkpoints give each page exactly once to either table, also when a run is repeated after a failure.
     """
-    valid, _ = split_valid(rows)
+    valid, rejected = split_valid(rows)
     lines = normalise(valid, batch)
     if prepare:
         lines = prepare(lines)
-    return (
-        lines.writeStream.format("parquet")
-        .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("data_source_id", "billed_month")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    loads = [
+        _append(lines, table_path, f"{checkpoint}/valid", ["data_source_id", "billed_month"]),
+        _append(rejected, rejects_path, f"{checkpoint}/rejected", []),
+    ]
+    for load in loads:
+        load.awaitTermination()
+
+
+def _append(rows: DataFrame, path: str, checkpoint: str, partitions: list[str]):
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.partitionBy(*partitions).outputMode("append").trigger(availableNow=True).start()
 
 
-def load_pages_in_batches(rows: DataFrame, batch: dict, write_batch, checkpoint: str, write_rejects=None):
-    """Like `load_pages`, but hands each micro-batch to `write_batch(df, batch_id)`.
+def load_pages_in_batches(rows: DataFrame, batch: dict, write_batch, write_rejects, checkpoint: str):
+    """Like `load_pages`, for sinks that replace rows: hands each micro-batch to `write_batch(df, batch_id)`.
 
-    For sinks that replace rows, and for keeping the rejected rows with their reasons:
-    `write_rejects` gets them. Both may be called again with the same id.
+    `write_rejects` gets the rejected rows with their reasons. Both may be called again with the same id.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
-        valid, rejected = split_valid(df)
-        write_batch(normalise(valid, batch), batch_id)
-        if write_rejects:
+        df = df.persist()
+        try:
+            valid, rejected = split_valid(df)
+            write_batch(normalise(valid, batch), batch_id)
             write_rejects(rejected, batch_id)
+        finally:
+            df.unpersist()
 
     return (
         rows.writeStream.foreachBatch(write)

@@ -43,20 +43,21 @@ def test_json_rows_checked_and_normalised(spark, tmp_path):
 
 
 def test_stream_loads_every_page_once(spark, tmp_path):
-    pages, table, checkpoint = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "check")
+    pages, table, refusals, checkpoint = tmp_path / "pages", *(str(tmp_path / name) for name in ("table", "refused", "check"))
     write_page(pages, "1.json", {"billed_date": "2024-01-01", "cost": 1}, {"cost": 9})
-    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, checkpoint).awaitTermination()
+    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, refusals, checkpoint)
     write_page(pages, "2.json", {"billed_date": "2024-02-01", "cost": 2})
-    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, checkpoint).awaitTermination()
-    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, checkpoint).awaitTermination()
+    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, refusals, checkpoint)
+    load_pages(page_stream(spark, str(pages), "json"), BATCH, table, refusals, checkpoint)
     assert rows(spark.read.parquet(table).selectExpr("billed_month", "cast(cost as double)")) == [("2024-01", 1.0), ("2024-02", 2.0)]
+    assert rows(spark.read.parquet(refusals).selectExpr("cast(cost as double)", "reason")) == [(9.0, "missing billed_date")]
     seen, refused = [], []
     load_pages_in_batches(
         page_stream(spark, str(pages), "json"),
         BATCH,
         lambda df, _: seen.append(df.count()),
-        str(tmp_path / "check2"),
         lambda df, _: refused.append(df.count()),
+        str(tmp_path / "check2"),
     ).awaitTermination()
     assert (sum(seen), sum(refused)) == (2, 1)
 
@@ -101,16 +102,33 @@ def test_rewrite_touches_only_losing_partitions_and_clears_emptied_ones(spark, f
     facts.write.partitionBy(*retention.FACT_PARTITIONS).parquet(path)
     untouched = {f.name for f in (tmp_path / "facts/data_source_id=b/billed_month=2024-02").iterdir()}
     job = {"job_id": "new", "data_source_id": "a", "changed": [{"start": "2024-02"}]}
-    retention.rewrite(path, spark.read.parquet(path), retention.replaced_by_job(job))
+    retention.rewrite(path, spark.read.schema(facts.schema).parquet(path), retention.replaced_by_job(job))
     assert ids(spark.read.parquet(path)) == [1, 3, 5, 6]
     assert {f.name for f in (tmp_path / "facts/data_source_id=b/billed_month=2024-02").iterdir()} == untouched
 
 
-def test_replace_month_leaves_other_months(spark, tmp_path):
-    path = str(tmp_path / "unified")
-    spark.createDataFrame([("2024-01", 1), ("2024-02", 2)], "billed_month string, v int").write.partitionBy("billed_month").parquet(path)
-    retention.replace_month(path, spark.read.parquet(path).where("billed_month = '2024-02'").withColumn("v", F.lit(9)))
-    assert rows(spark.read.parquet(path), "billed_month", "v") == [("2024-01", 1), ("2024-02", 9)]
+def test_rewrite_with_null_and_odd_partition_values(spark, tmp_path):
+    rows_ = [(1, None, "2024-01"), (2, "x:y", "2024-01"), (3, "x:y", "2024-02"), (4, "x/y", "2024-01"), (5, "", "2024-02"), (6, "a b=%", "2024-01"), (7, "01", "2024-01")]
+    table = spark.createDataFrame(rows_, "id int, data_source_id string, billed_month string")
+    path = str(tmp_path / "odd")
+    table.write.partitionBy(*retention.FACT_PARTITIONS).parquet(path)
+    read = lambda: spark.read.schema(table.schema).parquet(path)
+    assert rows(read(), "id") == [(i,) for i in range(1, 8)]
+    retention.rewrite(path, read(), F.col("id").isin(1, 2, 4, 6, 7))
+    assert rows(read(), "id", "billed_month") == [(3, "2024-02"), (5, "2024-02")]
+    retention.rewrite(path, read(), F.lit(True))
+    assert read().count() == 0
+
+
+def test_replaced_months_may_become_empty(spark, tmp_path):
+    table = spark.createDataFrame([(1, "2024-01"), (2, "2024-02"), (3, "2024-03"), (4, None)], "id int, billed_month string")
+    path = str(tmp_path / "months")
+    table.write.partitionBy("billed_month").parquet(path)
+    months = spark.createDataFrame([("2024-02",), ("2024-03",), ("2025-01",)], "billed_month string")
+    new = spark.createDataFrame([(9, "2024-02"), (8, "2024-01")], "id int, billed_month string")
+    retention.replace_months(path, new, months, table.schema)
+    left = spark.read.schema(table.schema).parquet(path)
+    assert rows(left, "id", "billed_month") == sorted([(1, "2024-01"), (9, "2024-02"), (4, None)], key=str)
 
 
 def quotes(spark, *items):
@@ -133,7 +151,7 @@ def test_asof_rates_window_and_fallback(spark):
     assert rows(picked) == [
         ("2024-03-06", "JPY", 150.0), ("2024-03-06", "KRW", 1310.0), ("2024-03-06", "USD", 1.0),
         # The yen quote is 16 days old by then.
-        ("2024-03-07", "JPY", 149.7320503), ("2024-03-07", "KRW", 1310.0), ("2024-03-07", "USD", 1.0),
+        ("2024-03-07", "JPY", 149.73205030286636), ("2024-03-07", "KRW", 1310.0), ("2024-03-07", "USD", 1.0),
     ]
     assert several.count() == 18
     with pytest.raises(ValueError):
