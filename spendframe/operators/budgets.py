@@ -75,8 +75,8 @@ def budget_cost(budgets: DataFrame, unified: DataFrame) -> DataFrame:
     reduced = unified.groupBy("workspace_id", "project_id", "service_account_id", "billed_month").agg(*sums)
     scoped = _with_scope(budgets).select("budget_id", "currency", "start", "end", *SCOPE)
     spread = reduced.select("billed_month", *amounts, F.inline(_scopes_of_cost()))
-    wanted = join_null_safe(spread, scoped.select(*SCOPE).distinct(), SCOPE, "left_semi")
-    per_scope = wanted.groupBy(*SCOPE, "billed_month").agg(*sums)
+    # Summed before the join: the scope of everything, which all rows count for, is combined before it is shuffled.
+    per_scope = spread.groupBy(*SCOPE, "billed_month").agg(*sums)
     matched = join_null_safe(scoped, per_scope, SCOPE, "inner").where(
         F.col("billed_month").between(F.col("start"), F.col("end"))
     )

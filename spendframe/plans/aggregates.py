@@ -295,7 +295,7 @@ GROUP BY ALL
     ("budget_month", "budget_cost"),
 )
 def agg_budget_usage_analyze(spark, sf_dir):
-    usage = budgets.budget_usage(sample.budgets(spark, sf_dir), sample.unified(spark, sf_dir))
+    usage = budgets.budget_usage(sample.stored_budgets(spark, sf_dir), sample.unified(spark, sf_dir))
     fields = {"cost": {"key": "cost", "operator": "sum"}, "limit": {"key": "limit", "operator": "sum"}}
     grouped = analyze.analyze(usage, fields=fields, group_by=["workspace_id"], granularity="MONTHLY", date_column="date")
     return as_double(grouped, "cost", scale=2)

@@ -208,7 +208,7 @@ SELECT budget_id, billed_month, CAST(CAST(cost AS decimal(38,2)) AS double) AS c
     ("budget_cost",),
 )
 def join_budget_cost(spark, sf_dir):
-    matched = budgets.budget_cost(sample.budgets(spark, sf_dir), sample.unified(spark, sf_dir))
+    matched = budgets.budget_cost(sample.stored_budgets(spark, sf_dir), sample.unified(spark, sf_dir))
     return as_double(matched, "cost", scale=2)
 
 

@@ -311,6 +311,11 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgets as a table; usage reads them several times."""
+    return durable(budgets(spark, sf_dir), "budgets")
+
+
 def fx_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes for all ordered pairs on the order dates, with gaps every seventh day of the month."""
     day = F.to_date("o_orderdate")

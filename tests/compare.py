@@ -4,8 +4,10 @@ Also refuses plans that pair rows without a key or leave the JVM.
 """
 
 import math
+from contextlib import contextmanager
 
 import duckdb
+from pyspark.sql import DataFrameWriter
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -25,11 +27,36 @@ def _cell(value):
     return str(value)
 
 
+BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "MapInArrow")
+
+
+def banned_nodes(frame) -> list[str]:
+    plan = frame._jdf.queryExecution().toString()
+    return [node for node in BANNED if node in plan]
+
+
+@contextmanager
+def watched_writes(found: list[str]):
+    """Looks at the plan of every table that is written meanwhile."""
+    write = DataFrameWriter.parquet
+
+    def checked(self, path, *args, **kwargs):
+        found.extend(banned_nodes(self._df))
+        return write(self, path, *args, **kwargs)
+
+    DataFrameWriter.parquet = checked
+    try:
+        yield
+    finally:
+        DataFrameWriter.parquet = write
+
+
 def difference(spark, query, connection, sql: str, sf_dir: str) -> str | None:
     """None when both give the same rows, else a short description."""
-    frame = query(spark, sf_dir)
-    plan = frame._jdf.queryExecution().toString()
-    banned = [node for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython") if node in plan]
+    banned: list[str] = []
+    with watched_writes(banned):
+        frame = query(spark, sf_dir)
+    banned += banned_nodes(frame)
     if banned:
         return f"plan has {banned}"
     names = sorted(frame.columns)

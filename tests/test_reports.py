@@ -164,7 +164,7 @@ def test_fixed_amount_is_converted_and_taxed(heads, lines, rates):
     fixed = {"name": "Fee", "unit": "FIXED", "value": 1000, "currency": "KRW", "order": 1, "provider": "aws"}
     policies = [policy("a", 1, fixed), policy("b", 2, percent("Tax", 10, provider="aws"))]
     out = adjustments.adjustment_lines(heads, lines, policies, rates).where("cost_report_id = 'r2'")
-    usd = Decimal(str(round(DEFAULT_RATES["KRW/USD"], 8))) * 1000
+    usd = Decimal(str(DEFAULT_RATES["KRW/USD"])) * 1000
     assert rows(out.select("product", "cost_KRW", "cost_USD")) == [
         ("Fee", Decimal("1000.000000"), usd.quantize(Decimal("0.000001"))),
         ("Tax", Decimal("100.000000"), (usd / 10).quantize(Decimal("0.000001"))),
