@@ -253,11 +253,11 @@ def rule_validate(spark, sf_dir):
     """
 WITH rule AS (
   SELECT p_type AS data_source_id, 'rule-' || lpad(CAST(p_partkey AS varchar), 12, '0') AS rule_id, p_size AS "order" FROM part),
-move AS (SELECT data_source_id, max(rule_id) AS moved_id, 3 AS new_order FROM rule GROUP BY ALL),
+move AS (SELECT data_source_id, max(rule_id) AS moved_id, 3 AS new_order FROM rule GROUP BY ALL HAVING max("order") >= 3),
 ranked AS (
   SELECT r.data_source_id, r.rule_id, m.new_order,
          row_number() OVER (PARTITION BY r.data_source_id ORDER BY r."order", r.rule_id) AS place
-  FROM rule r JOIN move m USING (data_source_id) WHERE r.rule_id <> m.moved_id)
+  FROM rule r LEFT JOIN move m USING (data_source_id) WHERE m.moved_id IS NULL OR r.rule_id <> m.moved_id)
 SELECT data_source_id, rule_id, CAST(CASE WHEN place >= new_order THEN place + 1 ELSE place END AS integer) AS "order" FROM ranked
 UNION ALL SELECT data_source_id, moved_id, new_order FROM move
 """,

@@ -24,7 +24,7 @@ def lines(spark, count, cost, quantity=1.0, data=0.0):
 
 
 def test_many_tiny_lines_keep_their_sum(spark):
-    fields = {name: {"key": key, "operator": "sum"} for name, key in (("cost", "cost"), ("q", "usage_quantity"), ("tax", "data.tax"))}
+    fields = {name: {"k": key, "o": "sum"} for name, key in (("cost", "cost"), ("q", "usage_quantity"), ("tax", "data.tax"))}
     found = analyze.analyze(lines(spark, 100_000, 0.00004, 0.1, 0.000001), fields=fields, group_by=["provider"]).first()
     assert found.cost == Decimal(4) and found.q == Decimal(10_000) and found.tax == Decimal("0.1")
 
