@@ -9,6 +9,7 @@ fail the base rules themselves.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendframe.llm.common import fresh_name
 from spendframe.session import durable
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -78,7 +79,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     kept = [F.col(f"`{name}`") for name in docs.columns if name.lower() not in MEASURES]
-    return docs.select(*kept, measures.alias("_measures")).select(*kept, *[F.col(f"_measures.{name}").alias(name) for name in MEASURES])
+    found = fresh_name(docs, "measures")
+    return docs.select(*kept, measures.alias(found)).select(*kept, *[F.col(f"{found}.{name}").alias(name) for name in MEASURES])
 
 
 def base_failed() -> Column:
@@ -118,14 +120,15 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Adds base_failed, host_rejected and kept to measured documents.
+    """Adds base_failed, host_rejected and kept to measured documents; columns of these names are replaced.
 
     Rejected hosts are few as a rule and are broadcast once their names have been found to fit; else they
     are joined by shuffle. The input is read twice: pass a stored table where measuring again costs more.
     """
-    rejected = durable(host_rates(measured, host).where(F.col("rate") > limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "bad-hosts")
-    size = rejected.agg(F.sum(F.coalesce(F.octet_length("_host"), F.lit(0)) + 16)).first()[0] or 0
+    name, flag = fresh_name(measured, "host"), fresh_name(measured, "bad")
+    rejected = durable(host_rates(measured, host).where(F.col("rate") > limit).select(F.col("host").alias(name), F.lit(True).alias(flag)), "bad-hosts")
+    size = rejected.agg(F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + 16)).first()[0] or 0
     side = F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected
-    joined = measured.join(side, measured[host].eqNullSafe(side["_host"]), "left")
-    bad = F.coalesce(F.col("_bad"), F.lit(False))
-    return joined.withColumns({"base_failed": base_failed(), "host_rejected": bad, "kept": ~base_failed() & ~bad}).drop("_host", "_bad")
+    joined = measured.join(side, measured[host].eqNullSafe(side[name]), "left")
+    bad = F.coalesce(F.col(flag), F.lit(False))
+    return joined.withColumns({"base_failed": base_failed(), "host_rejected": bad, "kept": ~base_failed() & ~bad}).drop(name, flag)

@@ -55,6 +55,14 @@ def test_join_beyond_the_broadcast_size(spark, monkeypatch):
     assert judged.where("source = 'bad' and not host_rejected").count() == 0
 
 
+def test_clashing_columns(spark):
+    names = ["host", "bad", "measures", "rate", "docs", "failures", "base_failed", "_host"]
+    docs = spark.createDataFrame([(1, "h", "a b", *names)], ", ".join(["doc_id long", "source string", "text string", *(f"{name} string" for name in names)]))
+    row = host_rules.judge(host_rules.measure(docs)).first()
+    assert [row[name] for name in names if name != "base_failed"] == [name for name in names if name != "base_failed"]
+    assert row.base_failed is True and row.n_words == 2 and row.kept is False
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert host_rules.judge(host_rules.measure(docs)).count() == 0
