@@ -23,13 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.llm.common import word_blocks
 from spendframe.session import durable
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 TOP_WORDS, SUFFIX_CLASSES = 11, 52
 CLASSES = 1 + TOP_WORDS + SUFFIX_CLASSES
 BUCKET_BITS = 13
@@ -42,6 +43,16 @@ SHARE_ROWS = 512  # feature rows that travel together when changes are averaged
 BLOCK_DDL = "block long, doc_ids array<{id}>, learn array<boolean>, lengths array<long>, tokens binary, hashes binary, suffixes binary, counts binary"
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """32-bit numbers as compressed planes of bytes; most of the high ones are zero."""
+    return zstandard.compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         number = self[word] = len(self)
@@ -80,7 +91,7 @@ class _BlockBuilder:
             pa.array([self.ids], pa.list_(id_type)),
             pa.array([self.learn], pa.list_(pa.bool_())),
             pa.array([self.lengths], pa.list_(pa.int64())),
-            *(pa.array([values.tobytes()], pa.binary()) for values in (tokens, hashes, suffixes, counts)),
+            *(pa.array([values], pa.binary()) for values in (pack(tokens), hashes.tobytes(), suffixes.tobytes(), counts.tobytes())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "learn", "lengths", "tokens", "hashes", "suffixes", "counts"])
 
@@ -110,7 +121,7 @@ def blocks(docs: DataFrame, learn: Column, id: str, text: str) -> DataFrame:
 def word_counts(stored: DataFrame) -> DataFrame:
     """Stored (hash, suffix, c) of all words in learning texts, the end of texts included."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hashes, suffixes, counts in zip(*(batch.column(k) for k in range(3))):
                 counts = np.frombuffer(counts.as_py(), np.uint32)
@@ -118,7 +129,7 @@ def word_counts(stored: DataFrame) -> DataFrame:
                 arrays = [np.frombuffer(hashes.as_py(), np.int64)[seen], np.frombuffer(suffixes.as_py(), np.uint8)[seen].astype(np.int32), counts[seen].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["hash", "suffix", "c"])
 
-    rows = stored.select("hashes", "suffixes", "counts").mapInArrow(unpack, "hash long, suffix int, c long")
+    rows = stored.select("hashes", "suffixes", "counts").mapInArrow(seen_words, "hash long, suffix int, c long")
     return durable(rows.groupBy("hash").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c")), "maxent-counts")
 
 
@@ -182,7 +193,7 @@ def class_log_odds(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _texts(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    tokens = np.frombuffer(block["tokens"], np.uint32)
+    tokens = unpack(block["tokens"])
     hashes = np.frombuffer(block["hashes"], np.int64)
     lengths = np.array(block["lengths"], np.int64)
     firsts = np.cumsum(lengths) - lengths
@@ -289,6 +300,19 @@ def score_block(weights: np.ndarray, vocabulary: Vocabulary, block: dict, counts
     }
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined (block, place, c) rows as packed arrays, one row for each block and batch, for the shuffle to the blocks."""
+    for batch in batches:
+        blocks, places, counts = (column.to_numpy() for column in batch.columns)
+        order = np.argsort(blocks, kind="stable")
+        names, starts = np.unique(blocks[order], return_index=True)
+        parts = np.split(order, starts[1:])
+        arrays = [pa.array(names, pa.int64())]
+        arrays.append(pa.array([places[part].astype(np.int32).tobytes() for part in parts], pa.binary()))
+        arrays.append(pa.array([counts[part].astype(np.int64).tobytes() for part in parts], pa.binary()))
+        yield pa.RecordBatch.from_arrays(arrays, ["block", "places", "counts"])
+
+
 def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`, learned from the rows where `learn` is true.
 
@@ -309,13 +333,14 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "place", "hash"])
 
     asked = stored.select("block", "hashes").mapInArrow(words, "block long, place int, hash long")
-    found = asked.join(counts.select("hash", "c"), "hash").select("block", "place", "c")
+    found = asked.join(counts.select("hash", "c"), "hash").select("block", "place", "c").mapInArrow(_by_block, "block long, places binary, counts binary")
     id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def apply(block: pa.Table, known: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         own = np.zeros(len(row["hashes"]) // 8, np.int64)
-        own[known.column("place").to_numpy()] = known.column("c").to_numpy()
+        for places, values in zip(known.column("places"), known.column("counts")):
+            own[np.frombuffer(places.as_py(), np.int32)] = np.frombuffer(values.as_py(), np.int64)
         result = score_block(shared.value, vocabulary, row, own)
         ids = block.column("doc_ids").combine_chunks().values
         total = np.full(len(ids), vocabulary.tokens, np.int64)
