@@ -6,6 +6,12 @@ softmax over weights of hashed features of the history: the word before, the wor
 fall into classes by their last two bytes. Inside a class a word has its smoothed share of the
 class's count, which is the maximum-entropy solution for word indicators alone.
 
+These weights have a fixed number of rows. They are the prior of history counts that have none: every
+distinct pair and triple of words of the learning texts is counted by a 48-bit hash, and the prior is drawn
+towards the share of the word after the word before, then after the pair before (Dirichlet smoothing, so
+probabilities still sum to one). The pairs and triples of a block go to range buckets of the hash, as many as there
+are blocks, as packed sorted arrays; a bucket adds up the counts and returns those that each block asked for.
+
 Texts are cut into blocks; a block is stored as one row with its own vocabulary and the texts as numbers
 into it, so everything after works on numpy arrays. Counts are summed over all blocks by word hash.
 Training goes over all learning texts in rounds; in each, every task runs minibatch updates from the
@@ -38,6 +44,7 @@ FEATURES = 4
 ROUNDS, BATCH, RATE = 2, 4096, 1.0
 END, START = -1, 0  # hashes of the end of a text and of the places before its first word
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+PRIORS = {2: 8.0, 3: 8.0}  # weight of the shorter history, by words of the counted group
 SHARE_ROWS = 512  # feature rows that travel together when changes are averaged
 
 BLOCK_DDL = "block long, doc_ids array<{id}>, learn array<boolean>, lengths array<long>, tokens binary, hashes binary, suffixes binary, counts binary"
@@ -168,16 +175,89 @@ class Vocabulary:
         return np.where(classes <= TOP_WORDS, 0.0, np.log10(share))
 
 
+def words_back(keys: np.ndarray, starts: np.ndarray, distance: int) -> np.ndarray:
+    """The key of the word so many places before each token, START where the text has none."""
+    before = np.full(len(keys), np.uint64(START))
+    inside = np.flatnonzero(np.arange(len(keys)) - starts >= distance)
+    before[inside] = keys[inside - distance]
+    return before
+
+
+def gram_names(keys: np.ndarray, starts: np.ndarray, kind: int) -> np.ndarray:
+    """A 48-bit hash of each token with the kind - 1 words before it."""
+    names = np.full(len(keys), np.uint64(kind))
+    for distance in range(kind - 1, -1, -1):
+        names ^= words_back(keys, starts, distance) if distance else keys
+        names *= MIX[distance]
+        names ^= names >> np.uint64(29)
+        names *= MIX[3]
+        names ^= names >> np.uint64(32)
+    return names >> np.uint64(16)
+
+
+def _slices(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Borders of the buckets in sorted names."""
+    return np.searchsorted((names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def pack_names(names: np.ndarray) -> bytes:
+    """Sorted names as compressed planes of bytes of their differences."""
+    return zstandard.compress(np.diff(names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_names(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def gram_counts(stored: DataFrame) -> DataFrame:
+    """(block, kind, bucket, counts): over all learning texts, those of the block's distinct names in sorted order."""
+    buckets = max(1, stored.count())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = batch.slice(row, 1).to_pylist()[0]
+                tokens, hashes, _, lengths, firsts = _texts(block)
+                keys, starts = hashes.view(np.uint64)[tokens], np.repeat(firsts, lengths)
+                learn = np.repeat(np.array(block["learn"], bool), lengths)
+                for kind in PRIORS:
+                    names, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
+                    counts = np.bincount(places[learn], minlength=len(names))
+                    edges = _slices(names, buckets)
+                    own = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+                    arrays = [pa.array([value] * len(own), type) for value, type in ((block["block"], pa.int64()), (kind, pa.int32()))]
+                    arrays.append(pa.array(own, pa.int32()))
+                    arrays.append(pa.array([pack_names(names[edges[k] : edges[k + 1]]) for k in own], pa.binary()))
+                    arrays.append(pa.array([pack(counts[edges[k] : edges[k + 1]]) for k in own], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "kind", "bucket", "names", "counts"])
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        parts = [unpack_names(x.as_py()) for x in rows.column("names")]
+        names, places = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(places, np.concatenate([unpack(x.as_py()) for x in rows.column("counts")]), len(names)).astype(np.int64)
+        asked = np.split(places, np.cumsum([len(part) for part in parts])[:-1])
+        return rows.select(["block", "kind", "bucket"]).append_column("counts", pa.array([pack(total[part]) for part in asked], pa.binary()))
+
+    sent = stored.select("block", "learn", "lengths", "tokens", "hashes", "suffixes").mapInArrow(send, "block long, kind int, bucket int, names binary, counts binary")
+    return sent.groupBy("kind", "bucket").applyInArrow(add_up, "block long, kind int, bucket int, counts binary")
+
+
+def token_grams(block: dict, found: dict[int, dict[int, bytes]]) -> dict[int, np.ndarray]:
+    """For each kind, the count of every token's group of words. `found` has the packed counts by kind and bucket."""
+    tokens, hashes, _, lengths, firsts = _texts(block)
+    keys, starts = hashes.view(np.uint64)[tokens], np.repeat(firsts, lengths)
+    result = {}
+    for kind in PRIORS:
+        _, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
+        counts = np.concatenate([unpack(packed) for _, packed in sorted(found[kind].items())])
+        result[kind] = counts[places]
+    return result
+
+
 def feature_rows(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Weight rows (token x FEATURES) of the histories of a run of texts; `starts` has the first token of each token's text."""
-    at = np.arange(len(keys))
-    back = []
-    for distance in (1, 2, 3):
-        before = np.full(len(keys), np.uint64(START))
-        inside = at - starts >= distance
-        before[inside] = keys[np.flatnonzero(inside) - distance]
-        back.append(before)
-    one, two, three = back
+    one, two, three = (words_back(keys, starts, distance) for distance in (1, 2, 3))
     parts = [one * MIX[0], two * MIX[1], three * MIX[2], (one * MIX[3] ^ (two >> np.uint64(7))) * MIX[0]]
     rows = [((part ^ (part >> np.uint64(31))) * MIX[(k + 1) % 4]) >> np.uint64(64 - BUCKET_BITS) for k, part in enumerate(parts)]
     return np.column_stack(rows).astype(np.uint16)
@@ -278,8 +358,20 @@ def _add_up(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([first["share"]], pa.int32()), pa.array([first["salt"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["share", "salt", "changes", "seen"])
 
 
-def score_block(weights: np.ndarray, vocabulary: Vocabulary, block: dict, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Per text: tokens, known tokens, the base score and the model's log10 probability."""
+def with_histories(scores: np.ndarray, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: dict[int, np.ndarray]) -> np.ndarray:
+    """log10 probabilities of the tokens after the prior's have met the counts of their histories."""
+    begins = np.arange(len(tokens)) == starts
+    texts = counts[0]  # learning texts, since each ends once; so often nothing stands before a token
+    pairs = np.where(begins, texts, np.roll(grams[2], 1))
+    words = np.where(begins, texts, np.roll(counts[tokens], 1))
+    value = 10.0**scores
+    for kind, before in ((2, words), (3, pairs)):
+        value = (grams[kind] + PRIORS[kind] * value) / (before + PRIORS[kind])
+    return np.log10(value)
+
+
+def score_block(weights: np.ndarray, vocabulary: Vocabulary, block: dict, counts: np.ndarray, grams: dict[int, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Per text: tokens, known tokens, the base score and the model's log10 probability; that of the prior alone without `grams`."""
     tokens, hashes, suffixes, lengths, firsts = _texts(block)
     base = np.log10((counts + 0.5) / (vocabulary.tokens + 0.5 * (vocabulary.kinds + 1)))
     classes = vocabulary.classes(hashes, suffixes)
@@ -292,6 +384,8 @@ def score_block(weights: np.ndarray, vocabulary: Vocabulary, block: dict, counts
         rows = feature_rows(keys[tokens[low : k + BATCH]], np.maximum(starts[low : k + BATCH] - low, -3))[k - low :]
         logits, total = class_log_odds(weights, rows)
         scores[k : k + BATCH] = (logits[np.arange(len(own)), classes[own]] - total) / math.log(10) + inside[own]
+    if grams is not None:
+        scores = with_histories(scores, tokens, starts, counts, grams)
     return {
         "n_tokens": lengths,
         "n_known": np.add.reduceat((counts[tokens] > 0).astype(np.int64), firsts),
@@ -334,14 +428,20 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
 
     asked = stored.select("block", "hashes").mapInArrow(words, "block long, place int, hash long")
     found = asked.join(counts.select("hash", "c"), "hash").select("block", "place", "c").mapInArrow(_by_block, "block long, places binary, counts binary")
+    nothing = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("places", "binary"), ("kind", "int"), ("bucket", "int"))}
+    found = found.select("block", nothing["kind"], nothing["bucket"], "places", "counts").union(gram_counts(stored).select("block", "kind", "bucket", nothing["places"], "counts"))
     id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def apply(block: pa.Table, known: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         own = np.zeros(len(row["hashes"]) // 8, np.int64)
-        for places, values in zip(known.column("places"), known.column("counts")):
-            own[np.frombuffer(places.as_py(), np.int32)] = np.frombuffer(values.as_py(), np.int64)
-        result = score_block(shared.value, vocabulary, row, own)
+        packed: dict[int, dict[int, bytes]] = {kind: {} for kind in PRIORS}
+        for kind, bucket, places, values in zip(*(known.column(name).to_pylist() for name in ("kind", "bucket", "places", "counts"))):
+            if kind is None:
+                own[np.frombuffer(places, np.int32)] = np.frombuffer(values, np.int64)
+            else:
+                packed[kind][bucket] = values
+        result = score_block(shared.value, vocabulary, row, own, token_grams(row, packed))
         ids = block.column("doc_ids").combine_chunks().values
         total = np.full(len(ids), vocabulary.tokens, np.int64)
         arrays = [ids, result["n_tokens"], result["n_known"], total, result["base_score"], result["score"]]

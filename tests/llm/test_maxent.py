@@ -91,6 +91,50 @@ def test_training_learns_from_history():
     assert not unused.any()
 
 
+def test_histories_are_counted_whole_and_tell_words_of_a_class_apart(spark, monkeypatch):
+    texts = sentences(300, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") % 4 != 1
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 4000)
+    stored = maxent.blocks(docs, learn, "doc_id", "text")
+    split = [["<", "<", *text.split(), ">"] for text in texts]
+    expected = {n: collections.Counter(tuple(words[k - n + 1 : k + 1]) for number, words in enumerate(split) if number % 4 != 1 for k in range(2, len(words))) for n in (2, 3)}
+    packed = collections.defaultdict(lambda: {2: {}, 3: {}})
+    for row in maxent.gram_counts(stored).collect():
+        packed[row.block][row.kind][row.bucket] = row.counts
+    assert len(packed) > 5
+    for row in stored.collect():
+        block = row.asDict()
+        found = maxent.token_grams(block, packed[row.block])
+        wanted = {n: [expected[n][tuple(split[i][k - n + 1 : k + 1])] for i in block["doc_ids"] for k in range(2, len(split[i]))] for n in (2, 3)}
+        assert {n: found[n].tolist() for n in (2, 3)} == wanted
+    # Same class by the last two bytes and same counts: only the history tells them apart.
+    lines = ["left xab"] * 30 + ["right yab"] * 30 + [f"w{k}" for k in range(20) for _ in range(99)] + ["left xab", "left yab"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    scores = {row.id: row.score for row in maxent.score(docs, F.col("doc_id") < len(lines) - 2).collect()}
+    assert scores[len(lines) - 2] > scores[len(lines) - 1] + 1
+
+
+def test_probabilities_after_a_history_sum_to_one():
+    texts = sentences(200, 6)
+    block = block_of(texts)
+    vocabulary, counts = vocabulary_of(block)
+    tokens, hashes, suffixes, lengths, firsts = maxent._texts(block)
+    keys, starts = hashes.view(np.uint64)[tokens], np.repeat(firsts, lengths)
+    known = {kind: collections.Counter(maxent.gram_names(keys, starts, kind).tolist()) for kind in (2, 3)}
+    at = next(k for k in range(len(tokens)) if k - starts[k] >= 3)
+    prior, total = np.full(len(hashes), 0.5 / len(hashes)), 0.0
+    for word in range(len(hashes)):
+        own = tokens[starts[at] : at + 1].copy()
+        own[-1] = word
+        zeros = np.zeros(len(own), int)
+        grams = {kind: np.array([known[kind][name] for name in maxent.gram_names(hashes.view(np.uint64)[own], zeros, kind).tolist()]) for kind in (2, 3)}
+        total += 10.0 ** maxent.with_histories(np.log10(np.full(len(own), prior[word])), own, zeros, counts, grams)[-1]
+    before = counts[tokens[at - 1]]
+    pair = known[2][int(maxent.gram_names(keys, starts, 2)[at - 1])]
+    assert total == pytest.approx(1 - 0.5 * maxent.PRIORS[2] / (before + maxent.PRIORS[2]) * maxent.PRIORS[3] / (pair + maxent.PRIORS[3]))
+
+
 def test_odd_rows_and_many_blocks(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, "A b\x0bB\n"), (3, "A b\x0bB\n"), (None, "é É b"), (5, "b " * 3000), (6, "q")]
     docs = spark.createDataFrame([(*row, "clash", i % 3 < 2) for i, row in enumerate(rows)], "doc_id long, text string, block string, use boolean").coalesce(1)
