@@ -76,8 +76,11 @@ def score(network: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def fit(sample: list[tuple[bytes, int]], seed: int = 7) -> Network:
-    """Learns from (text, 0 or 1) with Adam. Without both labels the result is a constant."""
+def fit(sample: list[tuple[bytes, int]], rate: float | None = None, seed: int = 7) -> Network:
+    """Learns from (text, 0 or 1) with Adam. Without both labels the result is a constant.
+
+    `rate` is the true share of label 1 where the sample's differs; the log odds are shifted by the difference.
+    """
     draw = np.random.default_rng(seed)
     scale = lambda *shape: (draw.standard_normal(shape) * 0.3).astype(np.float32)
     network = Network(scale(256, DEPTH), scale(WIDTH * DEPTH, FILTERS) / 2, np.zeros(FILTERS, np.float32), scale(2 * FILTERS), np.zeros(1, np.float32))
@@ -94,11 +97,14 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 7) -> Network:
             order = draw.permutation(len(sample))
         chosen = order[turn % batches * BATCH :][:BATCH]
         gradients = _gradients(network, [sample[i][0] for i in chosen], labels[chosen])
-        rate = RATE * (1 - turn / (EPOCHS * batches))
+        step = RATE * (1 - turn / (EPOCHS * batches))
         for value, gradient, (mean, square) in zip(network.parameters(), gradients, moments):
             mean += 0.1 * (gradient - mean)
             square += 0.01 * (gradient * gradient - square)
-            value -= rate * (mean / (1 - 0.9 ** (turn + 1))) / (np.sqrt(square / (1 - 0.99 ** (turn + 1))) + 1e-6)
+            value -= step * (mean / (1 - 0.9 ** (turn + 1))) / (np.sqrt(square / (1 - 0.99 ** (turn + 1))) + 1e-6)
+    if rate is not None and 0 < rate < 1:
+        own = float(labels.mean(dtype=np.float64))
+        network.offset[0] += np.log(rate / (1 - rate)) - np.log(own / (1 - own))
     return network
 
 

@@ -32,10 +32,12 @@ QUALITY_THRESHOLD = 0.7
 
 
 def quality_network(docs: DataFrame, labels: DataFrame) -> bytenet.Network:
-    """The network learned from labelled rows of `docs` outside the held-out quarter."""
+    """The network learned from labelled rows of `docs` outside the held-out quarter, at the share of label 1 among all of them."""
     allowed = (remainder("doc_id", 4) != 2) & F.col("quality").isin(0, 1)
     chosen = samples.pick(labels, "doc_id", "quality", allowed, QUALITY_SAMPLE)
-    return bytenet.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "quality", 2 * QUALITY_SAMPLE))
+    present = docs.select("doc_id").where("doc_id is not null")
+    share = labels.where(allowed).join(present, "doc_id", "left_semi").agg(F.avg("quality")).first()[0]
+    return bytenet.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "quality", 2 * QUALITY_SAMPLE), share)
 
 
 @query

@@ -83,6 +83,19 @@ def test_sample_is_bounded_and_skips_nulls(spark):
     assert texts and all(len(text) == 5 for text, _ in texts)
 
 
+def test_scores_hold_for_the_true_share_of_labels(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(k, junk(draw, k % 8 != 0).decode(), int((k % 8 != 0) != (draw.random() < 0.3))) for k in range(2400)]
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(row[0], row[2]) for row in rows] + [(k, 0) for k in range(5000, 5100)], "doc_id long, quality int")
+    own = [row[2] for row in rows if zlib.crc32(str(row[0]).encode()) % 4 != 2]
+    share = sum(own) / len(own)
+    texts = [row[1].encode() for row in rows if zlib.crc32(str(row[0]).encode()) % 4 == 2]
+    for bound in (300, 5000):  # a sample of nearly equal parts, and one that holds all rows
+        monkeypatch.setattr(queries, "QUALITY_SAMPLE", bound)
+        assert bytenet.score(queries.quality_network(docs, labels), *packed(texts)).mean() == pytest.approx(share, abs=0.08)
+
+
 def test_odd_rows(spark, network):
     docs = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (None, "a b", None)], "doc_id long, text string, score string")
     rows = bytenet.predict(docs, network).collect()
