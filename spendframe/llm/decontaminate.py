@@ -6,6 +6,10 @@ on diagonals (text position minus item position) at most e apart. Diagonals are
 overlap by half, so one band holds all of them. Shared q-grams are counted by window and band, bands that
 reach the bound are aligned, and those within the edit budget are reported.
 
+Long windows stand at every STEP bytes and bear EDIT_RATE of their length in edits. Besides, passages of PASSAGE bytes are
+searched at every byte of an item with the same rate, so any PASSAGE consecutive bytes are found, wherever they begin.
+Their windows are made only around shared q-grams, so the index has one entry for each byte of the benchmark.
+
 Texts are compared in lower case, with each white space character as a blank, by UTF-8 bytes. The
 benchmark is handled in blocks of bounded size, each of which is broadcast and meets every document.
 """
@@ -22,6 +26,7 @@ from pyspark.sql.functions import arrow_udf
 Q = 16
 WINDOW = 160
 STEP = 80
+PASSAGE = 64  # about 12 words
 EDIT_RATE = 0.05
 BLOCK_BYTES = 512 << 10
 PIECE_BYTES = 1 << 20
@@ -100,6 +105,9 @@ class Index:
         self.least = int(self.bounds.min()) if len(self.bounds) else 0
         self.reach = WINDOW + int(self.budgets.max()) if len(self.bounds) else 0
 
+    def item(self, window: int) -> int:
+        return self.windows[window].item
+
     def search(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(window, first byte, end byte, edits) of every band that holds a window within its budget."""
         hashes = grams(data)
@@ -164,6 +172,92 @@ class Index:
         return list(found.values())
 
 
+class Passages:
+    """An index whose windows are those of Index and, numbered after them, the passages at every byte of the items."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.fixed = Index(items)
+        items = [(item, text) for item, text in items if len(text) >= Q]
+        lengths = np.array([len(text) for _, text in items], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        self.items = [item for item, _ in items]
+        self.text = np.frombuffer(b"".join(text for _, text in items), np.uint8)
+        self.owners = np.repeat(np.arange(len(items)), lengths)
+        self.sizes = np.minimum(PASSAGE, lengths)
+        self.budgets = np.minimum((EDIT_RATE * self.sizes).astype(np.int64), (self.sizes - Q) // Q)
+        self.bounds = self.sizes - Q + 1 - Q * self.budgets
+        self.low, self.high = starts, starts + lengths - self.sizes
+        hashes = [grams(np.frombuffer(text, np.uint8)) for _, text in items]
+        places = [start + np.arange(len(own)) for start, own in zip(starts, hashes)]
+        hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.places = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
+        self.distinct, self.first, self.counts = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.present = np.zeros(1 << FILTER_BITS, bool)
+        self.present[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def item(self, window: int) -> int:
+        fixed = len(self.fixed.windows)
+        return self.fixed.item(window) if window < fixed else self.items[self.owners[window - fixed]]
+
+    def search(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """As Index.search, with the passages."""
+        hashes = grams(data)
+        places = np.flatnonzero(self.present[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        if not len(places) or not len(self.distinct):
+            return []
+        wanted = hashes[places]
+        at = np.minimum(np.searchsorted(self.distinct, wanted), len(self.distinct) - 1)
+        real = self.distinct[at] == wanted
+        if not real.any():
+            return []
+        return self.fixed.search(data) + self._passages(data, at[real], places[real])
+
+    def _passages(self, data: np.ndarray, at: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+        width = len(self.text)
+        ends = np.cumsum(self.counts[at])
+        keys, totals, start = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while start < len(at):  # shared q-grams by band and place in the items
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HITS_AT_ONCE, "right")))
+            counts = self.counts[at[start:stop]]
+            entry = np.repeat(self.first[at[start:stop]] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            own = self.places[entry]
+            band = (np.repeat(places[start:stop], counts) - own + width) // (self.budgets[self.owners[own]] + 1)
+            new, found = np.unique(np.concatenate((band * width + own, ((band - 1) * width + own)[band > 0])), return_counts=True)
+            keys, inverse = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            totals = np.bincount(inverse, np.concatenate((totals, found)), len(keys)).astype(np.int64)
+            start = stop
+        before = np.concatenate(([0], np.cumsum(totals)))
+        found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for k in range(0, len(keys), HITS_AT_ONCE // PASSAGE):
+            part = keys[k : k + HITS_AT_ONCE // PASSAGE]
+            band, place = part // width, part % width
+            owner = self.owners[place]
+            first, last = np.maximum(self.low[owner], place - self.sizes[owner] + Q), np.minimum(self.high[owner], place)
+            counts = last - first + 1
+            window = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            pairs = np.unique(np.repeat(band, counts) * width + window)
+            owner = self.owners[pairs % width]
+            shared = before[np.searchsorted(keys, pairs + self.sizes[owner] - Q, "right")] - before[np.searchsorted(keys, pairs)]
+            self._align(data, pairs[shared >= self.bounds[owner]], found)
+        return list(found.values())
+
+    def _align(self, data: np.ndarray, pairs: np.ndarray, found: dict) -> None:
+        width, fixed = len(self.text), len(self.fixed.windows)
+        band, window = pairs // width, pairs % width
+        owner = self.owners[window]
+        for size in np.unique(self.sizes[owner]).tolist():
+            group = np.flatnonzero(self.sizes[owner] == size)
+            budget = int(self.budgets[owner[group[0]]])
+            for k in range(0, len(group), 4096):
+                own = group[k : k + 4096]
+                pattern = self.text[window[own, None] + np.arange(size)]
+                edits, ends = banded(data, band[own] * (budget + 1) - width + window[own], pattern, 2 * (budget + 1))
+                for w, distance, end in zip(window[own].tolist(), edits.tolist(), ends.tolist()):
+                    if distance <= budget and (w, end) not in found:
+                        found[w, end] = (fixed + w, max(0, end - size - distance), end, distance)
+
+
 def banded(data: np.ndarray, lowest: np.ndarray, pattern: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Edits of each pattern against the text on the diagonals from `lowest` on, and where it ends there.
 
@@ -205,14 +299,14 @@ def _pieces(texts: list[bytes]):
         yield b"".join(parts), places
 
 
-def matches(index: Index, texts: list[bytes]) -> list[list[dict]]:
+def matches(index: Index | Passages, texts: list[bytes]) -> list[list[dict]]:
     """Per text, one entry for each benchmark item found: places of its windows, their extent, fewest edits."""
     found: list[dict[int, set]] = [{} for _ in texts]
     for data, places in _pieces(texts):
         starts = np.array([start for _, _, start in places])
         for window, first, end, edits in index.search(np.frombuffer(data, np.uint8)):
             row, offset, start = places[int(np.searchsorted(starts, end - 1, "right")) - 1]
-            item = index.windows[window].item
+            item = index.item(window)
             found[row].setdefault(item, set()).add((window, max(0, first - start) + offset, end - start + offset, edits))
     return [
         [
@@ -223,14 +317,14 @@ def matches(index: Index, texts: list[bytes]) -> list[list[dict]]:
     ]
 
 
-_indexes: dict[str, Index] = {}
+_indexes: dict[str, Passages] = {}
 
 
-def _index(key: str, items: list[tuple[int, bytes]]) -> Index:
+def _index(key: str, items: list[tuple[int, bytes]]) -> Passages:
     """The index of a block, built once per Python worker; only the last block is kept."""
     if key not in _indexes:
         _indexes.clear()
-        _indexes[key] = Index(items)
+        _indexes[key] = Passages(items)
     return _indexes[key]
 
 
@@ -249,7 +343,7 @@ def blocks(benchmark: DataFrame, item: str, text: str):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", result: str = "leaks", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds an array with one struct per benchmark item of which the text holds a window (the whole item if short).
+    """Adds an array with one struct per benchmark item of which the text holds a window or a passage (the whole item if short).
 
     Byte positions count in the normalised text; `first_byte` may be too small by the number of edits. Null and
     empty texts hold nothing; items of fewer than 16 bytes are too short to be told from chance and are not

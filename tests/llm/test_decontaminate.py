@@ -75,6 +75,27 @@ def test_borders_pieces_and_repeats(monkeypatch):
         assert found[3][0]["first_byte"] == place and found[3][0]["end_byte"] == place + len(item) and found[3][0]["edits"] == 0
 
 
+def test_short_passages_are_found_wherever_they_begin(spark):
+    draw = random.Random(15)
+    items = [(i, dc.normalise(words(draw, 60))) for i in range(4)] + [(9, dc.normalise(words(draw, 5)))]
+    index = dc.Passages(items)
+    around = [dc.normalise(words(draw, 9)) for _ in range(2)]
+    item = items[2][1]
+    for start in range(0, len(item) - dc.PASSAGE + 1):
+        found = dc.matches(index, [around[0] + b" " + item[start : start + dc.PASSAGE] + b" " + around[1], item[start : start + dc.PASSAGE - 12]])
+        assert [[hit["item_id"] for hit in hits] for hits in found] == [[2], []]
+        assert found[0][0]["first_byte"] <= len(around[0]) + 1 + 3 and found[0][0]["edits"] == 0
+    for _ in range(40):  # the same passages as a full alignment of each
+        text = edited(draw, item.decode()[draw.randrange(100) :][: draw.randint(50, 110)], draw.randint(0, 6))
+        whole = dc.normalise(words(draw, 5) + " " + text + " " + words(draw, 5))
+        passages = [item[k : k + dc.PASSAGE] for k in range(len(item) - dc.PASSAGE + 1)]
+        expected = any(least_edits(passage, whole) <= 3 for passage in passages)
+        assert bool(dc.matches(index, [whole])[0]) == expected
+    docs = spark.createDataFrame([(1, item[70:140].decode()), (2, around[0].decode())], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, text.decode()) for i, text in items], "item_id long, text string")
+    assert [(row.doc_id, [hit.item_id for hit in row.leaks]) for row in dc.find(docs, benchmark).orderBy("doc_id").collect()] == [(1, [2]), (2, [])]
+
+
 def test_odd_rows_and_blocks(spark, monkeypatch):
     draw = random.Random(14)
     items = [words(draw, 30) for _ in range(6)]
