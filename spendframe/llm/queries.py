@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, maxent, samples, simhash, toxicity
+from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, maxent, minhash, samples, simhash, toxicity
 from spendframe.llm.common import held_out, remainder, table
 from spendframe.session import durable
 
@@ -194,3 +194,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = minhash.near_duplicates(docs, "doc_id", "text", size=3, percent=85)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op13_minhash"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS g
+  FROM texts),
+sizes AS (SELECT doc_id, len(g)::BIGINT AS n FROM sets),
+held AS (SELECT doc_id, unnest(g) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM held a JOIN held b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION SELECT reached.doc_id, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.other),
+smallest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN smallest USING (doc_id)
+"""
