@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import archive, bpe, bytenet, decontaminate, host_rules, langid, licenses, maxent, minhash, samples, simhash, toxicity
+from spendframe.llm import archive, bpe, bytenet, decontaminate, divergence, dual_tree, host_rules, langid, licenses, maxent, minhash, samples, simhash, toxicity
 from spendframe.llm.common import held_out, remainder, table
 from spendframe.session import durable
 
@@ -196,6 +196,86 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_dualtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = dual_tree.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(dual_tree.digest(books)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain Lloyd rounds, every part compared with every entry, one pair of steps after another."""
+    steps = [
+        f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+  FROM (SELECT vec_id, part, entry, sum((p.v - c.v) * (p.v - c.v)) AS d FROM points p JOIN c{i} c USING (part, place) GROUP BY ALL)
+  GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, place, CASE WHEN n IS NULL THEN c.v ELSE (s - (s % n + n) % n) // n END::BIGINT AS v
+  FROM c{i} c LEFT JOIN (SELECT part, entry, place, sum(v) AS s, count(*) AS n FROM points JOIN a{i} USING (vec_id, part) GROUP BY ALL) m
+    USING (part, entry, place))"""
+        for i in range(rounds + 1)
+    ]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 8 AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+points AS MATERIALIZED (
+  SELECT vec_id, pos // width AS part, pos % width AS place, floor(4096 * x)::BIGINT AS v
+  FROM (SELECT vec_id, width, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16),
+c0 AS MATERIALIZED (SELECT part, entry, place, v FROM points JOIN first USING (vec_id)),{",".join(steps)},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v, ',' ORDER BY part, entry, place)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+ORACLES["op11_dualtree"] = _lloyd_sql(6)
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "lang", "source", "text", least_docs=10, top=10)
+
+
+ORACLES["op12_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+found AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = d.lang) AS v FROM (SELECT DISTINCT lang FROM docs) d),
+groups AS MATERIALIZED (
+  SELECT lang, source, v, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM docs) g JOIN langs USING (lang)
+  LEFT JOIN found USING (lang, source) GROUP BY ALL),
+rates AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (size + 2 * v) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+totals AS (SELECT lang, sum(size) AS size, any_value(v) AS v FROM groups GROUP BY lang),
+whole AS (
+  SELECT f.lang, f.term, 1 + (1000000000::HUGEINT * (sum(f.n) + 2)) // (any_value(t.size) + 2 * any_value(t.v)) AS q
+  FROM found f JOIN totals t ON t.lang = f.lang GROUP BY f.lang, f.term),
+sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM rates x JOIN rates y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM rates JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms)
+WHERE rank <= 10
+"""
+
+
 @query
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
