@@ -49,15 +49,6 @@ def _blank_key(bag: Column, key: str, hidden: Column) -> Column:
     return F.transform_values(bag, lambda name, value: F.when(~(hidden & (name == key)), value))
 
 
-def visible_data_keys(sources: DataFrame) -> DataFrame:
-    """Key list of each source without its denied `data.*` keys."""
-    denied = F.transform(
-        F.filter("deny", lambda field: field.startswith("data.")),
-        lambda field: F.split(field, r"\.")[1],
-    )
-    return sources.withColumn("cost_data_keys", F.array_except("cost_data_keys", denied))
-
-
 def discover_keys(df: DataFrame, bags: list[str] = BAGS) -> DataFrame:
     """Distinct (data_source_id, bag, key); duplicates collapse before the shuffle."""
     entries = F.concat(*[_named_keys(bag) for bag in bags])
@@ -69,17 +60,6 @@ def _named_keys(bag: str) -> Column:
     return F.transform(keys, lambda key: F.struct(F.lit(bag).alias("bag"), key.alias("key")))
 
 
-def key_lists(df: DataFrame, bags: list[str] = BAGS) -> DataFrame:
-    """One row per source with a sorted key array per bag."""
-    keys = discover_keys(df, bags)
-    return keys.groupBy("data_source_id").agg(
-        *[
-            F.array_sort(F.collect_set(F.when(F.col("bag") == bag, F.col("key")))).alias(f"{bag}_keys")
-            for bag in bags
-        ]
-    )
-
-
 def bag_to_columns(df: DataFrame, bag: str, keys: list[str]) -> DataFrame:
     return df.select("*", *[F.col(bag)[key].alias(f"{bag}_{key}") for key in keys]).drop(bag)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.money import as_double, currency_columns
 from spendframe.functions.predicates import where
 from spendframe.operators import accounts, adjustments, analyze, budgets, reports
+from spendframe.operators.projection import bag_to_columns
 from spendframe.operators.rollup import monthly_rollup
 from spendframe.operators.unified import unify
 from spendframe.plans import pipeline
@@ -72,6 +73,28 @@ def agg_analyze_yearly(spark, sf_dir):
     return as_double(grouped, "cost", "usage_quantity")
 
 
+@query(
+    "agg_analyze_bags",
+    """
+SELECT tag_priority AS priority, info_size AS size, billed_month AS date, CAST(CAST(sum(cost) AS decimal(38,6)) AS double) AS cost,
+       CAST(sum(data_discount) AS double) AS discount
+FROM monthly WHERE tag_status = 'F' OR tag_priority = '1-URGENT' GROUP BY ALL
+""",
+    ("monthly",),
+)
+def agg_analyze_bags(spark, sf_dir):
+    """A monthly question by a tag and an info key, with a data key summed and a tag in the filter."""
+    grouped = _analyze(
+        spark,
+        sf_dir,
+        "MONTHLY",
+        fields={"cost": {"key": "cost", "operator": "sum"}, "discount": {"key": "data.discount", "operator": "sum"}},
+        group_by=[{"key": "tags.priority", "name": "priority"}, {"key": "additional_info.size", "name": "size"}],
+        either=[{"k": "tags.status", "v": "F", "o": "eq"}, {"k": "tags.priority", "v": "1-URGENT", "o": "eq"}],
+    )
+    return as_double(grouped, "cost", "discount")
+
+
 @query(
     "agg_analyze_nogran",
     """
@@ -130,9 +153,10 @@ FROM cost GROUP BY ALL
     ("cost",),
 )
 def agg_monthly_rollup(spark, sf_dir):
-    rolled = monthly_rollup(
-        sample.cost(spark, sf_dir), sample.TAG_KEYS, sample.INFO_KEYS, sample.DATA_KEYS, nested=False
-    )
+    rolled = monthly_rollup(sample.cost(spark, sf_dir))
+    bags = {"tags": sample.TAG_KEYS, "additional_info": sample.INFO_KEYS, "data": sample.DATA_KEYS}
+    for bag, keys in bags.items():
+        rolled = bag_to_columns(rolled, bag, keys)
     return as_double(rolled, "cost", "usage_quantity", "data_discount")
 
 

@@ -8,8 +8,8 @@ from spendframe.operators import fx, projection
 from spendframe.plans.registry import query
 from spendframe.plans.views import exact_product
 from spendframe.schema import COST_MINIMAL_FIELDS
-from spendframe.session import literal_rows
-from spendframe.sources import sample
+from spendframe.session import literal_rows, new_path
+from spendframe.sources import keys, sample
 
 
 @query(
@@ -86,11 +86,10 @@ SELECT DISTINCT data_source_id, 'data' AS bag, 'discount' AS key FROM cost WHERE
     ("cost",),
 )
 def prj_deny_keys(spark, sf_dir):
-    found = projection.key_lists(sample.cost(spark, sf_dir, "data_source_id", "data"), ["data"])
-    denied = sample.sources(spark).select("data_source_id", "deny")
-    keyed = found.join(denied, "data_source_id").withColumnRenamed("data_keys", "cost_data_keys")
-    visible = projection.visible_data_keys(keyed)
-    return visible.select("data_source_id", F.lit("data").alias("bag"), F.explode("cost_data_keys").alias("key"))
+    lines = sample.cost(spark, sf_dir, "data_source_id", "data")
+    registry = keys.register_keys(keys.create_registry(spark, new_path(spark, "keys")), lines, "job", ["data"])
+    denied = sample.sources(spark).select("data_source_id", F.explode("deny").alias("field"))
+    return keys.visible_keys(registry, denied, "data").select("data_source_id", F.lit("data").alias("bag"), "key")
 
 
 @query(
@@ -107,6 +106,29 @@ def prj_discover_keys(spark, sf_dir):
     return projection.discover_keys(sample.cost(spark, sf_dir, "data_source_id", "tags", "additional_info", "data"))
 
 
+@query(
+    "prj_key_registry",
+    """
+WITH seen AS (
+  SELECT data_source_id, 'tags' AS bag, 'priority' AS key, billed_year FROM cost
+  UNION ALL SELECT data_source_id, 'tags', 'status', billed_year FROM cost WHERE tag_status IS NOT NULL
+  UNION ALL SELECT data_source_id, 'additional_info', 'size', billed_year FROM cost
+  UNION ALL SELECT data_source_id, 'data', 'discount', billed_year FROM cost)
+SELECT data_source_id, bag, key, CASE WHEN min(billed_year) < '1995' THEN 'job-first' ELSE 'job-second' END AS job_id
+FROM seen GROUP BY ALL
+""",
+    ("cost",),
+)
+def prj_key_registry(spark, sf_dir):
+    """The keys of two loads, the second of which delivers the years from 1995 on and is repeated."""
+    lines = sample.cost(spark, sf_dir, "data_source_id", "billed_year", "tags", "additional_info", "data")
+    registry = keys.create_registry(spark, new_path(spark, "keys"))
+    registry = keys.register_keys(registry, lines.where("billed_year < '1995'"), "job-first")
+    for _ in range(2):
+        registry = keys.register_keys(registry, lines.where("billed_year >= '1995'"), "job-second")
+    return registry.read().select(*keys.KEY, "job_id")
+
+
 @query(
     "prj_bag_to_columns",
     "SELECT cost_id, tag_priority AS tags_priority, tag_status AS tags_status FROM cost",

@@ -206,8 +206,8 @@ LEFT JOIN account a ON c.data_source_id IN ('ds-0', 'ds-2') AND a.data_source_id
         ("cost",),
         """
 SELECT data_source_id, job_id, job_task_id, billed_month, usage_unit, provider, region_code, region_key, product,
-       usage_type, resource, service_account_id, project_id, workspace_id, billed_year,
-       sum(cost) AS cost, sum(usage_quantity) AS usage_quantity
+       usage_type, resource, service_account_id, project_id, workspace_id, billed_year, tag_priority, tag_status, info_size,
+       sum(cost) AS cost, sum(usage_quantity) AS usage_quantity, sum(data_discount) AS data_discount
 FROM cost GROUP BY ALL
 """,
     ),

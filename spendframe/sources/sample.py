@@ -14,6 +14,7 @@ from spendframe.operators.rollup import monthly_rollup
 from spendframe.operators.unified import build_unified
 from spendframe.schema import MONEY, RATE
 from spendframe.session import durable, literal_rows, new_path
+from spendframe.sources.facts import FactTable
 
 AS_OF = "1998-08-20"
 AS_OF_MONTH = "1998-08"
@@ -341,8 +342,17 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored monthly table: the rollup of all daily lines."""
-    return stored(spark, sf_dir, "monthly", lambda: monthly_rollup(cost(spark, sf_dir), nested=False))
+    """The stored monthly table: the rollup of all daily lines, with their tags, info and data."""
+    return stored(spark, sf_dir, "monthly", lambda: monthly_rollup(cost(spark, sf_dir), DATA_KEYS))
+
+
+def fact_tables(spark: SparkSession, sf_dir: str) -> tuple[FactTable, FactTable]:
+    """The daily and the monthly table, built once a run; queries change them from this first version on."""
+    key = (spark.sparkContext.applicationId, sf_dir, "facts")
+    if key not in _stored:
+        daily = FactTable.create(new_path(spark, "fact-daily"), cost(spark, sf_dir))
+        _stored[key] = daily, FactTable.create(new_path(spark, "fact-monthly"), monthly(spark, sf_dir))
+    return _stored[key]
 
 
 def routed(spark: SparkSession, sf_dir: str, *columns: str, known: DataFrame | None = None) -> DataFrame:
@@ -352,7 +362,7 @@ def routed(spark: SparkSession, sf_dir: str, *columns: str, known: DataFrame | N
 
 def routed_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored monthly table of lines whose workspace is that of their account."""
-    return stored(spark, sf_dir, "routed-monthly", lambda: monthly_rollup(routed(spark, sf_dir), nested=False))
+    return stored(spark, sf_dir, "routed-monthly", lambda: monthly_rollup(routed(spark, sf_dir), DATA_KEYS))
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:

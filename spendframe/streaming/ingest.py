@@ -1,9 +1,11 @@
 """Incremental load: pages arrive as files, each is normalised and appended once."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendframe.schema import BILLING_ROW
 from spendframe.sources.billing import normalise, split_valid
+from spendframe.sources.facts import FactTable
 
 
 def page_stream(spark: SparkSession, folder: str, file_format: str = "parquet", schema=BILLING_ROW, **options):
@@ -56,3 +58,28 @@ def load_pages_in_batches(rows: DataFrame, batch: dict, write_batch, write_rejec
         .trigger(availableNow=True)
         .start()
     )
+
+
+def load_into_table(rows: DataFrame, batch: dict, table: FactTable, rejects: FactTable, checkpoint: str, prepare=None) -> tuple[FactTable, FactTable]:
+    """Adds the pages that are there now to a fact table, each micro-batch in one step, and rejected rows to a table of their own.
+
+    Every step is noted in the tables' versions under the job, the task and the number of the micro-batch. A micro-batch that the
+    stream hands over again, because the run died before its checkpoint, is found there and not added twice; this
+    also holds if the run died between the two tables. A failed job's rows can be taken out by `operators.load.roll_back`.
+    """
+    tables = {"valid": table, "rejected": rejects}
+
+    def add(name: str, part: DataFrame, note: str) -> None:
+        if not tables[name].has_note(note):
+            tables[name] = tables[name].append(part, note)
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        note = f"{batch['job_id']}/{batch['job_task_id']}/{batch_id}"
+        valid, rejected = split_valid(df)
+        lines = normalise(valid, batch)
+        add("valid", prepare(lines) if prepare else lines, note)
+        add("rejected", rejected.withColumns({key: F.lit(value) for key, value in batch.items()}), note)
+
+    stream = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return tables["valid"], tables["rejected"]

@@ -97,40 +97,6 @@ def test_retention_bounds(spark):
     assert rows(months.where(~retention.outdated_monthly("2024-03-15")), "billed_year") == [("2023",), ("2023",)]
 
 
-def test_rewrite_touches_only_losing_partitions_and_clears_emptied_ones(spark, facts, tmp_path):
-    path = str(tmp_path / "facts")
-    facts.write.partitionBy(*retention.FACT_PARTITIONS).parquet(path)
-    untouched = {f.name for f in (tmp_path / "facts/data_source_id=b/billed_month=2024-02").iterdir()}
-    job = {"job_id": "new", "data_source_id": "a", "changed": [{"start": "2024-02"}]}
-    retention.rewrite(path, spark.read.schema(facts.schema).parquet(path), retention.replaced_by_job(job))
-    assert ids(spark.read.parquet(path)) == [1, 3, 5, 6]
-    assert {f.name for f in (tmp_path / "facts/data_source_id=b/billed_month=2024-02").iterdir()} == untouched
-
-
-def test_rewrite_with_null_and_odd_partition_values(spark, tmp_path):
-    rows_ = [(1, None, "2024-01"), (2, "x:y", "2024-01"), (3, "x:y", "2024-02"), (4, "x/y", "2024-01"), (5, "", "2024-02"), (6, "a b=%", "2024-01"), (7, "01", "2024-01")]
-    table = spark.createDataFrame(rows_, "id int, data_source_id string, billed_month string")
-    path = str(tmp_path / "odd")
-    table.write.partitionBy(*retention.FACT_PARTITIONS).parquet(path)
-    read = lambda: spark.read.schema(table.schema).parquet(path)
-    assert rows(read(), "id") == [(i,) for i in range(1, 8)]
-    retention.rewrite(path, read(), F.col("id").isin(1, 2, 4, 6, 7))
-    assert rows(read(), "id", "billed_month") == [(3, "2024-02"), (5, "2024-02")]
-    retention.rewrite(path, read(), F.lit(True))
-    assert read().count() == 0
-
-
-def test_replaced_months_may_become_empty(spark, tmp_path):
-    table = spark.createDataFrame([(1, "2024-01"), (2, "2024-02"), (3, "2024-03"), (4, None)], "id int, billed_month string")
-    path = str(tmp_path / "months")
-    table.write.partitionBy("billed_month").parquet(path)
-    months = spark.createDataFrame([("2024-02",), ("2024-03",), ("2025-01",)], "billed_month string")
-    new = spark.createDataFrame([(9, "2024-02"), (8, "2024-01")], "id int, billed_month string")
-    retention.replace_months(path, new, months, table.schema)
-    left = spark.read.schema(table.schema).parquet(path)
-    assert rows(left, "id", "billed_month") == sorted([(1, "2024-01"), (9, "2024-02"), (4, None)], key=str)
-
-
 def quotes(spark, *items):
     return spark.createDataFrame(list(items), "date string, from_currency string, to_currency string, close double").withColumn(
         "date", F.to_date("date")
@@ -218,12 +184,11 @@ def test_rollup_treats_absent_keys_as_null_and_missing_data_as_zero(spark):
         """select * from values (map('a','1'), 1.0, map('d', 5.0)), (map('a','1','b',null), 2.0, null), (map('b','2'), 4.0, map())
            as t(tags, cost, data)"""
     ).withColumns({**{k: F.lit(v) for k, v in base.items()}, **{k: F.lit(None).cast("string") for k in keys}, "usage_quantity": F.lit(1.0)})
-    flat = monthly_rollup(df, ["a", "b"], data_keys=["d"], nested=False)
-    assert rows(flat.selectExpr("tags_a", "tags_b", "cast(cost as double)", "cast(data_d as double)", "usage_quantity")) == [
+    rolled = monthly_rollup(df, data_keys=["d"])
+    assert rows(rolled.selectExpr("tags['a']", "tags['b']", "cast(cost as double)", "cast(data['d'] as double)", "usage_quantity")) == [
         ("1", None, 3.0, 5.0, 2.0), (None, "2", 4.0, 0.0, 1.0)
     ]
-    nested = monthly_rollup(df, ["a", "b"], data_keys=["d"])
-    assert rows(nested.selectExpr("map_keys(tags)", "data['d'] > 0")) == [(["a"], True), (["b"], False)]
+    assert rows(rolled.selectExpr("map_keys(tags)", "data['d'] > 0")) == [(["a"], True), (["b"], False)]
 
 
 def test_analyze_rejects_other_aggregates(spark):
