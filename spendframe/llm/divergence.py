@@ -9,7 +9,7 @@ an equality join, so no task holds more than two tiles of one chunk.
 """
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +29,46 @@ TOP_TERMS = 10
 CHUNK_TERMS = 8192
 TILE_SOURCES = 64
 #: Distinct (language, source, term) counts, and pair sums, that a task holds before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 
 
-def text_terms(text: bytes) -> Counter:
-    """Occurrences of each term, A-Z lower-cased; a long text is taken in blocks that end between terms."""
-    text, found, start = text.lower(), Counter(), 0
+def text_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a text, A-Z lower-cased; a long text comes in blocks that end between terms."""
+    text, start = text.lower(), 0
     while start < len(text):
         cut = NO_TERM.search(text, min(len(text), start + BLOCK_BYTES))
         stop = cut.start() if cut else len(text)
-        found.update(TERM.findall(text, start, stop))
+        yield TERM.findall(text, start, stop)
         start = stop
-    return found
+
+
+def _strings(terms: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(terms, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([term.decode("utf-8", "replace") for term in terms], pa.string())
+
+
+class _Group:
+    """Counts of one (language, source) in a task."""
+
+    def __init__(self):
+        self.rows, self.n, self.docs = 0, Counter(), Counter()
+
+    def add(self, text: bytes) -> None:
+        self.rows += 1
+        own: set = set()
+        for words in text_blocks(text):
+            self.n.update(words)
+            own.update(words)
+        self.docs.update(own)
+
+    def batch(self, lang: str, source: str) -> pa.RecordBatch:
+        terms = list(self.n)
+        numbers = [np.fromiter([0, *self.n.values()], np.int64), np.fromiter([self.rows, *map(self.docs.__getitem__, terms)], np.int64)]
+        names = [pa.repeat(pa.scalar(name, pa.string()), len(terms) + 1) for name in (lang, source)]
+        listed = pa.concat_arrays([pa.array([None], pa.string()), _strings(terms)])
+        return pa.RecordBatch.from_arrays([*names, listed, *map(pa.array, numbers)], ["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -49,31 +77,21 @@ def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame
     A row with a null term stands for every (lang, source), also for those whose texts hold no term.
     """
 
-    def handed_on(held: dict) -> pa.RecordBatch:
-        keys, values = zip(*held.items())
-        columns = [pa.array([key[i] for key in keys], pa.string()) for i in range(2)]
-        terms = pa.array([key[2] and key[2].decode("utf-8", "replace") for key in keys], pa.string())
-        numbers = [pa.array([value[i] for value in values], pa.int64()) for i in range(2)]
-        return pa.RecordBatch.from_arrays([*columns, terms, *numbers], ["lang", "source", "term", "n", "docs"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held: dict[tuple, _Group] = defaultdict(_Group)
+        size = 0
         for batch in batches:
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for (language, site), value in zip(names, batch.column(2).cast(pa.binary())):
-                held.setdefault((language, site, None), [0, 0])[1] += 1
-                for term, number in text_terms(value.as_py()).items():
-                    entry = held.get((language, site, term))
-                    if entry is None:
-                        held[language, site, term] = [number, 1]
-                    else:
-                        entry[0] += number
-                        entry[1] += 1
-                if len(held) > HELD:
-                    yield handed_on(held)
-                    held = {}
-        if held:
-            yield handed_on(held)
+            for name, value in zip(names, batch.column(2).cast(pa.binary())):
+                group = held[name]
+                size -= len(group.n)
+                group.add(value.as_py())
+                size += len(group.n)
+                if size > HELD:
+                    yield from (group.batch(*name) for name, group in held.items())
+                    held.clear()
+                    size = 0
+        yield from (group.batch(*name) for name, group in held.items())
 
     plain = docs.select(*[F.coalesce(F.col(column), F.lit("")).alias(name) for column, name in ((lang, "lang"), (source, "source"), (text, "text"))])
     counted = plain.mapInArrow(count, "lang string, source string, term string, n long, docs long")
@@ -151,7 +169,9 @@ def chunks(kept: DataFrame, size: int) -> DataFrame:
         if length:
             yield chunk()
 
-    ordered = kept.select("lang", "cells", "term").repartitionByRange("lang", "cells", "term").sortWithinPartitions("lang", "cells", "term")
+    # Ranges are drawn by a few short columns, since a sample of them passes through the driver.
+    leading = F.transform(F.slice("cells", 1, 2), lambda cell: F.xxhash64(cell["source"]).bitwiseXOR(cell["n"]))
+    ordered = kept.repartitionByRange("lang", leading, F.xxhash64("term")).sortWithinPartitions("lang", "cells", "term")
     schema = "lang string, chunk string, length int, source string, places binary, counts binary"
     return ordered.select("lang", "cells").mapInArrow(cut, schema)
 
