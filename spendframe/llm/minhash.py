@@ -8,20 +8,21 @@ values out, and texts that share a key are candidates: no pair within 15 places
 0.85 a pair differs in more than 15 places with a chance of 4 in a million, and less above. Candidates are
 confirmed on the full shingle sets.
 
-Texts of equal sets are one node, so exact copies never meet. A key may be shared by many nodes (a large group
-of near copies); they are not compared pair by pair. First every node is compared with one other only, the
-smallest node that shares a key with it. Then, round by round, each key whose nodes still lie in different
-components gets some of its nodes as centres, at first about 64 and eight times as many each round, and centres
-are compared with the nodes of other components. A dense group is joined after a round or two; a key is
-settled when its nodes have one component or all have been centres, so no link is lost at any size.
+Texts of equal sets are one node, so exact copies never meet. Nodes that share a key with one another, directly or by
+way of others, are a family; most have two or three nodes. A node is dropped from its family if so many of its
+shingles occur in no other node of the family that it cannot reach the similarity with any. That takes out texts
+which only share a common passage, and families are formed anew from the rest. What is left is sorted by set size
+within its family and cut into tiles of bounded size. Tiles of a family that are close enough in size are compared by
+one matrix product, exactly, on the shingles that both hold; from each pair of tiles only a spanning forest of the links
+comes out. So a key or a family shared by any number of nodes is never held by one task nor written out pair by pair.
 """
 
-from functools import partial
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -34,10 +35,12 @@ SEED = 42
 CHUNKS = 8
 CHUNK_VALUES = 4
 VALUE_BITS = 16
-MOST_DIFFERENT = 2 * CHUNKS - 1
-CENTRES = 64
-CENTRES_GROW = 8
 HASHES_AT_ONCE = 1 << 12
+#: Nodes and shingles of a tile (a larger set has a tile of its own), and shingles that one matrix product takes.
+TILE_NODES, TILE_SHINGLES = 256, 1 << 17
+COLUMNS_AT_ONCE = 1 << 13
+#: Words whose hash a worker remembers.
+KNOWN_WORDS = 1 << 18
 #: Odd factors and offsets of the minimum hashes, and the factor that mixes a minimum before 16 bits are taken.
 _draw = np.random.default_rng(SEED)
 FACTORS = _draw.integers(0, 1 << 63, CHUNKS * CHUNK_VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,19 +49,38 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURE = [f"s{chunk}" for chunk in range(CHUNKS)]
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_word_hashes = _WordHashes()
+
+
+def _joined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of each `size` consecutive words, from the hashes of the words."""
+    count = len(hashes) - size + 1
+    value = np.full(count, np.uint64(size))
+    for i in range(size):
+        value = (value ^ hashes[i : i + count]) * MIX
+        value ^= value >> np.uint64(29)
+    return value * MIX
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the `size`-word shingles; fewer words make one shingle, no words none."""
-    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
-    found, tail = [], []
+    found, tail = [], np.empty(0, np.uint64)
     for words in word_blocks(text.lower()):
-        tail = tail + words
+        tail = np.concatenate([tail, np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))])
         if len(tail) >= size:
-            shingles = map(b" ".join, zip(*(tail[i:] for i in range(size))))
-            found.append(np.unique(np.fromiter(map(digest, shingles), np.uint64, len(tail) - size + 1)))
+            found.append(np.unique(_joined(tail, size)))
             tail = tail[len(tail) - size + 1 :]
-    if not found and tail:
-        found.append(np.array([digest(b" ".join(tail))], np.uint64))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    if not found:
+        return _joined(tail, len(tail)) if len(tail) else tail
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -90,6 +112,16 @@ def sketches(docs: DataFrame, text: str, size: int, name: str) -> DataFrame:
     return docs.withColumn(name, compute(F.col(text)))
 
 
+def _set(size: int):
+    """All shingle hashes of a text, packed."""
+
+    @arrow_udf("binary")
+    def compute(column: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(value, size).tobytes() for value in texts(column)], pa.binary())
+
+    return compute
+
+
 def _keys() -> Column:
     """(slot, key) for each chunk and each of its values left out."""
     value_mask = (1 << VALUE_BITS) - 1
@@ -103,83 +135,131 @@ def _keys() -> Column:
     return F.explode(F.array(*keys))
 
 
-def _different(left: str, right: str) -> Column:
-    """In how many of the signature's values two rows differ."""
-    lowest = sum(1 << VALUE_BITS * value for value in range(CHUNK_VALUES))
-    total = F.lit(0)
-    for column in SIGNATURE:
-        bits = F.col(f"{left}.{column}").bitwiseXOR(F.col(f"{right}.{column}"))
-        for shift in (8, 4, 2, 1):  # gathers the 16 bits of each value in its lowest
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
-        total = total + F.bit_count(bits.bitwiseAND(F.lit(lowest)))
-    return total
+def families(buckets: DataFrame) -> DataFrame:
+    """(node, family) for nodes that share a key with others; the family is its smallest node. `buckets` is (slot, key, node)."""
+    first = buckets.groupBy("slot", "key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
+    edges = buckets.join(first, ["slot", "key"]).select("a", F.col("node").alias("b")).distinct()
+    return components(edges).withColumnRenamed("root", "family")
 
 
-def _close_sizes(left: Column, right: Column, percent: int) -> Column:
-    return 100 * F.least(left, right) >= percent * F.greatest(left, right)
+def hopeful(members: DataFrame, percent: int) -> DataFrame:
+    """The nodes that may be similar to some other of their family. `members` is (family, node, n, hashes).
 
-
-def _similar(size: int, percent: int):
-    """Exact comparison of two texts' full shingle sets."""
-
-    @arrow_udf("boolean")
-    def compare(left: pa.Array, right: pa.Array) -> pa.Array:
-        answers, last, last_hashes = [], None, None
-        for one, other in zip(texts(left), texts(right)):
-            if one != last:
-                last, last_hashes = one, shingle_hashes(one, size)
-            hashes = shingle_hashes(other, size)
-            common = len(np.intersect1d(last_hashes, hashes, assume_unique=True))
-            answers.append(100 * common >= percent * (len(last_hashes) + len(hashes) - common))
-        return pa.array(answers, pa.bool_())
-
-    return compare
-
-
-def confirm(pairs: DataFrame, sketched: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the node pairs (a < b) that are within the signature distance and similar by their full sets.
-
-    `sketched` has a row (node, n, signature) and `held` a row (node, text) for each node; texts are fetched only
-    for pairs that pass the distance.
+    Of two sets with a similarity of p the common part is at least p of either, and a shingle that no other node of the
+    family has is not in it.
     """
-    near = pairs.join(sketched.select(F.col("node").alias("a"), F.struct("n", *SIGNATURE).alias("x")), "a")
-    near = near.join(sketched.select(F.col("node").alias("b"), F.struct("n", *SIGNATURE).alias("y")), "b")
-    near = near.where(_close_sizes(F.col("x.n"), F.col("y.n"), percent) & (_different("x", "y") <= MOST_DIFFERENT)).select("a", "b")
-    full = near.join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    full = full.join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    return full.where(_similar(size, percent)("left", "right")).select("a", "b")
 
-
-def _unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of keys whose nodes lie in more than one component, with the component."""
-    placed = buckets.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    mixed = placed.groupBy("slot", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(mixed.where("low <> high").select("slot", "key"), ["slot", "key"], "left_semi")
-
-
-def connect(buckets: DataFrame, sketched: DataFrame, held: DataFrame, size: int, percent: int, centres: int = CENTRES) -> DataFrame:
-    """(node, root) for all nodes that confirmed links connect with others, where linked nodes share a key.
-
-    `buckets` has a row (slot, key, node, n, members, first) for each node of a key with several nodes.
-    """
-    first = buckets.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
-    found = durable(confirm(first, sketched, held, size, percent), "minhash-links")
-    share = F.shiftrightunsigned(F.xxhash64("node"), 1) / F.lit(float(1 << 63))
-    buckets = buckets.select("slot", "key", "node", "n", "members", (share * F.col("members")).alias("turn"))
-    done = 0
-    for step in count():
-        roots = components(found)
-        # A key with fewer nodes than `done` has had them all as centres.
-        buckets = durable(_unsettled(buckets.where(F.col("members") >= done), roots), "minhash-unsettled")
-        if buckets.isEmpty():
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                family, node = batch.column("family")[i].as_py(), batch.column("node")[i].as_py()
+                hashes = np.frombuffer(batch.column("hashes")[i].as_py(), np.int64)
+                columns = [np.full(len(hashes), family), hashes, np.full(len(hashes), node)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["family", "hash", "node"])
+
+    rows = members.select("family", "node", "hashes").mapInArrow(spread, "family long, hash long, node long")
+    alone = rows.groupBy("family", "hash").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("own"))
+    common = F.col("n") - F.coalesce("own", F.lit(0))
+    return members.join(alone, "node", "left").where(100 * common >= percent * F.col("n")).select("node")
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """(family, tile, low, high, nodes, sizes, hashes): nodes of a family in runs of similar set size; low and high are sizes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, family, held, shingles = TaskContext.get().partitionId() << 32, None, [], 0
+
+        def tile() -> pa.RecordBatch:
+            sizes = np.array([len(hashes) // 8 for _, hashes in held], np.int64)
+            values = [family, number, int(sizes.min()), int(sizes.max()), np.array([node for node, _ in held], np.int64).tobytes(), sizes.tobytes(), b"".join(hashes for _, hashes in held)]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+            return pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(values, kinds)], TILE)
+
+        for batch in batches:
+            for own, node, hashes in zip(*(batch.column(name).to_pylist() for name in ("family", "node", "hashes"))):
+                if held and (own != family or len(held) == TILE_NODES or shingles + len(hashes) // 8 > TILE_SHINGLES):
+                    yield tile()
+                    number, held, shingles = number + 1, [], 0
+                family = own
+                held.append((node, hashes))
+                shingles += len(hashes) // 8
+        if held:
+            yield tile()
+
+    ordered = members.repartitionByRange("family", "n", "node").sortWithinPartitions("family", "n", "node").select("family", "node", "hashes")
+    return ordered.mapInArrow(cut, "family long, tile long, low long, high long, nodes binary, sizes binary, hashes binary")
+
+
+TILE = ["family", "tile", "low", "high", "nodes", "sizes", "hashes"]
+
+
+def _common(left_sizes: np.ndarray, left: np.ndarray, right_sizes: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by matrix products over the shingles that both sides hold."""
+    shared = np.intersect1d(left, right)
+    common = np.zeros((len(left_sizes), len(right_sizes)), np.float64)
+    sides = []
+    for sizes, hashes in ((left_sizes, left), (right_sizes, right)):
+        rows, columns = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(shared, hashes)
+        held = shared[np.minimum(columns, len(shared) - 1)] == hashes if len(shared) else np.zeros(len(hashes), bool)
+        order = np.argsort(columns[held], kind="stable")
+        sides.append((rows[held][order], columns[held][order]))
+    for start in range(0, len(shared), COLUMNS_AT_ONCE):
+        parts = []
+        for sizes, (rows, columns) in zip((left_sizes, right_sizes), sides):
+            a, b = np.searchsorted(columns, [start, start + COLUMNS_AT_ONCE])
+            part = np.zeros((len(sizes), min(COLUMNS_AT_ONCE, len(shared) - start)), np.float32)
+            part[rows[a:b], columns[a:b] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T  # each product is below 2^24, exact in 32 bits
+    return common.astype(np.int64)
+
+
+def _forest(links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the smallest row that links lead to."""
+    roots = np.arange(len(links))
+    while True:
+        lowest = np.minimum(roots, np.where(links, roots, len(links)).min(axis=1))
+        lowest = lowest[lowest]
+        if (lowest == roots).all():
             return roots
-        limit = centres * CENTRES_GROW**step
-        centre = buckets.where((F.col("turn") >= done) & (F.col("turn") < limit))
-        centre = centre.select("slot", "key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-        met = centre.join(buckets, ["slot", "key"]).where((F.col("cc") != F.col("component")) & _close_sizes(F.col("cn"), F.col("n"), percent))
-        pairs = met.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        found = found.unionByName(durable(confirm(pairs, sketched, held, size, percent), "minhash-links"))
-        buckets, done = buckets.drop("component"), limit
+        roots = lowest
+
+
+def _tile_links(left: dict, right: dict | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links within a tile, or between two tiles, connect."""
+    one, other = ([np.frombuffer(tile[name], np.int64) for name in ("nodes", "sizes", "hashes")] for tile in (left, right or left))
+    common = _common(one[1], one[2], other[1], other[2])
+    linked = 100 * common >= percent * (one[1][:, None] + other[1] - common)
+    if right is None:
+        nodes = one[0]
+    else:
+        nodes, between, count = np.concatenate([one[0], other[0]]), linked, len(one[0])
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        linked[:count, count:], linked[count:, :count] = between, between.T
+    roots = _forest(linked)
+    own = np.flatnonzero(roots != np.arange(len(nodes)))
+    return nodes[own], nodes[roots[own]]
+
+
+def links(tiled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect exactly the nodes of each family that are similar, or reached by similar ones."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                a, b = _tile_links(row["left"], row.get("right"), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    body = F.struct("nodes", "sizes", "hashes")
+    inside = tiled.select(body.alias("left")).mapInArrow(compare, "a long, b long")
+    light = tiled.select("family", "tile", "low", "high")
+    one, other = light.select("family", F.col("tile").alias("x"), F.col("high").alias("most")), light.select("family", F.col("tile").alias("y"), "low")
+    # Tiles are numbered by rising size, so the sizes of a later one are not below those of an earlier one.
+    close = one.join(other, "family").where((F.col("x") < F.col("y")) & (100 * F.col("most") >= percent * F.col("low"))).select("x", "y")
+    pairs = close.join(tiled.select(F.col("tile").alias("x"), body.alias("left")), "x").join(tiled.select(F.col("tile").alias("y"), body.alias("right")), "y")
+    return inside.unionByName(pairs.select("left", "right").mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -200,16 +280,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     # Written once, so that the numbers given here hold for all that follows.
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
 
-    keys = nodes.select("node", "n", _keys().alias("at")).select("node", "n", "at.*")
-    shared = keys.groupBy("slot", "key").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    buckets = durable(keys.join(shared, ["slot", "key"]), "minhash-keys")
-    sketched = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
-    sketched = durable(sketched.select("node", "n", *SIGNATURE, F.col("one.id").alias("node_id"), F.col("one.text_hash").alias("node_hash")), "minhash-met")
-    match = docs["id"].eqNullSafe(sketched["node_id"]) & (docs["text_hash"] == sketched["node_hash"])
-    held = docs.join(sketched.select("node", "node_id", "node_hash"), match).select("node", "text").dropDuplicates(["node"])
-    held = durable(held, "minhash-texts")
+    keys = nodes.select("node", _keys().alias("at")).select("node", "at.*")
+    shared = keys.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = durable(keys.join(shared.select("slot", "key"), ["slot", "key"]), "minhash-keys")
+    met = families(buckets)
+    wanted = nodes.join(met, "node").select("node", "n", "family", F.col("one.id").alias("node_id"), F.col("one.text_hash").alias("node_hash"))
+    match = docs["id"].eqNullSafe(wanted["node_id"]) & (docs["text_hash"] == wanted["node_hash"])
+    held = docs.join(wanted, match).dropDuplicates(["node"]).select("family", "node", "n", _set(size)("text").alias("hashes"))
+    held = durable(held, "minhash-sets")
+    rest = durable(hopeful(held, percent), "minhash-hopeful")
+    again = families(buckets.join(rest, "node", "left_semi"))
+    tiled = durable(tiles(durable(held.drop("family").join(again, "node"), "minhash-members")), "minhash-tiles")
+    roots = components(links(tiled, percent))
 
-    roots = connect(buckets, sketched, held, size, percent)
     groups = nodes.select("digest", "node", F.col("one.id").alias("first")).join(roots, "node", "left")
     groups = groups.withColumn("root", F.coalesce("root", "node"))
     smallest = groups.groupBy("root").agg(F.min("first").alias("component"))

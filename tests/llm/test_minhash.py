@@ -59,12 +59,22 @@ def test_groups_match_all_pairs(spark):
     assert found(spark, rows) == sorted(plain_components(rows), key=str)
 
 
-def test_large_group_needs_several_rounds_of_centres(spark, monkeypatch):
-    """Copies that differ from the first node by too much, and one centre a key in the first round."""
-    monkeypatch.setattr(minhash.connect, "__defaults__", (1,))
+def test_families_of_several_tiles(spark, monkeypatch):
+    """Copies of which some are too far from each other, in tiles of a few nodes, products of a few columns."""
+    monkeypatch.setattr(minhash, "TILE_NODES", 7)
+    monkeypatch.setattr(minhash, "COLUMNS_AT_ONCE", 11)
     draw = random.Random(6)
     base = [f"w{i}" for i in range(100)]
-    rows = [(i, edited(draw, base, draw.choice([2, 3, 4]))) for i in range(150)]
+    rows = [(i, edited(draw, base[: draw.choice([70, 85, 92, 100])], draw.choice([1, 2, 3, 4]))) for i in range(150)]
+    assert found(spark, rows) == sorted(plain_components(rows), key=str)
+
+
+def test_texts_with_a_common_passage_are_dropped_early(spark):
+    draw = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"w{draw.randrange(10**6)}" for _ in range(60)])) for i in range(80)] + [(500, " ".join(passage)), (501, " ".join(passage[1:]))]
+    members = spark.createDataFrame([(0, i, len(plain_set(text)), bytearray(minhash.shingle_hashes(text.encode(), 3).tobytes())) for i, text in rows], "family long, node long, n long, hashes binary")
+    assert sorted(row.node for row in minhash.hopeful(members, 85).collect()) == [500, 501]
     assert found(spark, rows) == sorted(plain_components(rows), key=str)
 
 
@@ -92,20 +102,31 @@ def test_long_text_in_blocks(monkeypatch):
     assert (minhash.signature(whole) == before).all()
 
 
-def test_signatures_differ_as_sets_do(spark):
-    """Places that differ are about 32 times the distance of the sets, and the column counts them."""
+def test_signatures_differ_as_sets_do():
+    """Places that differ are about 32 times the distance of the sets."""
     draw = random.Random(8)
-    rows = []
-    for i in range(300):
-        words = [f"w{draw.randrange(10**6)}" for _ in range(150)]
-        rows.append((i, " ".join(words), edited(draw, words, 4)))
-    docs = spark.createDataFrame(rows, "id long, one string, two string")
-    both = minhash.sketches(minhash.sketches(docs, "one", 3, "x"), "two", 3, "y").select("one", "two", minhash._different("x", "y").alias("d")).collect()
     total = expected = 0
-    for row in both:
-        one, two = (minhash.signature(minhash.shingle_hashes(text.encode(), 3)) for text in (row.one, row.two))
-        plain = sum((int(a) >> 16 * k & 0xFFFF) != (int(b) >> 16 * k & 0xFFFF) for a, b in zip(one, two) for k in range(4))
-        assert row.d == plain
-        a, b = plain_set(row.one), plain_set(row.two)
-        total, expected = total + plain, expected + 32 * (1 - len(a & b) / len(a | b))
+    for _ in range(300):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+        texts = [" ".join(words), edited(draw, words, 4)]
+        one, two = (minhash.signature(minhash.shingle_hashes(text.encode(), 3)) for text in texts)
+        total += sum((int(a) >> 16 * k & 0xFFFF) != (int(b) >> 16 * k & 0xFFFF) for a, b in zip(one, two) for k in range(4))
+        a, b = map(plain_set, texts)
+        expected += 32 * (1 - len(a & b) / len(a | b))
     assert abs(total / expected - 1) < 0.05
+
+
+def test_signatures_within_15_places_share_a_key(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(200):
+        values = [draw.getrandbits(16) for _ in range(32)]
+        changed = list(values)
+        for k in draw.sample(range(32), 15):
+            changed[k] ^= draw.randrange(1, 1 << 16)
+        for side, found_ in ((0, values), (1, changed)):
+            packed = [sum(value << 16 * k for k, value in enumerate(found_[4 * c : 4 * c + 4])) for c in range(8)]
+            rows.append((i, side, *[value - (1 << 64) if value >> 63 else value for value in packed]))
+    prints = spark.createDataFrame(rows, f"id long, side int, {', '.join(f'{name} long' for name in minhash.SIGNATURE)}")
+    keys = prints.select("id", "side", minhash._keys().alias("at")).select("id", "side", "at.*")
+    assert keys.groupBy("id", "slot", "key").count().where("count > 1").select("id").distinct().count() == 200
