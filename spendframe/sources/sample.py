@@ -100,7 +100,7 @@ def _cost_columns() -> dict[str, Column]:
             F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus")),
         ).otherwise(F.create_map(F.lit("priority"), F.col("o_orderpriority"))),
         "additional_info": F.create_map(F.lit("size"), F.concat(F.lit("size-"), _text(F.col("p_size")))),
-        "data": F.create_map(F.lit("discount"), _amount(discount)),
+        "data": F.create_map(F.lit("discount"), _amount(discount).cast(MONEY)),
     }
 
 
