@@ -8,11 +8,10 @@ values out, and texts that share a key are candidates: no pair within 15 places
 0.85 a pair differs in more than 15 places with a chance of 4 in a million, and less above. Candidates are
 confirmed on the full shingle sets.
 
-Texts of equal sets are one node, so exact copies never meet. Nodes that share a key with one another, directly or by
-way of others, are a family; most have two or three nodes. A node is dropped from its family if so many of its
-shingles occur in no other node of the family that it cannot reach the similarity with any. That takes out texts
-which only share a common passage, and families are formed anew from the rest. What is left is sorted by set size
-within its family and cut into tiles of bounded size. Tiles of a family that are close enough in size are compared by
+Texts of equal sets are one node, so exact copies never meet. Of the nodes that share a key with others, those are
+dropped first that hold so many shingles alone that they cannot reach the similarity with any; that takes out texts
+which only share a common passage. The rest form families: nodes that share a key with one another, directly or by way
+of others; most have two or three nodes. A family is sorted by set size and cut into tiles of bounded size. Tiles of a family that are close enough in size are compared by
 one matrix product, exactly, on the shingles that both hold; from each pair of tiles only a spanning forest of the links
 comes out. So a key or a family shared by any number of nodes is never held by one task nor written out pair by pair.
 """
@@ -143,22 +142,20 @@ def families(buckets: DataFrame) -> DataFrame:
 
 
 def hopeful(members: DataFrame, percent: int) -> DataFrame:
-    """The nodes that may be similar to some other of their family. `members` is (family, node, n, hashes).
+    """The nodes that may be similar to some other. `members` is (node, n, hashes).
 
-    Of two sets with a similarity of p the common part is at least p of either, and a shingle that no other node of the
-    family has is not in it.
+    Of two sets with a similarity of p the common part is at least p of either, and a shingle that no other node has is
+    not in it.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                family, node = batch.column("family")[i].as_py(), batch.column("node")[i].as_py()
-                hashes = np.frombuffer(batch.column("hashes")[i].as_py(), np.int64)
-                columns = [np.full(len(hashes), family), hashes, np.full(len(hashes), node)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["family", "hash", "node"])
+            for node, hashes in zip(*(batch.column(name) for name in ("node", "hashes"))):
+                hashes = np.frombuffer(hashes.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), node.as_py()))], ["hash", "node"])
 
-    rows = members.select("family", "node", "hashes").mapInArrow(spread, "family long, hash long, node long")
-    alone = rows.groupBy("family", "hash").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1")
+    rows = members.select("node", "hashes").mapInArrow(spread, "hash long, node long")
+    alone = rows.groupBy("hash").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("own"))
     common = F.col("n") - F.coalesce("own", F.lit(0))
     return members.join(alone, "node", "left").where(100 * common >= percent * F.col("n")).select("node")
@@ -283,14 +280,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     keys = nodes.select("node", _keys().alias("at")).select("node", "at.*")
     shared = keys.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = durable(keys.join(shared.select("slot", "key"), ["slot", "key"]), "minhash-keys")
-    met = families(buckets)
-    wanted = nodes.join(met, "node").select("node", "n", "family", F.col("one.id").alias("node_id"), F.col("one.text_hash").alias("node_hash"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
+    wanted = wanted.select("node", "n", F.col("one.id").alias("node_id"), F.col("one.text_hash").alias("node_hash"))
     match = docs["id"].eqNullSafe(wanted["node_id"]) & (docs["text_hash"] == wanted["node_hash"])
-    held = docs.join(wanted, match).dropDuplicates(["node"]).select("family", "node", "n", _set(size)("text").alias("hashes"))
+    held = docs.join(wanted, match).dropDuplicates(["node"]).select("node", "n", _set(size)("text").alias("hashes"))
     held = durable(held, "minhash-sets")
     rest = durable(hopeful(held, percent), "minhash-hopeful")
-    again = families(buckets.join(rest, "node", "left_semi"))
-    tiled = durable(tiles(durable(held.drop("family").join(again, "node"), "minhash-members")), "minhash-tiles")
+    related = families(buckets.join(rest, "node", "left_semi"))
+    tiled = durable(tiles(durable(held.join(related, "node"), "minhash-members")), "minhash-tiles")
     roots = components(links(tiled, percent))
 
     groups = nodes.select("digest", "node", F.col("one.id").alias("first")).join(roots, "node", "left")

@@ -73,7 +73,7 @@ def test_texts_with_a_common_passage_are_dropped_early(spark):
     draw = random.Random(7)
     passage = [f"p{i}" for i in range(40)]
     rows = [(i, " ".join(passage + [f"w{draw.randrange(10**6)}" for _ in range(60)])) for i in range(80)] + [(500, " ".join(passage)), (501, " ".join(passage[1:]))]
-    members = spark.createDataFrame([(0, i, len(plain_set(text)), bytearray(minhash.shingle_hashes(text.encode(), 3).tobytes())) for i, text in rows], "family long, node long, n long, hashes binary")
+    members = spark.createDataFrame([(i, len(plain_set(text)), bytearray(minhash.shingle_hashes(text.encode(), 3).tobytes())) for i, text in rows], "node long, n long, hashes binary")
     assert sorted(row.node for row in minhash.hopeful(members, 85).collect()) == [500, 501]
     assert found(spark, rows) == sorted(plain_components(rows), key=str)
 
