@@ -28,6 +28,7 @@ LEAST_TEXTS = 3
 FOLDS = 3
 ROUNDS, RATE, PENALTY = 300, 0.5, 0.3
 WORDS = re.compile(r"[^\W\d_]+")
+NO_WORD = re.compile(r"[\W\d_]")
 PIECE_CHARS = 1 << 22
 RESULT = pa.struct([(name, pa.float64()) for name in CHAIN])
 RESULT_DDL = ", ".join(f"{name} double" for name in CHAIN)
@@ -36,8 +37,12 @@ RESULT_DDL = ", ".join(f"{name} double" for name in CHAIN)
 def features(text: str) -> set[str]:
     """Words of the lower-case text, and beginnings of longer words (with a hyphen); each counts once."""
     words: set[str] = set()
-    for start in range(0, len(text), PIECE_CHARS):  # bounds memory; a word cut in two at a border adds its halves
-        words.update(WORDS.findall(text[start : start + PIECE_CHARS].lower()))
+    start = 0
+    while start < len(text):  # pieces bound memory; they end between words
+        cut = NO_WORD.search(text, min(len(text), start + PIECE_CHARS))
+        stop = cut.start() if cut else len(text)
+        words.update(WORDS.findall(text[start:stop].lower()))
+        start = stop
     return words.union(*({word[:size] + "-" for word in words if len(word) > size} for size in PREFIXES))
 
 
@@ -115,14 +120,18 @@ class Chain:
     names: dict[str, int]
     models: list[Linear]
     threshold: float = 0.5  # of the last probability
+    shift: float = 0.0  # from the log odds of the sample to those of all texts
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        """A row per text with the probability of each category, in the chain's order."""
+        """A row per text with the probability of each category, in the chain's order.
+
+        The chain runs on the sample's log odds, as it was fitted; the shift is added to what is reported only.
+        """
         rows = Rows([features(text) for text in texts], self.names)
         before = np.zeros((len(texts), 0))
         for model in self.models:
             before = np.column_stack((before, np.clip(model.logit(rows, before), -10, 10)))
-        return logistic(before)
+        return logistic(before + self.shift)
 
 
 def fit(sample: list[tuple[str, int]], share: float | None = None) -> Chain:
@@ -151,9 +160,8 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> Chain:
     if share is not None and 0 < share < 1 and 0 < toxic.mean() < 1:
         odds = lambda p: np.log(p / (1 - p))
         shift = float(odds(share) - odds(toxic.mean()))
-        for model in models:
-            model.offset += shift
-    return Chain(names, models, _threshold(before[:, -1] + shift, toxic, np.exp(-shift)) if 0 < toxic.sum() < len(toxic) else 0.5)
+    threshold = _threshold(before[:, -1] + shift, toxic, np.exp(-shift)) if 0 < toxic.sum() < len(toxic) else 0.5
+    return Chain(names, models, threshold, shift)
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray, weight: float) -> float:
@@ -167,7 +175,11 @@ def _threshold(logits: np.ndarray, labels: np.ndarray, weight: float) -> float:
 
 
 def classify(docs: DataFrame, chain: Chain, text: str = "text", result: str = "toxicity") -> DataFrame:
-    """Adds the chain's probabilities for each whole text. Null counts as empty; rows and other columns stay."""
+    """Adds the chain's probabilities for each whole text, however long.
+
+    Null counts as empty; an empty text has the probabilities of a text without known words. Rows and other columns
+    stay, repeated rows too; a column that already has the result's name is replaced. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @arrow_udf(RESULT_DDL)

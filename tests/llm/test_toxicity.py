@@ -30,7 +30,7 @@ def test_chain_uses_earlier_categories(chain):
         logits = []
         for model in chain.models:
             logits.append(float(np.clip(model.weights[numbers].sum() + np.dot(logits, model.earlier) + model.offset, -10, 10)))
-        assert np.allclose(found[text], [1 / (1 + np.exp(-x)) for x in logits])
+        assert np.allclose(found[text], [1 / (1 + np.exp(-x - chain.shift)) for x in logits])
     assert [len(model.earlier) for model in chain.models] == [0, 1, 2] and np.abs(chain.models[2].earlier).sum() > 0
 
 
@@ -42,6 +42,25 @@ def test_finds_new_toxic_texts_and_spares_clean_ones(chain):
     assert chain.probabilities([long + " idiot moron"])[0, 2] > chain.probabilities([long])[0, 2]
 
 
+def test_a_rare_label_moves_log_odds_once_and_flips_no_decision():
+    draw = random.Random(4)
+    sample = [(post(draw, 1 + i % 4 // 2 if i % 2 else 0), i % 2) for i in range(400)]
+    plain, rare = toxicity.fit(sample), toxicity.fit(sample, 0.01)
+    texts = [post(draw, i % 3) for i in range(90)]
+    odds = lambda chain: np.log(chain.probabilities(texts) / (1 - chain.probabilities(texts)))
+    assert np.allclose(odds(rare) - odds(plain), np.log(0.01 / 0.99))
+    toxic = np.arange(90) % 3 > 0
+    flagged = rare.probabilities(texts)[:, 2] >= rare.threshold
+    assert (flagged == toxic).mean() > 0.95
+
+
+def test_words_at_the_border_of_a_piece(monkeypatch):
+    text = " ".join(f"word{'abcdefghij'[i % 10] * (i % 7)}" for i in range(200)) + " äöü" * 20
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 5)
+    assert toxicity.features(text) == whole
+
+
 def test_few_labels():
     for sample in ([], [("a b", 0)] * 5, [("a b", 1)] * 5):
         found = toxicity.fit(sample).probabilities(["a b", ""])
