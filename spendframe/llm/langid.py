@@ -30,6 +30,8 @@ RESULT_DDL = "language string, score double, cross_entropy double, rejected bool
 def codes(text: str) -> np.ndarray:
     """Code points of the lower-case words, blanks between and around; empty without letters."""
     words = LETTERS.findall(text.lower())
+    if not "".join(words).isalpha():  # numbers such as fractions and Roman numerals are no digits to the pattern
+        words = [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
     if not words:
         return np.zeros(0, np.uint64)
     return np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -249,8 +251,10 @@ def _temperature(entropies: np.ndarray, truth: np.ndarray) -> float:
 def identify(docs: DataFrame, model: Model, text: str = "text", result: str = "identified") -> DataFrame:
     """Adds (language, score, cross_entropy, rejected) for each whole text.
 
-    Null texts and texts without a letter are `und` with score 0. Ties go to the language that sorts first.
-    The model is broadcast; its size is bounded by the sample it was learned from.
+    Null texts and texts without a letter are `und` with score 0. Ties go to the language that sorts first. Very long texts
+    are read in pieces. Repeated rows and other columns stay; a column that already has the result's name is replaced; an
+    empty table stays empty. The model is broadcast; its size is bounded by the sample it was learned from times the
+    number of languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

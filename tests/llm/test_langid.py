@@ -113,3 +113,13 @@ def test_query_on_held_out_rows(spark, sf_dir):
     assert all(row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 4 == 2) and 0 <= row.score <= 1 for row in rows)
     held = [row for row in rows if row.held_out]
     assert sum(row.lang_pred == docs[row.doc_id].lang for row in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "③", "Ⅷ", "12 !", "²³ ⅓"])
+def test_numbers_are_no_letters(model, text):
+    assert len(langid.codes(text)) == 0
+    assert model.identify([text]) == [{"language": "und", "score": 0.0, "cross_entropy": None, "rejected": True}]
+
+
+def test_numbers_part_words():
+    assert langid.codes("ab½cd Ⅷ e").tolist() == langid.codes("ab cd e").tolist()
