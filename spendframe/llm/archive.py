@@ -9,20 +9,24 @@ writes new files under new names; only files that the index names count.
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendframe.session import durable, new_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+#: Bundles that one reading task takes, about 64 MB.
+BUNDLES_AT_ONCE = 4
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 # Numbers of the seekable format, and the WARC profile of revisits.
@@ -181,18 +185,26 @@ def _writer(folder: str):
     return run
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark resolves it to, so that executors open the same place."""
+    if "://" not in folder:
+        probe = f"{folder}/place-{uuid.uuid4().hex}"
+        spark.range(1).coalesce(1).write.parquet(probe)
+        folder = unquote(spark.read.parquet(probe).select("_metadata.file_path").first()[0]).rsplit("/place-", 1)[0]
+    return re.sub("^file:/+", "file:///", folder)
+
+
 def write(pages: DataFrame, folder: str | None = None, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes one record per row and returns the stored index.
 
     Among rows whose payloads are equal and have at least `least_bytes` bytes, those with the smallest id are responses
     and the others revisits of it; shorter payloads are all responses. A null payload counts as empty. Rows with a null
     id revisit the smallest id of their payload, or are responses if it has none. Repeated rows are written
-    repeatedly, under one identifier. The folder is a URI that pyarrow can open; by default a new one in
-    the shared folder of the session.
+    repeatedly, under one identifier. The folder is one that Spark and pyarrow can open; by default a new one in
+    the shared folder of the session. A path without a scheme is where Spark finds it.
     """
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    folder = resolved(spark, folder or new_path(spark, "warc"))
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("hash", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
     groups = rows.where("hash is not null").groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
@@ -218,10 +230,18 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pylist(records, RECORD)
 
 
-def read(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, one task for a few bundles, frame by frame."""
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(F.col("bundle")).mapInArrow(_frames, RECORD_DDL)
+def read(index: DataFrame, bundles_at_once: int = BUNDLES_AT_ONCE) -> DataFrame:
+    """All records of the bundles that an index names, one task for about `bundles_at_once` bundles, frame by frame.
+
+    The rows that name the bundles are tiny, so the number of tasks is given, by the number of bundles; left to
+    adaptive execution they would all be merged into one.
+    """
+    bundles = durable(index.select("bundle").distinct(), "warc-bundles")
+    return bundles.repartition(_tasks(bundles, bundles_at_once), "bundle").mapInArrow(_frames, RECORD_DDL)
+
+
+def _tasks(bundles: DataFrame, bundles_at_once: int) -> int:
+    return max(1, -(-bundles.count() // bundles_at_once))
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +257,9 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([parse_record(data, row["offset"])[0]], RECORD)
 
 
-def fetch(index: DataFrame, wanted: DataFrame, id: str = "page_id") -> DataFrame:
+def fetch(index: DataFrame, wanted: DataFrame, id: str = "page_id", bundles_at_once: int = BUNDLES_AT_ONCE) -> DataFrame:
     """The records of wanted ids, reading only the frames that hold them. Unknown ids give no row."""
     places = index.join(wanted.select(F.col(id).alias("page_id")).distinct(), "page_id", "left_semi")
-    places = places.select("bundle", "frame_start", "frame_size", "offset").repartition("bundle").sortWithinPartitions("bundle", "frame_start", "offset")
-    return places.mapInArrow(_pick, RECORD_DDL)
+    places = durable(places.select("bundle", "frame_start", "frame_size", "offset"), "warc-places")
+    tasks = _tasks(places.select("bundle").distinct(), bundles_at_once)
+    return places.repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame_start", "offset").mapInArrow(_pick, RECORD_DDL)

@@ -6,6 +6,8 @@ import pyarrow.fs
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from spendframe.llm import archive, queries
 
 
@@ -94,3 +96,14 @@ def test_query_against_definition(spark, sf_dir):
     pages = [tuple(row) for row in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     rows = queries.QUERIES["op7_archive"](spark, sf_dir).select(*FIELDS).collect()
     assert sorted((tuple(row) for row in rows), key=str) == expected(pages)
+
+
+def test_reading_takes_tasks_in_proportion_to_the_bundles(spark, tmp_path, monkeypatch):
+    """Tiny rows that name the bundles are not merged into one task; a path without a scheme is resolved by Spark."""
+    index = archive.write(spark.range(40).selectExpr("id page_id", "'u' url", "repeat(string(id), 50) html").repartition(40), str(tmp_path / "w"))
+    assert index.select("bundle").distinct().count() > 20
+    assert all(row.bundle.startswith("file:///") for row in index.collect())
+    used = archive.read(index, 4).select(F.spark_partition_id()).distinct().count()
+    assert used > 4
+    assert archive.read(index, 4).count() == 40
+    assert archive.fetch(index, spark.range(3).selectExpr("id page_id")).count() == 3
