@@ -34,9 +34,8 @@ QUALITY_THRESHOLD = 0.7
 def quality_network(docs: DataFrame, labels: DataFrame) -> bytenet.Network:
     """The network learned from labelled rows of `docs` outside the held-out quarter, at the share of label 1 among all of them."""
     allowed = (remainder("doc_id", 4) != 2) & F.col("quality").isin(0, 1)
-    chosen = samples.pick(labels, "doc_id", "quality", allowed, QUALITY_SAMPLE)
-    present = docs.select("doc_id").where("doc_id is not null")
-    share = labels.where(allowed).join(present, "doc_id", "left_semi").agg(F.avg("quality")).first()[0]
+    share = labels.where(allowed).join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("quality")).first()[0]
+    chosen = samples.pick(labels.join(samples.usable(docs, "doc_id", "text"), "doc_id", "left_semi"), "doc_id", "quality", allowed, QUALITY_SAMPLE)
     return bytenet.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "quality", 2 * QUALITY_SAMPLE), share)
 
 
@@ -79,7 +78,8 @@ def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    known = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    short = F.octet_length("text") <= samples.LONGEST_SAMPLE
+    known = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & short & F.rlike("text", F.lit(r"\p{L}")))
     languages = known.select("lang").distinct().limit(LANGUAGE_SAMPLE + 1).count()
     chosen = samples.pick(known, "doc_id", "lang", F.lit(True), max(1, LANGUAGE_SAMPLE // max(1, languages)))
     model = langid.fit(samples.collect_texts(docs, chosen, "doc_id", "text", "lang", 2 * LANGUAGE_SAMPLE))
@@ -99,9 +99,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     allowed = (remainder("doc_id", 4) != 2) & F.col("toxic").isin(0, 1)
-    chosen = samples.pick(labels, "doc_id", "toxic", allowed, TOXICITY_SAMPLE)
+    chosen = samples.pick(labels.join(samples.usable(docs, "doc_id", "text"), "doc_id", "left_semi"), "doc_id", "toxic", allowed, TOXICITY_SAMPLE)
     sample = samples.collect_texts(docs, chosen, "doc_id", "text", "toxic", 2 * TOXICITY_SAMPLE)
-    share = labels.where(allowed).agg(F.avg("toxic")).first()[0]
+    share = labels.where(allowed).join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("toxic")).first()[0]
     chain = toxicity.fit([(text.decode("utf-8", "replace"), label) for text, label in sample], share)
     found = toxicity.classify(docs, chain)
     return found.select(

@@ -28,6 +28,11 @@ def pick(labels: DataFrame, id: str, label: str, allowed: Column, per_label: int
     return few.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(id, label)
 
 
+def usable(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The ids of documents that `collect_texts` may take."""
+    return docs.where((F.octet_length(F.coalesce(F.col(text), F.lit(""))) <= LONGEST_SAMPLE) & F.col(id).isNotNull()).select(id)
+
+
 def collect_texts(docs: DataFrame, chosen: DataFrame, id: str, text: str, label: str, limit: int) -> list[tuple[bytes, object]]:
     """(UTF-8 text, label) of chosen rows whose text is at most LONGEST_SAMPLE bytes, in a fixed order.
 
