@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 from spendframe.llm import bpe, bytenet, decontaminate, host_rules, simhash
 from spendframe.llm.common import fresh_name, table
 from spendframe.llm.queries import QUALITY_THRESHOLD, quality_network, tokenizer_path
-from spendframe.session import new_path
+from spendframe.session import durable, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or whose host fails as a whole."""
     whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    measured = host_rules.measure(docs.select(whole.alias("row"), F.col("source"), F.col("text")))
-    return host_rules.judge(measured).where("kept").select("row.*")
+    measured = host_rules.measure(docs.select(whole.alias("row"), F.col("source"), F.col("text"))).drop("text")
+    # Both the hosts' rates and the verdicts read the measures, so they are stored with their rows.
+    return host_rules.judge(durable(measured, "pipeline-measures")).where("kept").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
