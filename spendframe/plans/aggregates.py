@@ -179,50 +179,85 @@ def agg_unified_rollup(spark, sf_dir):
     return as_double(grouped, "cost", "usage_quantity")
 
 
+_SCOPES = {
+    "WORKSPACE": ("workspace_name", []),
+    "PROJECT": ("project_name", ["project_id"]),
+    "SERVICE_ACCOUNT": ("service_account_name", ["service_account_id"]),
+}
+
+
+def _each_scope(template):
+    """The SQL for each scope; `{name}` is its name column, `{ids}` its id columns, `{others}` those of other scopes as nulls."""
+    every = ["project_id", "service_account_id"]
+    return " UNION ALL BY NAME ".join(
+        template.format(
+            scope=scope,
+            name=name,
+            ids="".join(f", {column}" for column in ids),
+            others="".join(f", CAST(NULL AS varchar) AS {column}" for column in every if column not in ids),
+        )
+        for scope, (name, ids) in _SCOPES.items()
+    )
+
+
 @query(
     "agg_report_cost",
-    f"""
-SELECT workspace_id, project_id, project_name, billed_year, billed_month, exchange_date, usage_type, usage_unit,
+    _each_scope(
+        f"""
+SELECT '{{scope}}' AS scope, workspace_id, {{name}} AS name{{ids}}{{others}}, billed_year, billed_month, exchange_date, usage_type, usage_unit,
        region_key, region_code, {_UNIFIED_SUMS}
 FROM unified WHERE workspace_id IS NOT NULL AND data_source_id IN ('ds-0', 'ds-1', 'ds-2') GROUP BY ALL
-""",
+"""
+    ),
     ("unified",),
 )
 def agg_report_cost(spark, sf_dir):
     kept = accounts.report_sources(sample.sources(spark), sample.WORKSPACES)
-    base = reports.report_base(
-        sample.unified(spark, sf_dir), "PROJECT", sample.workspaces(spark, sf_dir), kept
-    )
-    return as_double(base, *currency_columns(), scale=2)
+    workspaces, unified = sample.workspaces(spark, sf_dir), sample.unified(spark, sf_dir)
+    keys = ["billed_year", "billed_month", "exchange_date", "usage_type", "usage_unit", "region_key", "region_code"]
+
+    def base(scope, name):
+        found = reports.report_base(unified, scope, workspaces, kept)
+        found = found.withColumns({"scope": F.lit(scope), "name": F.col(name)})
+        return pipeline.filled(found, "scope", "name", "workspace_id", "project_id", "service_account_id", *keys, *currency_columns())
+
+    return as_double(pipeline.union([base(scope, name) for scope, (name, _) in _SCOPES.items()]), *currency_columns(), scale=2)
 
 
 @query(
     "agg_report_collapse",
-    f"""
-SELECT workspace_id, billed_year, billed_month, exchange_date, workspace_name,
+    _each_scope(
+        f"""
+SELECT '{{scope}}' AS scope, workspace_id, {{name}} AS name{{ids}}{{others}}, billed_year, billed_month, exchange_date,
        min_by(region_key, (coalesce(region_key, ''), coalesce(usage_type, ''), coalesce(usage_unit, ''))) AS region_key,
        {_UNIFIED_SUMS}
 FROM unified WHERE workspace_id IS NOT NULL GROUP BY ALL
-""",
+"""
+    ),
     ("unified",),
 )
 def agg_report_collapse(spark, sf_dir):
-    base = reports.report_base(sample.unified(spark, sf_dir), "WORKSPACE")
-    collapsed = reports.collapse(base, "WORKSPACE").drop("usage_type", "usage_unit", "region_code")
-    return as_double(collapsed, *currency_columns(), scale=2)
+    unified = sample.unified(spark, sf_dir)
+
+    def collapsed(scope, name):
+        found = reports.collapse(reports.report_base(unified, scope), scope).withColumns({"scope": F.lit(scope), "name": F.col(name)})
+        keys = ["workspace_id", "project_id", "service_account_id", "billed_year", "billed_month", "exchange_date", "region_key"]
+        return pipeline.filled(found, "scope", "name", *keys, *currency_columns())
+
+    return as_double(pipeline.union([collapsed(scope, name) for scope, (name, _) in _SCOPES.items()]), *currency_columns(), scale=2)
 
 
 @query(
     "agg_report_data",
     f"""
-SELECT 'crc-workspace:' || billed_month || ':' || workspace_id AS cost_report_id, billed_month AS report_month,
-       workspace_id, project_id, service_account_id, data_source_id, product, provider, {_UNIFIED_SUMS}
-FROM unified WHERE workspace_id IS NOT NULL GROUP BY ALL
+WITH report_line AS ({pipeline.REPORT_LINES_SQL})
+SELECT cost_report_id, billed_month AS report_month, workspace_id, project_id, service_account_id, data_source_id, product, provider, {_UNIFIED_SUMS}
+FROM report_line GROUP BY ALL
 """,
     ("unified",),
 )
 def agg_report_data(spark, sf_dir):
-    _, lines = pipeline.reports_and_lines(spark, sf_dir, "WORKSPACE")
+    _, lines = pipeline.reports_and_lines(spark, sf_dir)
     keys = ["workspace_id", "project_id", "service_account_id", "data_source_id", "product", "provider"]
     return as_double(
         lines.select("cost_report_id", "report_month", *keys, *currency_columns()), *currency_columns(), scale=2
@@ -232,21 +267,22 @@ def agg_report_data(spark, sf_dir):
 @query(
     "agg_report_data_analyze",
     f"""
-SELECT provider, billed_month AS date, {_UNIFIED_SUMS} FROM unified WHERE workspace_id IS NOT NULL GROUP BY ALL
+WITH report_line AS ({pipeline.REPORT_LINES_SQL})
+SELECT config AS cost_report_config_id, provider, billed_month AS date, {_UNIFIED_SUMS} FROM report_line GROUP BY ALL
 """,
     ("unified",),
 )
 def agg_report_data_analyze(spark, sf_dir):
-    _, lines = pipeline.reports_and_lines(spark, sf_dir, "WORKSPACE")
+    _, lines = pipeline.reports_and_lines(spark, sf_dir)
     grouped = analyze.analyze(
-        lines, fields=_unified_fields(), group_by=["provider"], granularity="MONTHLY", date_column="report_month"
+        lines, fields=_unified_fields(), group_by=["cost_report_config_id", "provider"], granularity="MONTHLY", date_column="report_month"
     )
     return as_double(grouped, *currency_columns(), scale=2)
 
 
 @query("agg_report_total", pipeline.ADJUSTED_TOTAL_SQL, ("unified", "rate"))
 def agg_report_total(spark, sf_dir):
-    heads, lines = pipeline.reports_and_lines(spark, sf_dir, "WORKSPACE")
+    heads, lines = pipeline.reports_and_lines(spark, sf_dir)
     adjusted = adjustments.apply_policies(heads, lines, pipeline.POLICIES, pipeline.report_rates(spark, sf_dir, heads))
     totals = reports.adjusted_totals(heads, adjusted)
     return as_double(

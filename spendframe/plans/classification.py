@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spendframe.operators import rules
+from spendframe.operators import rule_table, rules
 from spendframe.plans.registry import query
 from spendframe.sources import sample
 
@@ -223,6 +223,58 @@ def rule_add_info(spark, sf_dir):
     )
 
 
+@query(
+    "rule_table",
+    """
+SELECT cost_id,
+       CASE WHEN contains(lower(usage_type), 'small') THEN 'project-small'
+            WHEN provider <> 'asia' AND 'ds-' || (CAST(substr(product, 7) AS int) % 3) = data_source_id THEN 'project-' || product
+            ELSE project_id END AS project_id,
+       CASE WHEN NOT contains(lower(usage_type), 'small') AND provider <> 'asia'
+             AND 'ds-' || (CAST(substr(product, 7) AS int) % 3) = data_source_id THEN product ELSE info_size END AS size
+FROM cost
+""",
+    ("cost",),
+)
+def rule_table_(spark, sf_dir):
+    """A rule for each brand, of one source each, and one for all sources that stops the others; all from a table."""
+    number = F.substring("p_brand", 7, 9).cast("int")
+    brands = sample.table(spark, sf_dir, "part").select("p_brand", number.alias("n")).distinct()
+    none = F.lit(None).cast("string")
+
+    def condition(key, operator, value):
+        return F.struct(F.lit(key).alias("key"), F.lit(operator).alias("operator"), value.alias("value"))
+
+    def action(kind, value=none, info=F.lit(None)):
+        names = {"kind": F.lit(kind), "source": none, "target": none, "anywhere": F.lit(None).cast("boolean"), "value": value, "info": info.cast(rule_table.INFO)}
+        return F.struct(*[column.alias(name) for name, column in names.items()])
+
+    size = F.array(F.struct(F.lit("size").alias("key"), F.col("p_brand").alias("value")))
+    own = brands.select(
+        F.concat(F.lit("rule-"), "p_brand").alias("rule_id"),
+        F.concat(F.lit("ds-"), (F.col("n") % 3).cast("string")).alias("data_source_id"),
+        F.lit("CUSTOM").alias("rule_type"),
+        F.col("n").alias("order"),
+        F.lit("ALL").alias("conditions_policy"),
+        F.array(condition("product", "eq", F.col("p_brand")), condition("provider", "not", F.lit("asia"))).alias("conditions"),
+        F.array(action("change_project", F.concat(F.lit("project-"), "p_brand")), action("add_additional_info", info=size)).alias("actions"),
+        F.lit(False).alias("stop_processing"),
+    )
+    everywhere = brands.agg(F.min("n").alias("n")).select(
+        F.lit("rule-small").alias("rule_id"),
+        none.alias("data_source_id"),
+        F.lit("CUSTOM").alias("rule_type"),
+        (F.col("n") - 1).alias("order"),
+        F.lit("ANY").alias("conditions_policy"),
+        F.array(condition("usage_type", "contain", F.lit("SMALL"))).alias("conditions"),
+        F.array(action("change_project", F.lit("project-small"))).alias("actions"),
+        F.lit(True).alias("stop_processing"),
+    )
+    rows = sample.cost(spark, sf_dir, *_IDS, "provider", "product", "usage_type", "additional_info")
+    classified = rule_table.apply_rule_table(rows, own.unionByName(everywhere))
+    return classified.select("cost_id", "project_id", F.col("additional_info")["size"].alias("size"))
+
+
 _RULE_KEYS = "CASE p_size % 5 WHEN 0 THEN 'product' WHEN 1 THEN 'tags.team' WHEN 2 THEN 'cost' WHEN 3 THEN 'provider' ELSE '' END"
 _RULE_OPERATORS = "CASE p_size % 3 WHEN 0 THEN 'eq' WHEN 1 THEN 'contain' ELSE 'like' END"
 

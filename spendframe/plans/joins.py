@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.money import as_double, total
 from spendframe.operators import accounts, budgets, fx, reports, unified
-from spendframe.operators.adjustments import Step
+from spendframe.operators.adjustments import policy_table, with_steps
 from spendframe.plans.registry import query
 from spendframe.sources import sample
 
@@ -235,12 +235,13 @@ def join_policy_report(spark, sf_dir):
     keys = ["workspace_id", "project_id", "service_account_id"]
     heads = sample.cost(spark, sf_dir, *keys, "billed_month").distinct().withColumnRenamed("billed_month", "report_month")
     names = {"WORKSPACE": "workspace_ids", "PROJECT": "project_ids", "SERVICE_ACCOUNT": "service_account_ids"}
-    hits = []
-    for policy_id, scope, ids in _POLICIES:
-        policy = {"report_adjustment_policy_id": policy_id, "scope": scope, "policy_filter": {names[scope]: ids}}
-        hits.append(F.when(Step(policy, {}).applies(), F.lit(policy_id)))
-    applied = F.explode(F.array_compact(F.array(*hits))).alias("report_adjustment_policy_id")
-    return heads.select("*", applied)
+    one = {"unit": "PERCENT", "value": 1}
+    policies = [
+        {"report_adjustment_policy_id": policy_id, "scope": scope, "policy_filter": {names[scope]: ids}, "adjustments": [one]}
+        for policy_id, scope, ids in _POLICIES
+    ]
+    stepped = with_steps(heads.withColumn("cost_report_config_id", F.lit("crc")), policy_table(spark, policies))
+    return stepped.select(*keys, "report_month", F.explode("_steps.report_adjustment_policy_id").alias("report_adjustment_policy_id"))
 
 
 @query(

@@ -7,7 +7,7 @@ from spendframe.operators import adjustments, reports
 from spendframe.operators.unified import month_calendar
 from spendframe.plans import pipeline
 from spendframe.plans.registry import query
-from spendframe.session import durable, literal_rows
+from spendframe.session import literal_rows
 from spendframe.sources import sample
 
 _SUMS = ", ".join(
@@ -167,11 +167,7 @@ _REPORT_NAMES = [
 
 
 def _all_scopes(spark, sf_dir):
-    heads = pipeline.report_heads(spark, sf_dir)
-    first, *others = [frame.select(*_REPORT_NAMES, *currency_columns()) for frame in heads.values()]
-    for frame in others:
-        first = first.unionByName(frame)
-    return first
+    return pipeline.report_heads(spark, sf_dir).select(*_REPORT_NAMES, *currency_columns())
 
 
 @query("rep_build", _BUILT_SQL, ("unified",))
@@ -194,16 +190,14 @@ LEFT JOIN taken USING (issue_date)
     ("unified",),
 )
 def rep_number(spark, sf_dir):
-    # Range partitioning samples its input first, so the reports are stored before they are numbered.
     built = _all_scopes(spark, sf_dir).select("cost_report_id", "cost_report_config_id", "issue_date")
-    built = durable(built, "reports")
     is_old = F.col("cost_report_config_id") == "crc-project"
     numbered = reports.number_reports(built.where(~is_old), built.where(is_old))
     return numbered.select("cost_report_id", "issue_date", "report_number")
 
 
 def _added(spark, sf_dir, policies):
-    heads, lines = pipeline.reports_and_lines(spark, sf_dir, "WORKSPACE")
+    heads, lines = pipeline.reports_and_lines(spark, sf_dir)
     return adjustments.adjustment_lines(heads, lines, policies, pipeline.report_rates(spark, sf_dir, heads))
 
 
@@ -221,36 +215,36 @@ def _policy(name, adjustment, **policy_filter):
     "rep_adjust_percent",
     pipeline.ADJUSTMENT_STEPS_SQL
     + f"""
-SELECT workspace_id, billed_month AS report_month, {pipeline.wide_amounts("CAST(asia * CAST(0.125 AS decimal(10,6)) AS decimal(24,6))")}
+SELECT cost_report_id, billed_month AS report_month, {pipeline.wide_amounts(pipeline.share("asia", "0.1234567"))}
 FROM base WHERE n_asia > 0 AND workspace_id IN ('building', 'furniture') GROUP BY ALL
 """,
     ("unified", "rate"),
 )
 def rep_adjust_percent(spark, sf_dir):
-    percent = {"name": "Surcharge", "unit": "PERCENT", "value": 12.5, "provider": "asia"}
+    percent = {"name": "Surcharge", "unit": "PERCENT", "value": 12.34567, "provider": "asia"}
     added = _added(spark, sf_dir, [_policy("rap-1", percent, workspace_ids=["building", "furniture"])])
-    return as_double(added.select("workspace_id", "report_month", *currency_columns()), *currency_columns(), scale=2)
+    return as_double(added.select("cost_report_id", "report_month", *currency_columns()), *currency_columns(), scale=2)
 
 
 @query(
     "rep_adjust_fixed",
     pipeline.ADJUSTMENT_STEPS_SQL
     + f"""
-SELECT workspace_id, billed_month AS report_month, {pipeline.wide_amounts("support")} FROM base GROUP BY ALL
+SELECT cost_report_id, billed_month AS report_month, {pipeline.wide_amounts("support")} FROM base GROUP BY ALL
 """,
     ("unified", "rate"),
 )
 def rep_adjust_fixed(spark, sf_dir):
     fixed = {"name": "Support", "unit": "FIXED", "value": 150.25, "currency": "USD"}
     added = _added(spark, sf_dir, [_policy("rap-1", fixed)])
-    return as_double(added.select("workspace_id", "report_month", *currency_columns()), *currency_columns(), scale=2)
+    return as_double(added.select("cost_report_id", "report_month", *currency_columns()), *currency_columns(), scale=2)
 
 
 @query(
     "rep_adjust_order",
     pipeline.ADJUSTMENT_STEPS_SQL
     + f"""
-SELECT workspace_id, billed_month AS report_month, policy AS report_adjustment_policy_id, product,
+SELECT cost_report_id, billed_month AS report_month, policy AS report_adjustment_policy_id, product,
        {pipeline.wide_amounts("amount")} FROM added GROUP BY ALL
 """,
     ("unified", "rate"),
@@ -258,7 +252,7 @@ SELECT workspace_id, billed_month AS report_month, policy AS report_adjustment_p
 def rep_adjust_order(spark, sf_dir):
     added = _added(spark, sf_dir, pipeline.POLICIES)
     return as_double(
-        added.select("workspace_id", "report_month", "report_adjustment_policy_id", "product", *currency_columns()),
+        added.select("cost_report_id", "report_month", "report_adjustment_policy_id", "product", *currency_columns()),
         *currency_columns(),
         scale=2,
     )
@@ -268,12 +262,11 @@ def rep_adjust_order(spark, sf_dir):
     "rep_adjust_lines",
     pipeline.ADJUSTMENT_STEPS_SQL
     + f"""
-SELECT DISTINCT 'crc-workspace:' || billed_month || ':' || workspace_id AS cost_report_id,
-       'crc-workspace' AS cost_report_config_id, workspace_id, CAST(NULL AS varchar) AS project_id,
+SELECT DISTINCT cost_report_id, config AS cost_report_config_id, workspace_id, head_project AS project_id,
        CAST(NULL AS varchar) AS service_account_id, CAST(NULL AS varchar) AS data_source_id,
        billed_month AS report_month, substr(billed_month, 1, 4) AS report_year,
-       CAST({_NEXT_MONTH} + 9 AS varchar) AS issue_date, policy AS report_adjustment_policy_id, product, provider,
-       true AS is_adjusted, false AS is_confirmed
+       CAST(CASE config WHEN 'crc-workspace' THEN {_NEXT_MONTH} + 9 ELSE last_day({_NEXT_MONTH}) END AS varchar) AS issue_date,
+       policy AS report_adjustment_policy_id, product, provider, true AS is_adjusted, false AS is_confirmed
 FROM added
 """,
     ("unified", "rate"),
@@ -285,18 +278,17 @@ def rep_adjust_lines(spark, sf_dir):
 
 @query(
     "rep_finalise",
-    """
-SELECT 'crc-workspace:' || billed_month || ':' || workspace_id AS cost_report_id,
-       CASE WHEN billed_month < '1998-06' THEN 'DONE' ELSE 'ADJUSTING' END AS status,
+    f"""
+WITH report_line AS ({pipeline.REPORT_LINES_SQL})
+SELECT cost_report_id, CASE WHEN billed_month < '1998-06' THEN 'DONE' ELSE 'ADJUSTING' END AS status,
        count(*) AS line_count, CASE WHEN billed_month < '1998-06' THEN count(*) ELSE 0 END AS confirmed_count
-FROM (SELECT DISTINCT billed_month, workspace_id, project_id, service_account_id, data_source_id, product, provider
-      FROM unified WHERE workspace_id IS NOT NULL)
-GROUP BY billed_month, workspace_id
+FROM (SELECT DISTINCT cost_report_id, billed_month, workspace_id, project_id, service_account_id, data_source_id, product, provider FROM report_line)
+GROUP BY cost_report_id, billed_month
 """,
     ("unified",),
 )
 def rep_finalise(spark, sf_dir):
-    heads, lines = pipeline.reports_and_lines(spark, sf_dir, "WORKSPACE")
+    heads, lines = pipeline.reports_and_lines(spark, sf_dir)
     finished = reports.finish(heads.withColumn("is_done", F.col("report_month") < "1998-06"))
     confirmed = reports.confirm_lines(lines, finished)
     counts = confirmed.groupBy("cost_report_id").agg(
@@ -307,19 +299,19 @@ def rep_finalise(spark, sf_dir):
 
 @query(
     "rep_expire",
-    """
+    f"""
+WITH report_line AS ({pipeline.REPORT_LINES_SQL})
 SELECT cost_report_id, version, CASE WHEN is_run AND version = 1 THEN 'EXPIRED' ELSE status END AS status
 FROM (
-  SELECT 'crc-workspace:' || billed_month || ':' || workspace_id AS cost_report_id, version, status,
-         billed_month LIKE '1998%' AS is_run
-  FROM (SELECT DISTINCT billed_month, workspace_id FROM unified WHERE workspace_id IS NOT NULL)
+  SELECT cost_report_id, version, status, billed_month LIKE '1998%' AS is_run
+  FROM (SELECT DISTINCT cost_report_id, billed_month FROM report_line)
   CROSS JOIN (VALUES (1, 'DONE'), (2, 'IN_PROGRESS'), (3, 'DONE'), (4, 'EXPIRED')) v(version, status))
 WHERE NOT (is_run AND version = 2)
 """,
     ("unified",),
 )
 def rep_expire(spark, sf_dir):
-    heads = pipeline.report_heads(spark, sf_dir)["WORKSPACE"]
+    heads = pipeline.report_heads(spark, sf_dir)
     states = [(1, "DONE", "2002-01-01"), (2, "IN_PROGRESS", "2002-02-01"), (3, "DONE", "2002-03-01"), (4, "EXPIRED", "2001-01-01")]
     versions = F.array(
         *[

@@ -330,12 +330,12 @@ def fx_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple, tuple] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build, month: str = "billed_month") -> DataFrame:
     """A table that one run builds once, partitioned by month, and then reads as often as it needs."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         frame, path = build(), new_path(spark, name)
-        frame.write.partitionBy("billed_month").parquet(path)
+        frame.write.partitionBy(month).parquet(path)
         _stored[key] = path, frame.schema
     path, schema = _stored[key]
     return spark.read.schema(schema).parquet(path)

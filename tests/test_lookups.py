@@ -2,7 +2,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from spendframe.operators.lookups import first_by, keep_matching, lookup
-from spendframe.operators.paging import number_rows, page
+from spendframe.operators.paging import ordering, page_after, number_rows, page
 
 
 def hot(spark):
@@ -72,3 +72,20 @@ def test_pages(spark):
     assert page(df, ["id"], limit=10, start=0).count() == 10
     assert page(df, ["id"]).count() == 25
     assert page(df, ["id"], limit=20, max_limit=5).count() == 5
+
+
+def test_pages_are_not_copied_and_can_be_walked(spark, tmp_path):
+    """No page writes its input; key ranges give the pages that offsets give."""
+    values = [(i % 4 or None, None if i % 7 == 0 else i % 5, i) for i in range(60)]
+    spark.createDataFrame(values, "a int, b int, id int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = page(df, ["a", "id"], limit=5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+    for order in (["a", "-b", "id"], ["-a", "b", "-id"]):
+        whole = [row.asDict() for row in df.orderBy(*ordering(order)).collect()]
+        walked = [row.asDict() for row in page(df, order, limit=7).drop("total_count").collect()]
+        while len(walked) < len(whole):
+            walked += [row.asDict() for row in page_after(df, order, walked[-1], 7).collect()]
+        assert walked == whole
+    scan = page_after(df, ["id"], {"id": 50}, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,50)" in scan

@@ -166,11 +166,43 @@ def test_fixed_amount_is_converted_and_taxed(heads, lines, rates):
     out = adjustments.adjustment_lines(heads, lines, policies, rates).where("cost_report_id = 'r2'")
     usd = Decimal(str(DEFAULT_RATES["KRW/USD"])) * 1000
     assert rows(out.select("product", "cost_KRW", "cost_USD")) == [
-        ("Fee", Decimal("1000.000000"), usd.quantize(Decimal("0.000001"))),
-        ("Tax", Decimal("100.000000"), (usd / 10).quantize(Decimal("0.000001"))),
+        ("Fee", Decimal("1000.000000"), usd.quantize(Decimal("1e-12"))),
+        ("Tax", Decimal("100.000000"), (usd / 10).quantize(Decimal("1e-12"))),
     ]
 
 
+def test_shares_keep_their_digits(heads, lines, rates):
+    """7.12345 % is not rounded to six places, nor are small rates."""
+    policies = [policy("a", 1, percent("Share", 7.12345), percent("Tiny", "0.00000001"))]
+    out = adjustments.adjustment_lines(heads, lines, policies, rates).where("cost_report_id = 'r1'")
+    assert rows(out.select("product", "cost_KRW", "cost_USD")) == [
+        ("Share", Decimal("10685.175"), Decimal("10.685175")), ("Tiny", Decimal("0.000015"), Decimal("0.000000015"))
+    ]
+
+
+def test_policies_of_several_configs_from_a_table(spark, heads, lines, rates):
+    """Each report gets its config's policies and those of all; filters see the lines added before."""
+    two = heads.where("applies_adjustments").withColumn("cost_report_config_id", F.when(F.col("cost_report_id") == "r2", "d").otherwise("c"))
+    gcp = {"k": "provider", "v": "gcp", "o": "not"}
+    policies = [
+        {**policy("of-c", 1, percent("C", 10, provider="aws")), "cost_report_config_id": "c"},
+        {**policy("of-d", 1, percent("D", 10, where=[{"k": "product", "v": "GC", "o": "contain"}])), "cost_report_config_id": "d"},
+        policy("all", 2, percent("Rest", 100, where=[gcp, {"k": "workspace_id", "v": ["w1", None], "o": "in"}])),
+    ]
+    assert added(two, lines, adjustments.policy_table(spark, policies), rates) == [("r1", "C", 10.0), ("r1", "Rest", 110.0), ("r2", "D", 1.0)]
+
+
+def test_the_plan_does_not_grow_with_the_policies(spark, heads, lines, rates):
+    def plan(count):
+        many = [policy(f"p{i}", i, percent(f"n{i}", 1, provider="aws")) for i in range(count)]
+        return adjustments.adjustment_lines(heads, lines, adjustments.policy_table(spark, many), rates)
+
+    sizes = [len(plan(count)._jdf.queryExecution().optimizedPlan().toString()) for count in (3, 60)]
+    assert abs(sizes[0] - sizes[1]) < 100
+    last = {row.product: row.cost_USD for row in plan(60).where("cost_report_id = 'r1'").collect()}
+    assert len(last) == 60 and round(float(last["n59"]), 6) == round(1.01**59, 6)
+
+
 def test_totals_follow_the_scope(heads, lines, rates):
     adjusted = adjustments.apply_policies(heads, lines, [policy("a", 1, percent("Ten", 10))], rates)
     with_cost = heads.withColumns({f"cost_{c}": F.lit(0) for c in ("KRW", "USD", "JPY")})
