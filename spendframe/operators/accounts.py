@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.paths import path
 from spendframe.functions.predicates import definitely, member
-from spendframe.operators.lookups import first_by, lookup
+from spendframe.operators.lookups import first_by, lookup, tenant
 
 
 def route_accounts(cost: DataFrame, accounts: DataFrame, match_keys: dict[str, str]) -> DataFrame:
@@ -19,18 +19,20 @@ def route_accounts(cost: DataFrame, accounts: DataFrame, match_keys: dict[str, s
     for source_id, key in match_keys.items():
         account = F.when(routed == source_id, path(key)).otherwise(account)
     is_routed = definitely(routed.isin(list(match_keys)))
+    own = tenant(cost)
     known = first_by(
         accounts.select(
+            *own,
             "data_source_id",
             F.col("account_id").alias("_account"),
             F.col("workspace_id").alias("_real"),
             F.col("v_workspace_id").alias("_virtual"),
         ).where(F.col("_account").isNotNull()),
-        ["data_source_id", "_account"],
+        [*own, "data_source_id", "_account"],
         "_virtual",
         ["_real", "_virtual"],
     )
-    joined = lookup(cost.withColumn("_account", account), known, ["data_source_id", "_account"])
+    joined = lookup(cost.withColumn("_account", account), known, [*own, "data_source_id", "_account"])
     return joined.withColumns(
         {
             "real_workspace_id": F.when(is_routed, F.col("_real")).otherwise(F.col("workspace_id")),
@@ -44,12 +46,15 @@ def connect_accounts(accounts: DataFrame, workspaces: DataFrame) -> DataFrame:
 
     An account nobody references keeps its link when the domain has several workspaces.
     """
-    references = workspaces.select("workspace_id", F.explode("references").alias("account_id"))
-    owners = references.groupBy("account_id").agg(F.min("workspace_id").alias("_owner"))
-    only = workspaces.agg(
-        F.when(F.count("*") == 1, F.min("workspace_id")).alias("only")
-    ).scalar()
-    linked = lookup(accounts.withColumn("_only", only), owners, ["account_id"])
+    own = tenant(accounts)
+    references = workspaces.select(*own, "workspace_id", F.explode("references").alias("account_id"))
+    owners = references.groupBy(*own, "account_id").agg(F.min("workspace_id").alias("_owner"))
+    only = F.when(F.count("*") == 1, F.min("workspace_id")).alias("_only")
+    if own:
+        known = lookup(accounts, workspaces.groupBy(*own).agg(only), own)
+    else:
+        known = accounts.withColumn("_only", workspaces.agg(only).scalar())
+    linked = lookup(known, owners, [*own, "account_id"])
     target = F.coalesce("_owner", "_only")
     return linked.withColumns(
         {
@@ -61,7 +66,7 @@ def connect_accounts(accounts: DataFrame, workspaces: DataFrame) -> DataFrame:
 
 def upsert_accounts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """New accounts are added, changed names taken over, nothing is removed."""
-    keys = ["data_source_id", "account_id"]
+    keys = [*tenant(existing), "data_source_id", "account_id"]
     fresh = incoming.select(*keys, F.col("name").alias("_name"), F.lit(True).alias("_incoming"))
     merged = existing.withColumn("_existing", F.lit(True)).join(fresh, keys, "full")
     action = (
@@ -75,13 +80,14 @@ def upsert_accounts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def virtual_to_real(df: DataFrame, accounts: DataFrame, column: str = "workspace_id") -> DataFrame:
     """Replace virtual workspace ids by the real ones; ids without an account stay."""
+    own = tenant(df)
     real = first_by(
-        accounts.select(F.col("v_workspace_id").alias(column), F.col("workspace_id").alias("_real"), "account_id"),
-        [column],
+        accounts.select(*own, F.col("v_workspace_id").alias(column), F.col("workspace_id").alias("_real"), "account_id"),
+        [*own, column],
         "account_id",
         ["_real"],
     ).withColumn("_known", F.lit(True))
-    joined = lookup(df, real, [column])
+    joined = lookup(df, real, [*own, column])
     return joined.withColumn(
         column, F.when(F.col("_known"), F.col("_real")).otherwise(F.col(column))
     ).drop("_real", "_known")
@@ -123,6 +129,24 @@ def connected_sources(sources: DataFrame, accounts: DataFrame, workspaces: DataF
     return by_all.unionByName(by_link)
 
 
+def config_sources(configs: DataFrame, sources: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """(cost_report_config_id, data_source_id): the sources that each report config draws on, within its tenant.
+
+    A config may list source ids (`data_sources`; null or none means all) and names a schedule state (`source_state`, null
+    meaning ENABLED). A source counts if it belongs to all workspaces or to a known one.
+    """
+    own = tenant(configs)
+    known = workspaces.select(*own, "workspace_id").distinct()
+    shared = sources.where(F.col("workspace_id") == "*")
+    held = shared.unionByName(sources.join(known, [*own, "workspace_id"], "left_semi").select(*sources.columns))
+    wanted = configs.select(*own, "cost_report_config_id", F.coalesce("source_state", F.lit("ENABLED")).alias("schedule_state"), "data_sources")
+    listed = wanted.where(F.size("data_sources") > 0).withColumn("data_source_id", F.explode(F.array_distinct("data_sources"))).drop("data_sources")
+    every = wanted.where(F.coalesce(F.size("data_sources"), F.lit(0)) <= 0).drop("data_sources")
+    held = held.select(*own, "schedule_state", "data_source_id").distinct()
+    found = listed.join(held, [*own, "schedule_state", "data_source_id"]).unionByName(every.join(held, [*own, "schedule_state"]).select(*listed.columns))
+    return found.select(*own, "cost_report_config_id", "data_source_id")
+
+
 def report_sources(
     sources: DataFrame, workspace_ids: list[str], only: list[str] | None = None, state: str | None = "ENABLED"
 ) -> DataFrame:

@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+DOMAIN = "domain_id"
+
+
+def tenant(df: DataFrame) -> list[str]:
+    """The tenant's column, where a table has one: it leads the keys of every join and group, so tenants never mix."""
+    return [DOMAIN] if DOMAIN in df.columns else []
+
+
 def lookup(fact: DataFrame, dim: DataFrame, keys: list[str], null_safe: tuple[str, ...] = ()) -> DataFrame:
     """Left join on same-named keys; keys in `null_safe` treat null as a value."""
     renamed = dim.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.money import currency_columns, total
 from spendframe.functions.periods import day_in_month, first_day, month_of
 from spendframe.functions.predicates import all_of
-from spendframe.operators.lookups import join_null_safe, keep_matching, lookup
+from spendframe.operators.lookups import join_null_safe, keep_matching, lookup, tenant
 from spendframe.operators.paging import number_rows
 from spendframe.schema import DEFAULT_EXCHANGE_SOURCE, REPORT_RETRY_DAYS, REPORT_RETRY_DAYS_MAX
 
@@ -78,9 +78,15 @@ def skip_finished(planned: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
-def report_base(unified: DataFrame, scope: str, workspaces: DataFrame | None = None, sources: DataFrame | None = None):
-    """Unified cost grouped for reports of one scope, three currency sums, all months at once."""
+def report_base(
+    unified: DataFrame, scope: str, workspaces: DataFrame | None = None, sources: DataFrame | None = None, members: DataFrame | None = None
+):
+    """Unified cost grouped for reports of one scope, three currency sums, all months at once.
+
+    `members` (accounts.config_sources) narrows each config to its sources; the sums are then by config as well.
+    """
     keys = [
+        *tenant(unified),
         "workspace_id",
         "billed_year",
         "billed_month",
@@ -96,9 +102,15 @@ def report_base(unified: DataFrame, scope: str, workspaces: DataFrame | None = N
         kept = kept.join(workspaces.select("workspace_id"), "workspace_id", "left_semi")
     if sources is not None:
         kept = kept.join(sources.select("data_source_id"), "data_source_id", "left_semi")
+    if members is not None:
+        kept, keys = kept.join(members, [*tenant(unified), "data_source_id"]), ["cost_report_config_id", *keys]
     return kept.groupBy(*keys).agg(*[total(F.col(name)).alias(name) for name in currency_columns()])
 
 
+def _by_config(df: DataFrame) -> list[str]:
+    return [name for name in ("domain_id", "cost_report_config_id") if name in df.columns]
+
+
 def collapse(base: DataFrame, scope: str, by_workspace: bool = False) -> DataFrame:
     """One row per month and scope id: currencies summed, other columns from the first row.
 
@@ -106,7 +118,7 @@ def collapse(base: DataFrame, scope: str, by_workspace: bool = False) -> DataFra
     choice does not depend on the partitioning. `by_workspace` collapses to the workspace for
     every scope.
     """
-    ids = ["billed_year", "billed_month", "exchange_date"]
+    ids = [*_by_config(base), "billed_year", "billed_month", "exchange_date"]
     ids += ["workspace_id"] if by_workspace else SCOPE_IDS[scope]
     rest = [
         name
@@ -119,13 +131,13 @@ def collapse(base: DataFrame, scope: str, by_workspace: bool = False) -> DataFra
 
 
 def build_reports(collapsed: DataFrame, planned: DataFrame, scope: str) -> DataFrame:
-    """Report rows of one scope: join each month to the planned runs of that month."""
+    """Report rows of one scope: join each month to the planned runs of that month, of its tenant and config where these are known."""
+    keys = [*_by_config(collapsed), "billed_month"]
     runs = planned.where(F.col("scope") == scope).select(
-        "cost_report_config_id", "scope", "currency", "issue_date", "status", "is_done", "applies_adjustments",
+        *tenant(collapsed), "cost_report_config_id", "scope", "currency", "issue_date", "status", "is_done", "applies_adjustments",
         F.col("report_month").alias("billed_month"),
     )
-    # One row per config and month: bounded by the calendar and the few configs.
-    rows = collapsed.join(F.broadcast(runs), "billed_month")
+    rows = collapsed.join(runs, keys)
     return rows.withColumns(
         {
             "name": F.coalesce(F.col(SCOPE_NAMES[scope]), F.lit("Unknown")),
@@ -142,12 +154,13 @@ def build_reports(collapsed: DataFrame, planned: DataFrame, scope: str) -> DataF
 
 def number_reports(reports: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """`CostReport_yymmdd` and a four-digit index per issue date, after the reports already there."""
+    within = (*tenant(reports), "issue_date")
     if existing is None:
         numbered = reports.withColumn("_taken", F.lit(0).cast("long"))
     else:
-        taken = existing.groupBy("issue_date").agg(F.count("*").alias("_taken"))
-        numbered = lookup(reports, taken, ["issue_date"]).na.fill(0, ["_taken"])
-    numbered = number_rows(numbered, ["cost_report_id"], "_index", ("issue_date",))
+        taken = existing.groupBy(*within).agg(F.count("*").alias("_taken"))
+        numbered = lookup(reports, taken, list(within)).na.fill(0, ["_taken"])
+    numbered = number_rows(numbered, ["cost_report_id"], "_index", within)
     index = (F.col("_index") + F.col("_taken")).cast("string")
     # Wider indexes keep all their digits.
     padded = F.when(F.length(index) < 4, F.lpad(index, 4, "0")).otherwise(index)
@@ -155,9 +168,10 @@ def number_reports(reports: DataFrame, existing: DataFrame | None = None) -> Dat
     return numbered.withColumn("report_number", F.concat(F.lit("CostReport_"), day, padded)).drop("_index", "_taken")
 
 
-def report_lines(unified: DataFrame, reports: DataFrame, scope: str = "WORKSPACE") -> DataFrame:
-    """Detail lines of each report's scope and month, with the report's descriptive columns."""
+def report_lines(unified: DataFrame, reports: DataFrame, scope: str = "WORKSPACE", members: DataFrame | None = None) -> DataFrame:
+    """Detail lines of each report's scope and month, with the report's descriptive columns; of its config's sources, given `members`."""
     keys = [
+        *tenant(unified),
         "billed_month",
         "workspace_id",
         "project_id",
@@ -167,11 +181,14 @@ def report_lines(unified: DataFrame, reports: DataFrame, scope: str = "WORKSPACE
         "provider",
     ]
     lines = unified.groupBy(*keys).agg(*[total(F.col(name)).alias(name) for name in currency_columns()])
-    own = [*SCOPE_IDS[scope], "report_month"]
+    own = [*tenant(unified), *SCOPE_IDS[scope], "report_month"]
+    named = ["cost_report_config_id"]
+    if members is not None:
+        lines, own, named = lines.join(members, [*tenant(unified), "data_source_id"]), ["cost_report_config_id", *own], []
     heads = reports.select(
         *own,
+        *named,
         "cost_report_id",
-        "cost_report_config_id",
         "report_year",
         "issue_date",
         "currency_date",
@@ -195,12 +212,13 @@ def with_line_names(
     lines: DataFrame, workspaces: DataFrame, projects: DataFrame, service_accounts: DataFrame
 ) -> DataFrame:
     """Names on report lines; unknown projects and service accounts get an empty name."""
-    ws = workspaces.select("workspace_id", F.col("name").alias("workspace_name"))
-    pj = projects.select("workspace_id", "project_id", F.col("name").alias("project_name"))
-    sa = service_accounts.select("workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
-    named = lookup(lines, ws, ["workspace_id"])
-    named = lookup(named, pj, ["workspace_id", "project_id"])
-    named = lookup(named, sa, ["workspace_id", "service_account_id"])
+    own = tenant(lines)
+    ws = workspaces.select(*own, "workspace_id", F.col("name").alias("workspace_name"))
+    pj = projects.select(*own, "workspace_id", "project_id", F.col("name").alias("project_name"))
+    sa = service_accounts.select(*own, "workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
+    named = lookup(lines, ws, [*own, "workspace_id"])
+    named = lookup(named, pj, [*own, "workspace_id", "project_id"])
+    named = lookup(named, sa, [*own, "workspace_id", "service_account_id"])
     return named.na.fill("", ["project_name", "service_account_name"])
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.money import total
 from spendframe.functions.predicates import definitely
+from spendframe.operators.lookups import tenant
 from spendframe.operators.projection import bag_of
 from spendframe.schema import ROLLUP_BATCH_KEYS, ROLLUP_KEYS
 from spendframe.sources.facts import FactTable, in_partitions
@@ -28,7 +29,7 @@ def monthly_rollup(cost: DataFrame, data_keys: list[str] | None = None) -> DataF
     each key found is summed, by one more, smaller shuffle, and is absent where a group has none. Tables without bags are
     rolled up without.
     """
-    keys = ROLLUP_BATCH_KEYS + ROLLUP_KEYS
+    keys = [*tenant(cost), *ROLLUP_BATCH_KEYS, *ROLLUP_KEYS]
     bags = [bag for bag in BAG_KEYS if bag in cost.columns]
     grouping = [*keys, *bags]
     columns = [*keys, *[canonical(bag).alias(bag) for bag in bags], "cost", "usage_quantity"]

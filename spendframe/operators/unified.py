@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.money import total
 from spendframe.functions.periods import day_in_month
 from spendframe.operators.accounts import virtual_to_real
-from spendframe.operators.lookups import lookup
+from spendframe.operators.lookups import lookup, tenant
 from spendframe.operators.fx import asof_rates_for, convert, rate_matrix, with_defaults
 from spendframe.schema import (
     DEFAULT_AGGREGATION_DAY,
@@ -49,15 +49,16 @@ def unify(monthly: DataFrame, accounts: DataFrame, workspaces: DataFrame, source
 
     Rows of an unknown or disabled workspace, and of a source owned by another workspace, drop out.
     """
-    folded = virtual_to_real(monthly.select(*UNIFIED_KEYS, "cost", "usage_quantity"), _linked(accounts))
-    enabled = workspaces.where(F.col("state") == "ENABLED").select("workspace_id", F.lit(True).alias("_enabled"))
-    visible = sources.select("data_source_id", F.col("workspace_id").alias("_owner"))
-    grouped = folded.groupBy(*UNIFIED_KEYS).agg(
+    own = tenant(monthly)
+    folded = virtual_to_real(monthly.select(*own, *UNIFIED_KEYS, "cost", "usage_quantity"), _linked(accounts))
+    enabled = workspaces.where(F.col("state") == "ENABLED").select(*own, "workspace_id", F.lit(True).alias("_enabled"))
+    visible = sources.select(*own, "data_source_id", F.col("workspace_id").alias("_owner"))
+    grouped = folded.groupBy(*own, *UNIFIED_KEYS).agg(
         total(F.col("cost")).alias("cost"), total(F.col("usage_quantity")).alias("usage_quantity")
     )
-    marked = lookup(grouped, enabled, ["workspace_id"])
+    marked = lookup(grouped, enabled, [*own, "workspace_id"])
     kept = marked.where(F.col("workspace_id").isNull() | F.col("_enabled")).drop("_enabled")
-    owned = lookup(kept, visible, ["data_source_id"])
+    owned = lookup(kept, visible, [*own, "data_source_id"])
     return owned.where((F.col("_owner") == "*") | (F.col("_owner") == F.col("workspace_id"))).drop("_owner")
 
 
@@ -67,11 +68,12 @@ def _linked(accounts: DataFrame) -> DataFrame:
 
 def with_source_currency(df: DataFrame, sources: DataFrame) -> DataFrame:
     """Currency and name of the data source; unknown sources count as USD and show their id."""
+    own = tenant(df)
     known = sources.select(
-        "data_source_id", F.col("currency").alias("_currency"), F.col("name").alias("_name")
+        *own, "data_source_id", F.col("currency").alias("_currency"), F.col("name").alias("_name")
     )
     return (
-        lookup(df, known, ["data_source_id"])
+        lookup(df, known, [*own, "data_source_id"])
         .withColumns(
             {
                 "currency": F.coalesce("_currency", F.lit(DEFAULT_CURRENCY)),
@@ -90,12 +92,13 @@ def with_names(
     Projects and service accounts are looked up in the row's own workspace; rows of the null
     workspace get no names.
     """
-    ws = workspaces.select("workspace_id", F.col("name").alias("workspace_name"))
-    pj = projects.select("workspace_id", "project_id", F.col("name").alias("_project"))
-    sa = service_accounts.select("workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
-    named = lookup(df, ws, ["workspace_id"])
-    named = lookup(named, pj, ["workspace_id", "project_id"])
-    named = lookup(named, sa, ["workspace_id", "service_account_id"])
+    own = tenant(df)
+    ws = workspaces.select(*own, "workspace_id", F.col("name").alias("workspace_name"))
+    pj = projects.select(*own, "workspace_id", "project_id", F.col("name").alias("_project"))
+    sa = service_accounts.select(*own, "workspace_id", "service_account_id", F.col("name").alias("service_account_name"))
+    named = lookup(df, ws, [*own, "workspace_id"])
+    named = lookup(named, pj, [*own, "workspace_id", "project_id"])
+    named = lookup(named, sa, [*own, "workspace_id", "service_account_id"])
     project_name = F.when(F.col("workspace_id").isNotNull(), F.coalesce("_project", "project_id"))
     return named.withColumn("project_name", project_name).drop("_project")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["ingest", "projections", "filtering", "classification", "joins", "aggregates", "budgeting", "reporting", "ordering"]
+SECTIONS = ["ingest", "projections", "filtering", "classification", "joins", "aggregates", "budgeting", "reporting", "ordering", "tenancy"]
 
 
 def load():
