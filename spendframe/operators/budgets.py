@@ -10,6 +10,8 @@ from spendframe.functions.money import currency_columns, total
 from spendframe.functions.periods import months_between
 from spendframe.functions.predicates import definitely
 from spendframe.operators.lookups import join_null_safe
+from spendframe.session import durable
+from spendframe.sources.facts import FactTable
 
 def _month(as_of) -> Column:
     return F.lit(as_of) if isinstance(as_of, str) else as_of
@@ -149,6 +151,20 @@ def mark_notified(budgets: DataFrame, fired: DataFrame) -> DataFrame:
     return budgets.join(hits, "budget_id", "left").withColumn("plans", flagged).drop("_fired")
 
 
+def notify(stored: FactTable, usage: DataFrame, as_of) -> tuple[FactTable, DataFrame]:
+    """The stored budgets with the flags of plans that fire now, and these plans. Run again, nothing fires and nothing is written."""
+    budgets = stored.read()
+    fired = durable(alerts(budgets, usage, as_of), "alerts")
+    told = mark_notified(budgets.join(fired.select("budget_id").distinct(), "budget_id", "left_semi"), fired)
+    return stored.merge(told, ["budget_id"]), fired
+
+
+def reset_month(stored: FactTable, usage: DataFrame, as_of) -> FactTable:
+    """The stored budgets after the start of a month; those that `month_reset` leaves alone stay as they are."""
+    reset = month_reset(stored.read(), usage, as_of)
+    return stored.merge(reset.select(*stored.schema.names), ["budget_id"])
+
+
 def state(as_of) -> Column:
     now = _month(as_of)
     return F.when(now > F.col("end"), "EXPIRED").when(now < F.col("start"), "SCHEDULED").otherwise("ACTIVE")

@@ -9,6 +9,7 @@ from spendframe.functions.predicates import all_of
 from spendframe.operators.lookups import join_null_safe, keep_matching, lookup, tenant
 from spendframe.operators.paging import number_rows
 from spendframe.schema import DEFAULT_EXCHANGE_SOURCE, REPORT_RETRY_DAYS, REPORT_RETRY_DAYS_MAX
+from spendframe.sources.facts import FactTable, in_partitions
 
 SCOPE_COLUMNS = {
     "WORKSPACE": ["workspace_name"],
@@ -271,3 +272,22 @@ def expire_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:
 def drop_orphan_lines(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """Lines whose report was removed go with it."""
     return keep_matching(lines, reports.select("cost_report_id"), "cost_report_id")
+
+
+def expire_stored(reports: FactTable, lines: FactTable, runs: DataFrame) -> tuple[FactTable, FactTable]:
+    """Stored reports and lines, both by report month, after runs: as `expire_reports` and `drop_orphan_lines` have them.
+
+    Only the months of the runs are read and written. Lines go after their reports; a run that is repeated finds nothing to do.
+    """
+    months = [(row.report_month,) for row in runs.select("report_month").distinct().collect()]  # bounded by the calendar
+    asked = in_partitions(months, ["report_month"])
+    before = reports.read(asked)
+    after = expire_reports(before, runs)
+    moved = before.groupBy("status").count().exceptAll(after.groupBy("status").count())
+    if not moved.isEmpty():
+        reports = reports.replace(months, after)
+    held = lines.read(asked)
+    kept = drop_orphan_lines(held, reports.read(asked))
+    if held.count() > kept.count():
+        lines = lines.replace(months, kept)
+    return reports, lines

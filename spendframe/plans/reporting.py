@@ -7,8 +7,9 @@ from spendframe.operators import adjustments, reports
 from spendframe.operators.unified import month_calendar
 from spendframe.plans import pipeline
 from spendframe.plans.registry import query
-from spendframe.session import literal_rows
+from spendframe.session import literal_rows, new_path
 from spendframe.sources import sample
+from spendframe.sources.facts import FactTable
 
 _SUMS = ", ".join(
     f'CAST(CAST(sum("cost_{currency}") AS decimal(38,2)) AS double) AS "cost_{currency}"' for currency in ("KRW", "USD", "JPY")
@@ -325,6 +326,42 @@ def rep_expire(spark, sf_dir):
     return reports.expire_reports(stored, runs).select("cost_report_id", "version", "status")
 
 
+@query(
+    "rep_expire_stored",
+    f"""
+WITH report_line AS ({pipeline.REPORT_LINES_SQL}),
+kept AS (
+  SELECT cost_report_id || '#' || version AS cost_report_id, CASE WHEN is_run AND version = 1 THEN 'EXPIRED' ELSE status END AS status, n AS line_count
+  FROM (
+    SELECT cost_report_id, version, status, n, billed_month LIKE '1998%' AS is_run
+    FROM (SELECT cost_report_id, billed_month, count(DISTINCT (coalesce(data_source_id, ''), coalesce(product, ''), coalesce(provider, ''),
+            coalesce(project_id, ''), coalesce(service_account_id, ''))) AS n FROM report_line GROUP BY ALL)
+    CROSS JOIN (VALUES (1, 'DONE'), (2, 'IN_PROGRESS'), (3, 'DONE')) v(version, status))
+  WHERE NOT (is_run AND version = 2))
+SELECT cost_report_id, status, line_count, true AS second_run_wrote_nothing FROM kept
+""",
+    ("unified",),
+)
+def rep_expire_stored(spark, sf_dir):
+    """Reports and lines as stored tables: three versions of each report, one run for the months of 1998, made twice."""
+    heads, lines = pipeline.reports_and_lines(spark, sf_dir)
+    states = [(1, "DONE", "2002-01-01"), (2, "IN_PROGRESS", "2002-02-01"), (3, "DONE", "2002-03-01")]
+    versions = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(state).alias("status"), F.lit(day).cast("timestamp").alias("created_at")) for v, state, day in states])
+    numbered = F.concat_ws("#", "cost_report_id", F.col("v").cast("string"))
+    old = heads.select("cost_report_id", "cost_report_config_id", "report_month", F.inline(versions)).withColumn("cost_report_id", numbered).drop("v")
+    details = lines.select("cost_report_id", "report_month", "provider", "product", F.explode(F.array(*[F.lit(v) for v, _, _ in states])).alias("v"))
+    details = details.withColumn("cost_report_id", numbered).drop("v")
+    stored = FactTable.create(new_path(spark, "reports"), old, ["report_month"])
+    held = FactTable.create(new_path(spark, "report-lines"), details, ["report_month"])
+    runs = heads.where(F.col("report_year") == "1998").select("cost_report_config_id", "report_month").distinct()
+    runs = runs.withColumn("run_at", F.lit("2002-03-01").cast("timestamp"))
+    stored, held = reports.expire_stored(stored, held, runs)
+    again = reports.expire_stored(stored, held, runs)
+    counts = again[1].read().groupBy("cost_report_id").agg(F.count("*").alias("line_count"))
+    same = again[0].version == stored.version and again[1].version == held.version
+    return again[0].read().select("cost_report_id", "status").join(counts, "cost_report_id", "full").withColumn("second_run_wrote_nothing", F.lit(same))
+
+
 @query(
     "rep_sync_currency",
     """
