@@ -240,7 +240,7 @@ def join_policy_report(spark, sf_dir):
         {"report_adjustment_policy_id": policy_id, "scope": scope, "policy_filter": {names[scope]: ids}, "adjustments": [one]}
         for policy_id, scope, ids in _POLICIES
     ]
-    stepped = with_steps(heads.withColumn("cost_report_config_id", F.lit("crc")), policy_table(spark, policies))
+    stepped = with_steps(heads.withColumn("cost_report_config_id", F.concat(F.lit("crc-"), F.substring("report_month", 1, 4))), policy_table(spark, policies))
     return stepped.select(*keys, "report_month", F.explode("_steps.report_adjustment_policy_id").alias("report_adjustment_policy_id"))
 
 
