@@ -1,4 +1,9 @@
-"""Corpus pipeline: documents pass one stage after another, each written as Parquet and read again."""
+"""Corpus pipeline: documents pass one stage after another, each written as Parquet and read again.
+
+All stages take null and empty texts (which the first one drops for want of words), very long texts, null ids and sources, and
+extra columns, whose names may clash with those that a stage adds for itself. Repeated rows are judged alike; of fully equal
+rows near-duplicates keep one. An empty table passes every stage as an empty table.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -150,8 +150,8 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds a binary column of packed little-endian unsigned 32-bit ids. A null text counts as empty.
 
-    `path` is a vocabulary file that every executor can open. All other columns and rows stay;
-    a column of the new name is replaced.
+    `path` is a vocabulary file that every executor can open. All other columns and rows, repeated ones too, stay;
+    a column of the new name is replaced. Very long texts are encoded whole. An empty table stays empty.
     """
 
     @arrow_udf("binary")
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text that packed ids stand for; null ids give an empty text."""
+    """Adds the text that packed ids stand for; null ids give an empty text. A column of the new name is replaced."""
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

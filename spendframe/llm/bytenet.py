@@ -143,7 +143,11 @@ def _gradients(network: Network, batch: list[bytes], labels: np.ndarray) -> list
 
 
 def predict(docs: DataFrame, network: Network, text: str = "text", result: str = "score") -> DataFrame:
-    """Adds the probability of label 1 for each whole text; null counts as empty. Rows and other columns stay."""
+    """Adds the probability of label 1 for each whole text, however long; null counts as empty, and empty texts have a score too.
+
+    Rows, repeated ones too, and other columns stay; a column that already has the result's name is replaced. An empty
+    table stays empty.
+    """
 
     @arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:

@@ -347,7 +347,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", result: str
 
     Byte positions count in the normalised text; `first_byte` may be too small by the number of edits. Null and
     empty texts hold nothing; items of fewer than 16 bytes are too short to be told from chance and are not
-    searched. Texts of any length are searched whole, in overlapping pieces. Rows and other columns stay.
+    searched. Texts of any length are searched whole, in overlapping pieces. Rows, repeated ones too, and other columns
+    stay; a column that already has the result's name is replaced. An empty table stays empty, an empty benchmark finds
+    nothing.
     """
     parts = []
     for block in blocks(benchmark, item, item_text):

@@ -261,7 +261,8 @@ def scan(docs: DataFrame, text: str = "text", result: str = "licenses", template
 
     Words are numbered from 0; `first` and `end` of a span are words, the end excluded. The score is the
     best coverage of any template, 1 where a phrase stands. Null and empty texts have no words, no labels
-    and score 0; long texts are read in blocks. All rows and other columns stay.
+    and score 0; long texts are read in blocks. All rows, repeated ones too, and other columns stay; a column that
+    already has the result's name is replaced. An empty table stays empty.
     """
 
     @arrow_udf(RESULT_DDL)
