@@ -153,7 +153,7 @@ FROM cost GROUP BY ALL
     ("cost",),
 )
 def agg_monthly_rollup(spark, sf_dir):
-    rolled = monthly_rollup(sample.cost(spark, sf_dir))
+    rolled = monthly_rollup(sample.cost(spark, sf_dir), sample.DATA_KEYS)
     bags = {"tags": sample.TAG_KEYS, "additional_info": sample.INFO_KEYS, "data": sample.DATA_KEYS}
     for bag, keys in bags.items():
         rolled = bag_to_columns(rolled, bag, keys)
