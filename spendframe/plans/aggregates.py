@@ -247,6 +247,22 @@ def agg_report_collapse(spark, sf_dir):
     return as_double(pipeline.union([collapsed(scope, name) for scope, (name, _) in _SCOPES.items()]), *currency_columns(), scale=2)
 
 
+@query(
+    "agg_report_collapse_workspace",
+    f"""
+SELECT workspace_id, billed_year, billed_month, exchange_date,
+       min_by(region_key, (coalesce(region_key, ''), coalesce(usage_type, ''), coalesce(usage_unit, ''))) AS region_key, {_UNIFIED_SUMS}
+FROM unified WHERE workspace_id IS NOT NULL GROUP BY ALL
+""",
+    ("unified",),
+)
+def agg_report_collapse_workspace(spark, sf_dir):
+    """The variant that collapses the rows of project reports to one for each workspace."""
+    found = reports.collapse(reports.report_base(sample.unified(spark, sf_dir), "PROJECT"), "PROJECT", by_workspace=True)
+    keys = ["workspace_id", "billed_year", "billed_month", "exchange_date", "region_key"]
+    return as_double(found.select(*keys, *currency_columns()), *currency_columns(), scale=2)
+
+
 @query(
     "agg_report_data",
     f"""

@@ -158,6 +158,24 @@ def flt_virtual_workspace(spark, sf_dir):
     return filters.in_workspaces(rows, ["building", "household"], sample.accounts(spark, sf_dir)).select("cost_id", "workspace_id")
 
 
+@query(
+    "flt_workspaces_negated",
+    """
+WITH hit AS (
+  SELECT cost_id, coalesce(workspace_id = 'furniture' OR workspace_id IN (SELECT v_workspace_id FROM account WHERE workspace_id = 'building'), false) AS listed
+  FROM routed)
+SELECT cost_id, CASE WHEN listed THEN 'in' ELSE 'not_in' END AS side FROM hit
+""",
+    ("routed", "account"),
+)
+def flt_workspaces_negated(spark, sf_dir):
+    """A workspace with accounts and one without, both ways; rows without a workspace are in none."""
+    rows = sample.routed(spark, sf_dir, "cost_id", "workspace_id", "data_source_id", "account_id")
+    known = sample.accounts(spark, sf_dir).where("workspace_id <> 'furniture'")
+    sides = [filters.in_workspaces(rows, ["building", "furniture"], known, negate).select("cost_id", F.lit(name).alias("side")) for name, negate in (("in", False), ("not_in", True))]
+    return sides[0].unionByName(sides[1])
+
+
 @query(
     "flt_date_window",
     """

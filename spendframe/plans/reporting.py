@@ -132,6 +132,26 @@ def rep_calendar_regen(spark, sf_dir):
     )
 
 
+@query(
+    "rep_skip_finished",
+    f"""
+WITH {_CONFIG_SQL},
+report_line AS ({pipeline.REPORT_LINES_SQL}),
+done AS (SELECT DISTINCT config, billed_month FROM report_line WHERE billed_month < '1998-06' AND config <> 'crc-account')
+SELECT c.cost_report_config_id, m.billed_month AS report_month FROM (SELECT DISTINCT billed_month FROM unified) m CROSS JOIN config c
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.config = c.cost_report_config_id AND d.billed_month = m.billed_month)
+""",
+    ("unified",),
+)
+def rep_skip_finished(spark, sf_dir):
+    """Runs of all configs and months, without those whose report is stored as finished."""
+    heads = pipeline.report_heads(spark, sf_dir)
+    finished = (F.col("report_month") < "1998-06") & (F.col("cost_report_config_id") != "crc-account")
+    stored = heads.withColumn("status", F.when(finished, "DONE").otherwise("ADJUSTING"))
+    planned = pipeline.planned_reports(sample.unified(spark, sf_dir))
+    return reports.skip_finished(planned, stored).select("cost_report_config_id", "report_month")
+
+
 def _built_sql(config, currency, ids, name, issue):
     id_text = " || ':' || ".join(f"coalesce({column}, '-')" for column in ids)
     return f"""
