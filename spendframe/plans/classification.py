@@ -321,3 +321,17 @@ def rule_resequence(spark, sf_dir):
     )
     moves = existing.groupBy("data_source_id").agg(F.max("rule_id").alias("moved_id"), F.lit(3).alias("new_order"))
     return rules.resequence(existing, moves, ("data_source_id",), "rule_id")
+
+
+@query(
+    "rule_refused_moves",
+    """
+SELECT p_type AS data_source_id, 'rule-' || lpad(CAST(max(p_partkey) AS varchar), 12, '0') AS moved_id, 49 AS new_order, max(p_size) AS highest_order
+FROM part GROUP BY ALL HAVING max(p_size) < 49
+""",
+)
+def rule_refused_moves(spark, sf_dir):
+    rule_id = F.concat(F.lit("rule-"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    existing = sample.table(spark, sf_dir, "part").select(F.col("p_type").alias("data_source_id"), rule_id.alias("rule_id"), F.col("p_size").alias("order"))
+    moves = existing.groupBy("data_source_id").agg(F.max("rule_id").alias("moved_id"), F.lit(49).alias("new_order"))
+    return rules.refused_moves(existing, moves, ("data_source_id",))
