@@ -16,14 +16,14 @@ Texts are cut into blocks; a block is stored as one row with its own vocabulary
 into it, so everything after works on numpy arrays. Counts are summed over all blocks by word hash.
 Training goes over all learning texts in rounds; in each, every task runs minibatch updates from the
 shared weights, and the changes are averaged by feature over the tasks in a tree of group-bys. For
-scoring, each block fetches the counts of its vocabulary by a join on the hash and meets them in a co-group.
+scoring, each block gets the counts of its vocabulary as it gets those of its pairs and triples, and meets them in a co-group.
 
 A word is known by the 64-bit hash of its bytes.
 """
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,19 +45,21 @@ ROUNDS, BATCH, RATE = 2, 4096, 1.0
 END, START = -1, 0  # hashes of the end of a text and of the places before its first word
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 PRIORS = {2: 8.0, 3: 8.0}  # weight of the shorter history, by words of the counted group
+SHORT_RUN = 8
 SHARE_ROWS = 512  # feature rows that travel together when changes are averaged
 
 BLOCK_DDL = "block long, doc_ids array<{id}>, learn array<boolean>, lengths array<long>, tokens binary, hashes binary, suffixes binary, counts binary"
 
 
-def pack(tokens: np.ndarray) -> bytes:
-    """32-bit numbers as compressed planes of bytes; most of the high ones are zero."""
-    return zstandard.compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Unsigned numbers, of 32 bits unless said otherwise, as compressed planes of bytes; most of the high ones are zero."""
+    width = np.dtype(kind).itemsize
+    return zstandard.compress(values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes(), 3)
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpack(packed: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 class _Numbers(dict):
@@ -195,9 +197,9 @@ def gram_names(keys: np.ndarray, starts: np.ndarray, kind: int) -> np.ndarray:
     return names >> np.uint64(16)
 
 
-def _slices(names: np.ndarray, buckets: int) -> np.ndarray:
+def _slices(names: np.ndarray, buckets: int, bits: int = 48) -> np.ndarray:
     """Borders of the buckets in sorted names."""
-    return np.searchsorted((names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    return np.searchsorted((names >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
 def pack_names(names: np.ndarray) -> bytes:
@@ -210,8 +212,12 @@ def unpack_names(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def gram_counts(stored: DataFrame) -> DataFrame:
-    """(block, kind, bucket, counts): over all learning texts, those of the block's distinct names in sorted order."""
+def gram_counts(stored: DataFrame, kinds: Iterable[int] = PRIORS) -> DataFrame:
+    """(block, kind, bucket, counts): over all learning texts, those of the block's distinct names in sorted order.
+
+    The names of kind 1, single words, are the hashes of the block's vocabulary, and their counts have 64 bits.
+    """
+    kinds = list(kinds)
     buckets = max(1, stored.count())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +227,14 @@ def gram_counts(stored: DataFrame) -> DataFrame:
                 tokens, hashes, _, lengths, firsts = _texts(block)
                 keys, starts = hashes.view(np.uint64)[tokens], np.repeat(firsts, lengths)
                 learn = np.repeat(np.array(block["learn"], bool), lengths)
-                for kind in PRIORS:
-                    names, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
-                    counts = np.bincount(places[learn], minlength=len(names))
-                    edges = _slices(names, buckets)
+                for kind in kinds:
+                    if kind == 1:
+                        names, places = np.unique(hashes.view(np.uint64), return_inverse=True)
+                        counts = np.bincount(places, np.frombuffer(block["counts"], np.uint32), len(names))
+                    else:
+                        names, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
+                        counts = np.bincount(places[learn], minlength=len(names))
+                    edges = _slices(names, buckets, 64 if kind == 1 else 48)
                     own = [k for k in range(buckets) if edges[k] < edges[k + 1]]
                     arrays = [pa.array([value] * len(own), type) for value, type in ((block["block"], pa.int64()), (kind, pa.int32()))]
                     arrays.append(pa.array(own, pa.int32()))
@@ -237,12 +247,19 @@ def gram_counts(stored: DataFrame) -> DataFrame:
         names, places = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(places, np.concatenate([unpack(x.as_py()) for x in rows.column("counts")]), len(names)).astype(np.int64)
         asked = np.split(places, np.cumsum([len(part) for part in parts])[:-1])
-        return rows.select(["block", "kind", "bucket"]).append_column("counts", pa.array([pack(total[part]) for part in asked], pa.binary()))
+        size = "<u8" if rows.column("kind")[0].as_py() == 1 else "<u4"
+        return rows.select(["block", "kind", "bucket"]).append_column("counts", pa.array([pack(total[part], size) for part in asked], pa.binary()))
 
-    sent = stored.select("block", "learn", "lengths", "tokens", "hashes", "suffixes").mapInArrow(send, "block long, kind int, bucket int, names binary, counts binary")
+    sent = stored.select("block", "learn", "lengths", "tokens", "hashes", "suffixes", "counts").mapInArrow(send, "block long, kind int, bucket int, names binary, counts binary")
     return sent.groupBy("kind", "bucket").applyInArrow(add_up, "block long, kind int, bucket int, counts binary")
 
 
+def word_totals(block: dict, found: dict[int, bytes]) -> np.ndarray:
+    """The count of every word of a block's vocabulary. `found` has the packed counts by bucket."""
+    _, places = np.unique(np.frombuffer(block["hashes"], np.uint64), return_inverse=True)
+    return np.concatenate([unpack(packed, "<u8") for _, packed in sorted(found.items())]).astype(np.int64)[places]
+
+
 def token_grams(block: dict, found: dict[int, dict[int, bytes]]) -> dict[int, np.ndarray]:
     """For each kind, the count of every token's group of words. `found` has the packed counts by kind and bucket."""
     tokens, hashes, _, lengths, firsts = _texts(block)
@@ -265,11 +282,33 @@ def feature_rows(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def class_log_odds(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unnormalised log probabilities of the classes (natural logarithm) and the log of their sum."""
-    logits = weights[rows[:, 0]]
+    logits = weights.take(rows[:, 0], axis=0)
     for k in range(1, FEATURES):
-        logits += weights[rows[:, k]]
+        logits += weights.take(rows[:, k], axis=0)
     top = logits.max(axis=1)
-    return logits, top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    shares = logits - top[:, None]
+    return logits, top + np.log(np.exp(shares, out=shares).sum(axis=1))
+
+
+def group_sums(values: np.ndarray, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values[places] over the runs that begin at `edges`, as `np.add.reduceat` has them to the last bit.
+
+    That walks down every column of every run, which takes long where most runs are short. So the first, second, ... rows of
+    short runs are added for all runs at once, and only long runs are left to it.
+    """
+    sizes = np.diff(edges, append=len(places))
+    sums = values.take(places[edges], axis=0)
+    short = np.flatnonzero((sizes > 1) & (sizes <= SHORT_RUN))
+    rest, left = values.take(places[edges[short] + 1], axis=0), sizes[short]
+    for turn in range(2, SHORT_RUN):
+        longer = np.flatnonzero(left > turn)
+        rest[longer] += values.take(places[edges[short[longer]] + turn], axis=0)
+    sums[short] += rest
+    long = np.flatnonzero(sizes > SHORT_RUN)
+    if len(long):
+        taken = values.take(places[np.repeat(sizes > SHORT_RUN, sizes)], axis=0)
+        sums[long] = np.add.reduceat(taken, np.cumsum(sizes[long]) - sizes[long], axis=0)
+    return sums
 
 
 def _texts(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -296,13 +335,13 @@ def train_block(weights, squares, changes, seen, block: dict, vocabulary: Vocabu
         part = slice(k, k + BATCH)
         rows = feature_rows(keys[low : k + BATCH], np.maximum(starts[low : k + BATCH] - low, -3))[k - low :]
         logits, total = class_log_odds(weights, rows)
-        error = np.exp(logits - total[:, None])
+        error = np.exp(np.subtract(logits, total[:, None], out=logits), out=logits)
         error[np.arange(len(error)), classes[part]] -= 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        gradient = np.add.reduceat(error[order // FEATURES], edges, axis=0)
+        gradient = group_sums(error, order // FEATURES, edges)
         own = ordered[edges]
         squares[own] += np.einsum("ij,ij->i", gradient, gradient)
         step = gradient * (RATE / np.sqrt(squares[own]))[:, None]
@@ -394,19 +433,6 @@ def score_block(weights: np.ndarray, vocabulary: Vocabulary, block: dict, counts
     }
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joined (block, place, c) rows as packed arrays, one row for each block and batch, for the shuffle to the blocks."""
-    for batch in batches:
-        blocks, places, counts = (column.to_numpy() for column in batch.columns)
-        order = np.argsort(blocks, kind="stable")
-        names, starts = np.unique(blocks[order], return_index=True)
-        parts = np.split(order, starts[1:])
-        arrays = [pa.array(names, pa.int64())]
-        arrays.append(pa.array([places[part].astype(np.int32).tobytes() for part in parts], pa.binary()))
-        arrays.append(pa.array([counts[part].astype(np.int64).tobytes() for part in parts], pa.binary()))
-        yield pa.RecordBatch.from_arrays(arrays, ["block", "places", "counts"])
-
-
 def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`, learned from the rows where `learn` is true.
 
@@ -419,29 +445,15 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     vocabulary = Vocabulary.of(counts)
     shared = docs.sparkSession.sparkContext.broadcast(train(stored, vocabulary))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, hashes in zip(*(batch.column(k) for k in range(2))):
-                hashes = np.frombuffer(hashes.as_py(), np.int64)
-                columns = [np.full(len(hashes), block.as_py()), np.arange(len(hashes), dtype=np.int32), hashes]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "place", "hash"])
-
-    asked = stored.select("block", "hashes").mapInArrow(words, "block long, place int, hash long")
-    found = asked.join(counts.select("hash", "c"), "hash").select("block", "place", "c").mapInArrow(_by_block, "block long, places binary, counts binary")
-    nothing = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("places", "binary"), ("kind", "int"), ("bucket", "int"))}
-    found = found.select("block", nothing["kind"], nothing["bucket"], "places", "counts").union(gram_counts(stored).select("block", "kind", "bucket", nothing["places"], "counts"))
+    found = gram_counts(stored, (1, *PRIORS))
     id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
 
     def apply(block: pa.Table, known: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        own = np.zeros(len(row["hashes"]) // 8, np.int64)
-        packed: dict[int, dict[int, bytes]] = {kind: {} for kind in PRIORS}
-        for kind, bucket, places, values in zip(*(known.column(name).to_pylist() for name in ("kind", "bucket", "places", "counts"))):
-            if kind is None:
-                own[np.frombuffer(places, np.int32)] = np.frombuffer(values, np.int64)
-            else:
-                packed[kind][bucket] = values
-        result = score_block(shared.value, vocabulary, row, own, token_grams(row, packed))
+        packed: dict[int, dict[int, bytes]] = {kind: {} for kind in (1, *PRIORS)}
+        for kind, bucket, values in zip(*(known.column(name).to_pylist() for name in ("kind", "bucket", "counts"))):
+            packed[kind][bucket] = values
+        result = score_block(shared.value, vocabulary, row, word_totals(row, packed[1]), token_grams(row, packed))
         ids = block.column("doc_ids").combine_chunks().values
         total = np.full(len(ids), vocabulary.tokens, np.int64)
         arrays = [ids, result["n_tokens"], result["n_known"], total, result["base_score"], result["score"]]

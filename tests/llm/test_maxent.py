@@ -115,6 +115,39 @@ def test_histories_are_counted_whole_and_tell_words_of_a_class_apart(spark, monk
     assert scores[len(lines) - 2] > scores[len(lines) - 1] + 1
 
 
+def test_words_are_counted_with_the_grams(spark, monkeypatch):
+    """One shuffle to the hash ranges and back for words, pairs and triples, and no row for each word of each block."""
+    texts = sentences(300, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") % 4 != 1
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 4000)
+    stored = maxent.blocks(docs, learn, "doc_id", "text")
+    expected = collections.Counter(word for number, text in enumerate(texts) if number % 4 != 1 for word in [*text.split(), "<end>"])
+    found = collections.defaultdict(dict)
+    for row in maxent.gram_counts(stored, [1]).collect():
+        found[row.block][row.bucket] = row.counts
+    assert len(found) > 5
+    for row in stored.collect():
+        totals = maxent.word_totals(row.asDict(), found[row.block])
+        words = list(dict.fromkeys(["<end>", *(word for i in row.doc_ids for word in texts[i].split())]))
+        assert totals.tolist() == [expected[word] for word in words]
+    assert "SortMergeJoin" not in maxent.score(docs, learn)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_counts_are_packed_whole():
+    counts = np.array([0, 1, 1 << 32, (1 << 40) + 5], np.int64)
+    assert maxent.unpack(maxent.pack(counts, "<u8"), "<u8").tolist() == counts.tolist()
+
+
+def test_sums_of_short_and_long_runs():
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(50, 4)).astype(np.float32)
+    keys = np.sort(np.concatenate([np.repeat(7, 300), draw.integers(0, 60, 120)]))
+    places = draw.integers(0, len(values), len(keys))
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    assert np.array_equal(maxent.group_sums(values, places, edges), np.add.reduceat(values[places], edges, axis=0))
+
+
 def test_probabilities_after_a_history_sum_to_one():
     texts = sentences(200, 6)
     block = block_of(texts)
