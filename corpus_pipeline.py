@@ -43,7 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with their number and the digest of the text they decode to."""
     path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    # Ids are stored before they are decoded: in one plan, each batch would be encoded twice and hold text, ids and decoded text at once.
+    ids = durable(bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), "pipeline-ids")
+    coded = bpe.decode(ids, path)
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

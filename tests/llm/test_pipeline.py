@@ -83,3 +83,12 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, tmp_path):
         cleared = corpus_pipeline.near_duplicates(spark, frame, sf_dir)
         assert sorted(row.doc_id or 0 for row in cleared.collect()) == ([1, 2] if frame is docs else [])
     assert docs.where(F.col("doc_id") == 1).count() == 2
+
+
+def test_tokens_encode_each_text_once(spark, sf_dir):
+    """In one plan the encoder would run again inside the decoder, and batches would hold texts, ids and decoded texts."""
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    coded = corpus_pipeline.tokens(spark, docs, sf_dir)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(") == 1 and "run(ids" in plan
+    assert sorted((row.doc_id, row.n_tokens, len(row.ids)) for row in coded.collect())[1] == (2, 0, 0)
