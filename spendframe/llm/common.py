@@ -72,3 +72,15 @@ def word_blocks(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
         stop = cut.start() if cut else len(text)
         yield text[start:stop].split()
         start = stop
+
+
+def text_pieces(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """The text, or of a longer one pieces of about `limit` bytes that end at ASCII white space."""
+    start = 0
+    while len(text) - start > limit:
+        cut = BLANK.search(text, start + limit)
+        if not cut:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]

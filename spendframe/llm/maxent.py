@@ -22,19 +22,21 @@ A word is known by the 64-bit hash of its bytes.
 """
 
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.common import word_blocks
-from spendframe.session import durable
+from spendframe.llm.common import text_pieces
+from spendframe.session import durable, new_path
 
 BLOCK_BYTES = 16 << 20
 TOP_WORDS, SUFFIX_CLASSES = 11, 52
@@ -62,35 +64,37 @@ def unpack(packed: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        return number
-
-
 class _BlockBuilder:
     """Texts of one block: distinct words get numbers in the order they appear, the end of a text is 0."""
 
     def __init__(self):
-        self.words = _Numbers({b"": 0})
-        self.ids, self.learn, self.lengths, self.tokens, self.size = [], [], [], [], 0
+        self.ids, self.learn, self.pieces, self.owners, self.size = [], [], [], [], 0
 
     def add(self, doc_id, learn: bool, text: bytes) -> None:
-        length = 1
-        for words in word_blocks(text.lower()):
-            self.tokens.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
-            length += len(words)
-        self.tokens.append(np.zeros(1, np.uint32))
+        for piece in text_pieces(text):
+            self.pieces.append(piece)
+            self.owners.append(len(self.ids))
         self.ids.append(doc_id)
         self.learn.append(learn)
-        self.lengths.append(length)
         self.size += len(text)
 
+    def _tokens(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(numbers, lengths by text, words): the empty word stands for the end, others are numbered from 1."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(self.pieces, pa.binary()).view(pa.string()))) if self.pieces else pa.array([], pa.list_(pa.string()))
+        words = split.flatten()
+        owners = np.repeat(np.array(self.owners, np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        real = pc.not_equal(pc.binary_length(words), 0)  # white space at either end leaves empty words
+        owners, coded = owners[real.to_numpy(zero_copy_only=False)], words.filter(real).dictionary_encode()
+        lengths = np.bincount(owners, minlength=len(self.ids)) + 1
+        tokens = np.zeros(len(owners) + len(self.ids), np.uint32)
+        tokens[np.arange(len(owners)) + owners] = coded.indices.to_numpy().astype(np.uint32) + 1
+        return tokens, lengths, coded.dictionary
+
     def row(self, number: int, id_type: pa.DataType) -> pa.RecordBatch:
-        tokens = np.concatenate(self.tokens)
-        used = np.repeat(np.array(self.learn), self.lengths)
-        words = list(self.words)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(word) for word in words), np.uint64, len(words)).view(np.int64)
+        tokens, lengths, words = self._tokens()
+        used = np.repeat(np.array(self.learn), lengths)
+        words = [b"", *words.cast(pa.binary()).to_pylist()]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
         hashes[(hashes == END) | (hashes == START)] = 1
         hashes[0] = END
         suffixes = np.fromiter((zlib.crc32(word[-2:]) % SUFFIX_CLASSES for word in words), np.uint8, len(words))
@@ -99,7 +103,7 @@ class _BlockBuilder:
             pa.array([number], pa.int64()),
             pa.array([self.ids], pa.list_(id_type)),
             pa.array([self.learn], pa.list_(pa.bool_())),
-            pa.array([self.lengths], pa.list_(pa.int64())),
+            pa.array([lengths.tolist()], pa.list_(pa.int64())),
             *(pa.array([values], pa.binary()) for values in (pack(tokens), hashes.tobytes(), suffixes.tobytes(), counts.tobytes())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "learn", "lengths", "tokens", "hashes", "suffixes", "counts"])
@@ -124,7 +128,23 @@ def blocks(docs: DataFrame, learn: Column, id: str, text: str) -> DataFrame:
             yield block.row(number, id_type)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
-    return durable(rows.mapInArrow(build, BLOCK_DDL.format(id=rows.schema["doc_id"].dataType.simpleString())), "maxent-blocks")
+    return _bucketed(rows.mapInArrow(build, BLOCK_DDL.format(id=rows.schema["doc_id"].dataType.simpleString())), "block", "maxent-blocks")
+
+
+def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like `durable`, with the rows in buckets of `key`, so that a co-group by it moves only its other side.
+
+    The table's name is needed while it is written only; its files are in the shared folder.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def word_counts(stored: DataFrame) -> DataFrame:
@@ -197,6 +217,34 @@ def gram_names(keys: np.ndarray, starts: np.ndarray, kind: int) -> np.ndarray:
     return names >> np.uint64(16)
 
 
+def _counted(names: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names in order, and how often each stands where `learn` is true."""
+    ordered = names << np.uint64(1) | learn.view(np.uint8)  # a plain sort takes a fraction of one that keeps the places
+    ordered.sort()
+    names = ordered >> np.uint64(1)
+    edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    seen = np.concatenate(([0], np.cumsum(ordered & np.uint64(1), dtype=np.int64)))
+    return names[edges], np.diff(seen[np.append(edges, len(names))])
+
+
+def _places(names: np.ndarray) -> np.ndarray:
+    """The place of each 48-bit name among the distinct ones in order.
+
+    Names are hashes and so lie evenly: a table by their leading bits tells nearly the place, and a few steps lead to it.
+    """
+    distinct = np.sort(names)
+    distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))]
+    shift = np.uint64(max(0, 48 - len(distinct).bit_length() - 1))
+    heads = distinct >> shift
+    first = np.searchsorted(heads, np.arange(int(heads[-1]) + 1, dtype=np.uint64)).astype(np.int32)
+    places = first[names >> shift]
+    left = np.flatnonzero(distinct[places] != names)
+    while len(left):
+        places[left] += 1
+        left = left[distinct[places[left]] != names[left]]
+    return places
+
+
 def _slices(names: np.ndarray, buckets: int, bits: int = 48) -> np.ndarray:
     """Borders of the buckets in sorted names."""
     return np.searchsorted((names >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
@@ -232,8 +280,7 @@ def gram_counts(stored: DataFrame, kinds: Iterable[int] = PRIORS) -> DataFrame:
                         names, places = np.unique(hashes.view(np.uint64), return_inverse=True)
                         counts = np.bincount(places, np.frombuffer(block["counts"], np.uint32), len(names))
                     else:
-                        names, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
-                        counts = np.bincount(places[learn], minlength=len(names))
+                        names, counts = _counted(gram_names(keys, starts, kind), learn)
                     edges = _slices(names, buckets, 64 if kind == 1 else 48)
                     own = [k for k in range(buckets) if edges[k] < edges[k + 1]]
                     arrays = [pa.array([value] * len(own), type) for value, type in ((block["block"], pa.int64()), (kind, pa.int32()))]
@@ -266,9 +313,8 @@ def token_grams(block: dict, found: dict[int, dict[int, bytes]]) -> dict[int, np
     keys, starts = hashes.view(np.uint64)[tokens], np.repeat(firsts, lengths)
     result = {}
     for kind in PRIORS:
-        _, places = np.unique(gram_names(keys, starts, kind), return_inverse=True)
         counts = np.concatenate([unpack(packed) for _, packed in sorted(found[kind].items())])
-        result[kind] = counts[places]
+        result[kind] = counts[_places(gram_names(keys, starts, kind))]
     return result
 
 

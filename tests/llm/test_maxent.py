@@ -195,3 +195,38 @@ def test_query_against_definition(spark, sf_dir):
         assert row.base_score == pytest.approx(base, rel=1e-9)
     unseen = [rows[number] for (number, _), out in zip(docs, held) if out]
     assert sum(row.score for row in unseen) > sum(row.base_score for row in unseen)
+
+
+def test_blocks_are_not_moved_to_meet_their_counts(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(sentences(200, 7))), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 4000)
+    scored = maxent.score(docs, F.col("doc_id") % 4 != 1)
+    assert scored.count() == 200
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and "Bucketed: true" in plan  # the names to the hash ranges, the counts to the blocks
+    assert not [row for row in spark.sql("SHOW TABLES").collect() if "maxent" in row.tableName]
+
+
+def test_names_are_counted_and_found_like_sorted_ones():
+    draw = np.random.default_rng(8)
+    for size, kinds in ((1, 1), (5000, 3000), (3000, 1)):
+        names = draw.choice(draw.integers(0, 1 << 48, kinds, dtype=np.uint64), size)
+        if size == 5000:
+            names[:40] = np.arange(40)  # names that lie together only take longer
+            names[40] = (1 << 48) - 1
+        learn = draw.random(size) < 0.7
+        distinct, places = np.unique(names, return_inverse=True)
+        found, counts = maxent._counted(names, learn)
+        assert np.array_equal(found, distinct) and np.array_equal(counts, np.bincount(places[learn], minlength=len(distinct)))
+        assert np.array_equal(maxent._places(names), places)
+
+
+def test_long_and_blank_texts_are_numbered_as_they_stand():
+    texts = ["", " \t\x0b", " A\x1cb Éé  x\x00y ", "a " * 700_000, "q" * 1_200_000 + " z " + "\n" * 5, "B b"]
+    block = block_of(texts)
+    tokens, hashes, _, lengths, _ = maxent._texts(block)
+    words = [[*text.lower().encode().split(), b""] if text.isascii() else [b"a\x1cb", "Éé".encode(), b"x\x00y", b""] for text in texts]
+    numbers = {b"": 0}
+    assert tokens.tolist() == [numbers.setdefault(word, len(numbers)) for own in words for word in own]
+    assert lengths.tolist() == [len(own) for own in words] and len(hashes) == len(numbers)
