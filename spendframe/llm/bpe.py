@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from spendframe.llm.common import joined
+
 # Unicode white space, and the splitting pattern of the byte-level tokenizers.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
@@ -157,7 +159,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     @arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.encode(value.as_py() or "") for value in column], pa.binary())
+        return joined((own.encode(value.as_py() or "") for value in column), pa.binary())
 
     return docs.withColumn(ids, run(F.col(text)))
 
@@ -168,6 +170,6 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.decode(value.as_py() or b"") for value in column], pa.string())
+        return joined((own.decode(value.as_py() or b"").encode() for value in column), pa.string())
 
     return docs.withColumn(text, run(F.col(ids)))

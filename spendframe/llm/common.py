@@ -1,7 +1,7 @@
 """Helpers shared by the operators: input columns, splits of rows, text buffers inside Arrow batches."""
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,15 @@ def texts(array: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def joined(parts: Iterable[bytes], kind: pa.DataType) -> pa.Array:
+    """A binary or string array of `parts`, each added as it comes: the values are held once, and by nothing that outlives the array."""
+    data, ends = bytearray(), [0]
+    for part in parts:
+        data += part
+        ends.append(len(data))
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(data)])
+
+
 def buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array and the offsets of its values (null: empty), without copies of the texts."""
     if isinstance(array, pa.ChunkedArray):

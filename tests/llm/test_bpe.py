@@ -1,9 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spendframe.llm import bpe, queries
+from spendframe.llm.common import joined
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -77,3 +81,31 @@ def test_query_matches_the_library(spark, sf_dir, truth):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(packed(ids)).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(truth.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_batch_holds_its_results_once(spark, monkeypatch):
+    """Results go into the array as they are made; a list of them beside it doubled the memory of a Python worker."""
+    functions = []
+    monkeypatch.setattr(bpe, "arrow_udf", lambda kind: lambda function: functions.append(function) or (lambda column: F.lit(None).cast(kind)))
+    docs, path = spark.createDataFrame([], "text string, ids binary"), P.path("byte_bpe_50k.json")
+    bpe.encode(docs, path), bpe.decode(docs, path)
+    encode, decode = functions
+    texts = pa.array([f"{i} " + "some words of a text " * 500 for i in range(500)])
+    encode(texts[:1])  # loads the codec
+    ids = texts
+    for function in (encode, decode):
+        given, before = ids, pa.total_allocated_bytes()
+        tracemalloc.start()
+        ids = function(given)
+        peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+        tracemalloc.stop()
+        assert peak < 1.5 * ids.nbytes
+    assert ids.equals(texts)
+
+
+def test_joined_arrays(codec):
+    for values in ([], [b""], [b"a", b"", "\u00fc".encode()], [b"", b""]):
+        array = joined(iter(values), pa.string())
+        array.validate(full=True)
+        assert array.to_pylist() == [value.decode() for value in values]
+        assert joined(iter(values), pa.binary()).to_pylist() == values
